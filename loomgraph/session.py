@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -58,6 +59,11 @@ class Scratch:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now, not at some later collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         sc = self.spark.sparkContext
         for name in names:
