@@ -63,8 +63,8 @@ def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
         for j in range(k):
             total += h[j : j + n] * _MULTIPLIERS[j % 7]
     else:
-        for j, value in enumerate(h):
-            total += value * _MULTIPLIERS[j % 7]
+        for j in range(len(h)):
+            total += h[j : j + 1] * _MULTIPLIERS[j % 7]
         total += np.uint64(len(h))
     return np.unique(mix64(total))
 
