@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomgraph.plans import graph_plans, lexical_plans
+
+QUERIES = {**lexical_plans.QUERIES, **graph_plans.QUERIES}
+ORACLES = {**lexical_plans.ORACLES, **graph_plans.ORACLES}
 FLAGSHIP = "bm25_topk"
