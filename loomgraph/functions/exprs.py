@@ -106,7 +106,7 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
     """Mean of the vectors (array of arrays) whose mask is 1, then L2-normalised."""
     n = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
     zero = F.transform(vectors[0], lambda _: F.lit(0.0))
-    total = F.aggregate(F.arrays_zip(vectors.alias("v"), mask.alias("m")), zero, lambda s, r: F.zip_with(s, r["0"], lambda a, b: a + b * r["1"]))
+    total = F.aggregate(F.arrays_zip(vectors.alias("v"), mask.alias("m")), zero, lambda s, r: F.zip_with(s, r["v"], lambda a, b: a + b * r["m"]))
     mean = F.transform(total, lambda x: x / F.greatest(n, F.lit(1e-9)))
     size = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(mean, lambda x: F.when(size > 0, x / size).otherwise(0.0))
