@@ -108,16 +108,19 @@ def disclosing_terms(scratch: Scratch, keyed: DataFrame, spans: DataFrame) -> Da
     counted = scratch.write(near.join(scratch.write(copies, "copies"), "key"), "near")
     of_entity = counted.select("key", "entity", "docs").distinct().groupBy("entity").agg(F.sum("docs").alias("ce"))
     pairs = counted.where("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("cet"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = scratch.write(pairs.join(of_entity, "entity").select("term", "cet", "ce"), "pairs")
+    # documents with the term near anything are some of those with the term: they bound its share from above
+    anywhere = counted.where("term is not null").select("key", "term", "docs").distinct().groupBy("term").agg(F.sum("docs").alias("cn"))
+    own = F.log2(F.lit(float(n)) / F.col("ce"))
+    share = lambda ct: F.log2(F.lit(float(n)) * F.col("cet") / (F.col("ce") * F.col(ct))) / own
+    likely = pairs.join(of_entity, "entity").join(anywhere, "term").where((own > 0) & (share("cn") >= GENERALISE))
+    pairs = scratch.write(likely.select("term", "cet", "ce"), "pairs")
     wanted = scratch.write(pairs.select("term").distinct(), "wanted")
     words = keyed.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     if wanted.count() <= BROADCAST:
         df = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("ct"))
     else:
         df = words.groupBy("term").agg(F.count("*").alias("ct"))
-    own = F.log2(F.lit(float(n)) / F.col("ce"))
-    share = F.log2(F.lit(float(n)) * F.col("cet") / (F.col("ce") * F.col("ct"))) / own
-    flagged = pairs.join(df, "term").where(own > 0).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
+    flagged = pairs.join(df, "term").withColumn("share", share("ct")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
     return scratch.write(flagged, "flagged")
 
 
