@@ -6,8 +6,9 @@ SIG one-byte MinHash coordinates whose agreements estimate the similarity. Links
 1. each posting's members are compared with its pivot (its least id): as many comparisons as postings;
 2. the connected components so far are computed by label propagation over written tables;
 3. postings that still hold several components are cut into chunks; chunks meet pairwise unless both lie in one and the
-   same component, and only pairs of different components whose sizes and signatures still allow a link are compared
-   on their full sets. A group that its pivots connect costs nothing here; a pair that could be linked is never dropped.
+   same component. Members of different components whose sizes and signatures still allow a link are compared on their
+   full sets, as products of incidence matrices of two chunks; only links leave a task. A group that its pivots connect
+   costs nothing here; a pair that could be linked is never dropped.
 
 Full sets are rebuilt from the texts of the ids in question, never of all documents, and no task holds a whole group.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-SIG, CHUNK = 256, 512
+SIG, CHUNK, MASS = 256, 1024, 1 << 20
 
 
 def bound(similarity: float, coordinates: int = SIG, deviations: float = 5.0) -> int:
@@ -106,61 +107,133 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return label
 
 
-def _chunk_pairs(percent: int, least: int):
+def _arrays(members: list) -> tuple[np.ndarray, ...]:
+    """ids, components, sizes, signatures, and the postings' keys of each member."""
+    ids, c, n = (np.array([m[k] for m in members], np.int64) for k in ("id", "c", "n"))
+    return ids, c, n, np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), -1), [m["keys"] for m in members]
+
+
+def _met_before(keys_a: list, keys_b: list, key: int) -> np.ndarray:
+    """Whether each pair also shares a posting of a smaller key, where it is looked at already."""
+    columns: dict[int, int] = {}
+    sides = []
+    for lists in (keys_a, keys_b):
+        at = [(i, columns.setdefault(k, len(columns))) for i, ks in enumerate(lists) for k in ks if k < key]
+        sides.append((len(lists), np.array(at, np.int64).reshape(-1, 2)))
+    incidence = []
+    for n, at in sides:
+        m = np.zeros((n, len(columns)), np.float32)
+        m[at[:, 0], at[:, 1]] = 1
+        incidence.append(m)
+    return incidence[0] @ incidence[1].T > 0
+
+
+def _candidates(percent: int, least: int):
+    """Chunk pairs -> the members of either side that have a possible partner in another component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = ((np.array([m["id"] for m in x]), np.array([m["c"] for m in x]), np.array([m["n"] for m in x]), np.frombuffer(b"".join(m["sig"] for m in x), np.uint8).reshape(len(x), -1)) for x in (row["left"], row["right"]))
-                out = [[], []]
-                for i in range(len(a[0])):
-                    ok = possible(a[2][i], a[3][i], b[2], b[3], percent, least) & (b[1] != a[1][i])
-                    if row["same"]:
-                        ok &= b[0] > a[0][i]
-                    hit = b[0][ok]
-                    out[0].append(np.minimum(hit, a[0][i]))
-                    out[1].append(np.maximum(hit, a[0][i]))
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["a", "b"])
+                a, b = _arrays(row["left"]), _arrays(row["right"])
+                ok = np.array([possible(a[2][i], a[3][i], b[2], b[3], percent, least) for i in range(len(a[0]))])
+                ok &= a[1][:, None] != b[1][None, :]
+                if ok.any():
+                    ok &= ~_met_before(a[4], b[4], row["key"])
+                if ok.any():
+                    x, y = ok.any(1), ok.any(0)
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+                    values = [row["key"], row["i"], row["j"], a[0][x], a[1][x], b[0][y], b[1][y]]
+                    yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["key", "i", "j", "ids_a", "c_a", "ids_b", "c_b"])
 
     return run
 
 
-def residual_pairs(scratch: Scratch, postings: DataFrame, label: DataFrame, percent: int, least: int) -> DataFrame:
-    """Distinct (a, b) of different components that share a posting and may be linked. Large components get chunks of
-    their own, so pairs of chunks of one component are skipped unseen."""
-    known = scratch.write(postings.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "known")
-    shares = known.groupBy("key", "c").agg(F.count("*").alias("size"))
-    large = F.col("size") >= CHUNK // 4
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, all of a with all of b, as products of incidence matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for at in range(0, len(shared), width):
+        part = shared[at : at + width]
+        sides = []
+        for sets in (a, b):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                inside = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                where = np.searchsorted(part, inside)
+                m[i, where[part[where] == inside]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_verifier(shingles: Callable[[str], np.ndarray], percent: int):
+    """Blocks of members with texts -> one link of each pair of components that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = [[m for m in row["members"] if m["side"] == k] for k in (0, 1)]
+                sets = [[shingles(m["text"]) for m in side] for side in sides]
+                if not sets[0] or not sets[1]:
+                    continue
+                both = overlaps(*sets)
+                n, m = (np.array([len(s) for s in x]) for x in sets)
+                (ids_a, c_a), (ids_b, c_b) = ((np.array([x["id"] for x in side]), np.array([x["c"] for x in side])) for side in sides)
+                linked = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (both > 0) & (c_a[:, None] != c_b[None, :])
+                i, j = np.nonzero(linked)
+                lo, hi = np.minimum(c_a[i], c_b[j]), np.maximum(c_a[i], c_b[j])
+                _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
+                x, y = ids_a[i[first]], ids_b[j[first]]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def residual_links(scratch: Scratch, postings: DataFrame, label: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int, least: int) -> DataFrame:
+    """Links (a, b) between different components of a posting, one per pair of components and block at least.
+
+    Large components get chunks of their own, so pairs of chunks of one component are skipped unseen. A pair is looked at
+    in the posting of its least common key only. Chunks are bounded in members and in shingles.
+    """
+    known = postings.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    keys = scratch.write(postings.groupBy("id").agg(F.collect_list("key").alias("keys")), "keys")
+    known = scratch.write(known, "known")
+    shares = known.groupBy("key", "c").agg(F.greatest(F.count("*") / CHUNK, F.sum("n") / MASS).alias("size"))
+    large = F.col("size") >= 0.25
     mixed = shares.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(~large, F.col("size")).otherwise(0)).alias("small")).where("components > 1")
     shares = scratch.write(shares.join(mixed, "key").select("key", "c", "size", "small"), "shares")
-    own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)))
-    common = F.pmod(F.xxhash64("c"), F.ceil(F.col("small") / CHUNK))
-    chunked = known.join(shares, ["key", "c"]).withColumn("chunk", F.when(large, own).otherwise(common))
-    member = F.struct("id", "c", "n", "sig")
-    chunks = scratch.write(chunked.groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
+    own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil("size")))
+    common = F.pmod(F.xxhash64("c"), F.ceil("small"))
+    chunked = scratch.write(known.join(shares, ["key", "c"]).withColumn("chunk", F.when(large, own).otherwise(common)).drop("size", "small"), "chunked")
+    member = F.struct("id", "c", "n", "sig", "keys")
+    chunks = scratch.write(chunked.join(keys, "id").groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
     x = chunks.select("key", F.col("chunk").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.col("members").alias("left"))
     y = chunks.select("key", F.col("chunk").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), F.col("members").alias("right"))
     alike = (F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j"))
-    met = x.join(y, "key").where((F.col("i") <= F.col("j")) & ~alike).select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-    return met.mapInArrow(_chunk_pairs(percent, least), "a long, b long").distinct()
+    met = x.join(y, "key").where((F.col("i") <= F.col("j")) & ~alike).select("key", "i", "j", "left", "right")
+    blocks = scratch.write(met.mapInArrow(_candidates(percent, least), "key long, i long, j long, ids_a array<long>, c_a array<long>, ids_b array<long>, c_b array<long>"), "blocks")
+    side = lambda k, ids, c: F.transform(F.arrays_zip(F.col(ids).alias("id"), F.col(c).alias("c")), lambda m: F.struct(F.lit(k).alias("side"), m["id"].alias("id"), m["c"].alias("c")))
+    members = scratch.write(blocks.select("key", "i", "j", F.explode(F.concat(side(0, "ids_a", "c_a"), side(1, "ids_b", "c_b"))).alias("m")).select("key", "i", "j", "m.*"), "block-members")
+    texts = scratch.write(items(members.select("id").distinct()), "residual-texts")
+    whole = members.join(texts, "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("side", "id", "c", "text")).alias("members"))
+    links = scratch.write(whole.select("members").mapInArrow(_block_verifier(shingles, percent), "a long, b long").distinct(), "residual-verified")
+    scratch.drop("keys", "known", "shares", "chunked", "chunks", "blocks", "block-members", "residual-texts")
+    scratch.release()
+    return links
 
 
 def link(scratch: Scratch, postings: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int) -> DataFrame:
     """(id, component) of all ids with a link. items: ids -> their (id, text)."""
     least = bound(percent / 100)
     postings = scratch.write(postings, "postings")
-
-    def round_(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs, f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = scratch.write(items(ids), f"{name}-texts")
-        links = scratch.write(verified(pairs, texts, shingles, percent), f"{name}-verified")
-        scratch.drop(f"{name}-texts", f"{name}-pairs")
-        scratch.release()
-        return links
-
-    first = round_(pivot_pairs(scratch, postings, percent, least), "pivot")
+    pairs = scratch.write(pivot_pairs(scratch, postings, percent, least), "pivot-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = scratch.write(items(ids), "pivot-texts")
+    first = scratch.write(verified(pairs, texts, shingles, percent), "pivot-verified")
+    scratch.drop("pivot-texts", "pivot-pairs", "pivots", "members", "stars")
+    scratch.release()
     label = components(scratch, first, "first")
-    second = round_(residual_pairs(scratch, postings, label, percent, least), "residual")
+    second = residual_links(scratch, postings, label, items, shingles, percent, least)
     label = components(scratch, first.union(second), "all")
-    scratch.drop("postings", "pivots", "members", "stars", "known", "shares", "chunks")
+    scratch.drop("postings")
     return label

@@ -90,7 +90,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: i
     posted = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("t").alias("own"))
     posted = scratch.write(posted, "posted")
     same = docs["doc_id"].eqNullSafe(posted["d"]) & (docs["t"] == posted["own"])
-    full = scratch.write(docs.join(posted, same).select("id", "text").dropDuplicates(["id"]), "texts")
+    full = scratch.write(docs.join(posted.hint("merge"), same).select("id", "text").dropDuplicates(["id"]), "texts")
     scratch.release()
 
     def items(wanted: DataFrame) -> DataFrame:

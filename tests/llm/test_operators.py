@@ -220,6 +220,7 @@ def test_near_duplicates(spark, fixture_rows, monkeypatch):
     want = brute_near(items, 3, 85)
     assert rows(neardup.near_duplicates(spark, df), "doc_id", "n_shingles", "component_id", "kept") == want
     monkeypatch.setattr(linking, "CHUNK", 8)
+    monkeypatch.setattr(linking, "MASS", 4000)
     assert rows(neardup.near_duplicates(spark, df), "doc_id", "n_shingles", "component_id", "kept") == want
     kept = neardup.drop_near_duplicates(spark, df)
     assert rows(kept, "doc_id") == {(i,) for i, _, c, _ in want if i == c} and kept.columns == df.columns
