@@ -3,7 +3,8 @@
 Trusted positives are training rows labelled 1; everything unlabelled is web text of either kind. A logistic model g on
 features of the whole text minimises pi*E_P[l(g)] + max(0, E_U[l(-g)] - pi*E_P[l(-g)]): where the second part turns
 negative (over-fitting), its gradient is followed upwards instead. The class prior pi is the least ratio of
-unlabelled to positive texts above a threshold of a cross-fitted positive-versus-unlabelled score.
+unlabelled to positive texts above a threshold of a cross-fitted positive-versus-unlabelled score, plus a multiple of its
+variance, so that few labels make the filter lenient rather than strict.
 
 Features (whole text, one pass): square roots of the frequencies of pairs of adjacent byte classes, shares of repeated
 neighbouring words and of distinct words, share of the commonest word, word and text length. Ids, language, source and
@@ -99,7 +100,11 @@ def estimate_prior(P: np.ndarray, U: np.ndarray, steps: int = 150) -> float:
         w = _descend(gradient, P.shape[1], steps)
         scores_p[1 - fold :: 2], scores_u[1 - fold :: 2] = P[1 - fold :: 2] @ w, U[1 - fold :: 2] @ w
     levels = np.quantile(scores_p, np.linspace(0.0, 0.5, 51))
-    ratios = [((scores_u >= t).mean()) / max((scores_p >= t).mean(), 1e-9) for t in levels]
+    ratios = []
+    for t in levels:
+        u, p = (scores_u >= t).mean(), (scores_p >= t).mean()
+        variance = (1 - u) / max(len(U) * u, 1) + (1 - p) / max(len(P) * p, 1)
+        ratios.append(u / max(p, 1e-9) * (1 + 5 * variance))
     return float(np.clip(min(ratios), 0.05, 0.97))
 
 
@@ -107,13 +112,14 @@ def fit(P: np.ndarray, U: np.ndarray, prior: float | None = None, steps: int = S
     """Weights (the last is the bias) and the prior."""
     P, U = (np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64) for x in (P, U))
     prior = estimate_prior(P, U) if prior is None else prior
+    decay = 1e-4 + 0.05 / len(P)
 
     def gradient(w):
         zp, zu = P @ w, U @ w
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         of_negative = U.T @ _sigmoid(zu) / len(U) - prior * (P.T @ _sigmoid(zp)) / len(P)
         of_positive = -prior * (P.T @ (1 - _sigmoid(zp))) / len(P)
-        return (of_positive + of_negative if negative >= 0 else -of_negative) + 1e-4 * w
+        return (of_positive + of_negative if negative >= 0 else -of_negative) + decay * w
 
     return _descend(gradient, P.shape[1], steps), prior
 
