@@ -3,9 +3,9 @@
 A term is a component of the query; its score bounds in a block of candidates are the largest and the smallest
 product with that component there. With the k-th best score known so far, the terms of the smallest ranges are
 non-essential for a block when all of them together cannot lift a candidate to it from the block's base. The
-essential terms of all candidates are traversed (as one matrix product for many queries), candidates whose
-essential score and remaining bounds stay competitive are probed in the other terms, and the results of the
-blocks are merged by a window with a map-side group limit.
+essential terms of all candidates are traversed (as one matrix product for many queries); the other terms are probed a
+few at a time, the widest first, while the score so far and the remaining bounds stay competitive, and the last few
+candidates are finished singly. The results of the blocks are merged by a window with a map-side group limit.
 
 Query blocks meet candidate blocks by an equi-join on (query block, candidate block): each pair of blocks is one
 row, so any task holds one pair at a time. Only the numbers of blocks reach the driver.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-ROWS, SUB = 4096, 512
+ROWS, SUB, PROBE, FEW = 4096, 256, 12, 0.02  # rows of a block; queries at once; terms probed at once; share of candidates to finish singly
 _BLOCKS = "part int, seq int, dim int, ids binary, data binary"
 
 
@@ -100,19 +100,29 @@ def max_score(best: _Best, Q: np.ndarray, qids: np.ndarray, X: np.ndarray, xids:
         theta, span = best.threshold[a : a + SUB].astype(np.float64), upper - lower
         order = np.argsort(span, axis=1)
         reach = lower.sum(1)[:, None] + np.cumsum(np.take_along_axis(span, order, 1), axis=1)
-        optional = np.zeros(q.shape, bool)
-        np.put_along_axis(optional, order, reach < theta[:, None], 1)
-        essential = np.where(optional, 0.0, q)
-        partial = essential @ X.T
-        competitive = partial + np.where(optional, upper, 0.0).sum(1)[:, None] >= theta[:, None]
-        competitive &= xids[None, :] != qids[a : a + SUB, None]
+        optional = reach < theta[:, None]
+        # level 0: essential terms; then the optional ones, the widest first, a few at a time
+        level = np.zeros(q.shape, np.int64)
+        np.put_along_axis(level, order, np.where(optional, 1 + (optional.sum(1)[:, None] - 1 - np.arange(q.shape[1])) // PROBE, 0), 1)
+        others = xids[None, :] != qids[a : a + SUB, None]
+        partial = np.where(level == 0, q, 0.0) @ X.T
+        done, last = 0, int(level.max(initial=0))
+        while True:
+            rest = np.where(level > done, upper, 0.0).sum(1)
+            competitive = (partial + rest[:, None] >= theta[:, None]) & others
+            if done == last or competitive.mean() < FEW:
+                break
+            done += 1
+            partial += np.where(level == done, q, 0.0) @ X.T
         fresh = np.isinf(theta)
         if fresh.any() and X.shape[0] > best.k:  # no threshold yet: the k-th score of this block is one
-            own = np.where(xids[None, :] != qids[a : a + SUB, None], partial, -np.inf)[fresh]
+            own = np.where(others, partial, -np.inf)[fresh]
             kth = -np.partition(-own, best.k - 1, axis=1)[:, best.k - 1]
             competitive[fresh] &= own >= kth[:, None]
         rows, cols = np.nonzero(competitive)
-        score = partial[rows, cols] + np.einsum("ij,ij->i", (q - essential)[rows], X[cols])
+        score = partial[rows, cols]
+        if done < last:
+            score += np.einsum("ij,ij->i", np.where(level > done, q, 0.0)[rows], X[cols])
         keep = score >= theta[rows]
         best.add(rows[keep] + a, score[keep], xids[cols[keep]])
 
