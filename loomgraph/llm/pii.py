@@ -78,17 +78,17 @@ def _found(text: Column, kind: int) -> Column:
     name = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0))
     gaps = F.split(text, PATTERNS[name], -1)
-    row = lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), m.alias("match"), F.length(gaps[i]).alias("gap"), F.right(gaps[i], F.lit(CONTEXT)).alias("before"), F.left(gaps[i + 1], F.lit(CONTEXT)).alias("after"))
+    zipped = F.arrays_zip(matches.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("n"))  # not inside the lambda, which would split again for each match
+    row = lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), z["m"].alias("match"), F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(CONTEXT)).alias("before"), F.left(z["n"], F.lit(CONTEXT)).alias("after"))
     none = F.array().cast("array<struct<kind:int,pos:int,match:string,gap:int,before:string,after:string>>")
-    return F.when(text.rlike(_NEEDS[name]), F.transform(matches, row)).otherwise(none)
+    return F.when(text.rlike(_NEEDS[name]), F.filter(F.transform(zipped, row), lambda r: r["match"].isNotNull())).otherwise(none)
 
 
 def base_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
     """key, kind, match, start, end, before, after of every valid base span of each distinct text."""
     any_ = F.flatten(F.array(*(_found(F.col("text"), k) for k in range(4))))
-    hit = keyed.where(F.col("text").rlike("[0-9]|@")).select("key", any_.alias("found")).where(F.size("found") > 0)
-    once = hit.groupBy("key").agg(F.any_value("found").alias("found"))
-    rows = once.select("key", F.explode("found").alias("f")).select("key", "f.*", F.lit("").alias("sub"))
+    hit = keyed.where(F.col("text").rlike("[0-9]|@")).select("key", F.explode(any_).alias("f"))
+    rows = hit.select("key", "f.*").distinct().withColumn("sub", F.lit(""))
     spans = _placed(rows).where(_valid(F.col("kind"), F.col("match")))
     return scratch.write(spans.select("key", "kind", "match", "start", "end", "before", "after"), "base")
 
@@ -133,8 +133,9 @@ def term_spans(scratch: Scratch, keyed: DataFrame, flagged: DataFrame) -> DataFr
     where = scratch.write(hits.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms")), "where")
     pattern = "concat('(?iu)(?<![\\\\p{L}])', t.term, '(?![\\\\p{L}])')"
     rows = keyed.join(where, "key").groupBy("key", "terms").agg(F.any_value("text").alias("text")).select("key", "text", F.explode("terms").alias("t"))
-    rows = rows.select("key", F.col("t.term").alias("sub"), F.col("t.share").alias("share"), F.expr(f"regexp_extract_all(text, {pattern}, 0)").alias("m"), F.expr(f"transform(split(text, {pattern}, -1), g -> length(g))").alias("g"))
-    rows = rows.select("key", "sub", "share", F.lit(4).alias("kind"), "g", F.posexplode("m").alias("pos", "match")).withColumn("gap", F.expr("g[pos]")).drop("g")
+    zipped = f"arrays_zip(regexp_extract_all(text, {pattern}, 0), transform(split(text, {pattern}, -1), g -> length(g)))"
+    rows = rows.select("key", F.col("t.term").alias("sub"), F.col("t.share").alias("share"), F.lit(4).alias("kind"), F.expr(f"posexplode({zipped})").alias("pos", "z"))
+    rows = rows.select("key", "sub", "share", "kind", "pos", F.col("z")["0"].alias("match"), F.col("z")["1"].alias("gap")).where("match is not null")
     return scratch.write(_placed(rows).select("key", "kind", "match", "start", "end", "share"), "terms")
 
 
