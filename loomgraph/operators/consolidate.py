@@ -43,14 +43,16 @@ def numeric_slots(text):
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
-    def slot(m, i):
+    def slot(z):
+        m = z["m"]
         unit = F.lower(F.regexp_extract(m, r"(%|[A-Za-z]+)$", 1))
-        near = F.concat_ws(" ", F.right(gaps[i], F.lit(45)), F.left(gaps[i + 1], F.lit(45)))
+        near = F.concat_ws(" ", F.right(z["g"], F.lit(45)), F.left(z["n"], F.lit(45)))
         words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(r"\p{L}+"), F.lit(0))), lambda w: F.length(w) > 2)
         value = F.regexp_extract(m, r"^[0-9]+(?:\.[0-9]+)?", 0).cast("double") * F.coalesce(factor[unit], F.lit(1.0))
         return F.struct(F.coalesce(kind[unit], unit).alias("class"), value.alias("value"), words.alias("words"))
 
-    return F.transform(found, slot)
+    zipped = F.arrays_zip(found.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("n"))
+    return F.transform(F.filter(zipped, lambda z: z["m"].isNotNull()), slot)
 
 
 def numeric_gate(pairs: DataFrame, entities: DataFrame, least: float = 0.65) -> DataFrame:
