@@ -1,7 +1,8 @@
 """Graph queries over typed edges (source_id, target_id, edge_type, weight): breadth-first expansion, impact, orphans, links.
 
-Hops are bounded, so each traversal is one plan of a few joins. Discovery is by window functions with a total order, and
-all seeds move together. Visited nodes are removed by anti-joins, never collected.
+Hops are bounded. Discovery is by window functions with a total order, and all seeds move together. Visited nodes are
+removed by anti-joins, never collected. Each hop's frontier is written to the shared folder, so that a later hop neither
+repeats the earlier ones nor depends on them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import CODE_TYPES, CURATED, DEFAULT, DEPENDENCY
 from loomgraph.functions.exprs import edge_weight, is_test_path
+from loomgraph.session import Scratch
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -23,11 +25,11 @@ def undirected(edges: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, key: str = "seed") -> DataFrame:
     """(seed, id, depth): what each seed (seed, id) reaches in at most `hops` undirected steps, itself excluded."""
     both = undirected(edges).select("node", "neighbor").distinct()
-    seen = seeds.select(key, "id", F.lit(0).alias("depth"))
-    frontier = seen
+    scratch = Scratch(edges.sparkSession, "hops")
+    seen = frontier = scratch.write(seeds.select(key, "id", F.lit(0).alias("depth")), "0")
     for depth in range(1, hops + 1):
         reached = frontier.join(both, F.col("id") == F.col("node")).select(key, F.col("neighbor").alias("id")).distinct()
-        frontier = reached.join(seen.select(key, "id"), [key, "id"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = scratch.write(reached.join(seen.select(key, "id"), [key, "id"], "left_anti").withColumn("depth", F.lit(depth)), str(depth))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -40,12 +42,14 @@ def expand_paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """
     both = undirected(edges).withColumn("w", edge_weight(F.col("edge_type")))
     start = seeds.select("id", F.lit(0).alias("depth"), F.col("id").alias("seed"), F.array("id").alias("path"), F.array().cast("array<string>").alias("edge_path"), F.lit(1.0).alias("weight")).dropDuplicates(["id"])
-    seen, frontier = start, start
+    scratch = Scratch(edges.sparkSession, "paths")
+    seen = frontier = scratch.write(start, "0")
     for depth in range(1, hops + 1):
         met = frontier.join(both, F.col("id") == F.col("node")).join(seen.select(F.col("id").alias("neighbor")), "neighbor", "left_anti")
         order = Window.partitionBy("neighbor").orderBy(F.desc("w"), "source_id", "target_id", "edge_type", (F.col("node") == F.col("source_id")).cast("int").desc())
         first = met.withColumn("r", F.row_number().over(order)).where("r = 1")
-        frontier = first.select(F.col("neighbor").alias("id"), F.lit(depth).alias("depth"), "seed", F.concat("path", F.array("neighbor")).alias("path"), F.concat("edge_path", F.array("edge_type")).alias("edge_path"), (F.col("weight") * F.col("w")).alias("weight"))
+        found = first.select(F.col("neighbor").alias("id"), F.lit(depth).alias("depth"), "seed", F.concat("path", F.array("neighbor")).alias("path"), F.concat("edge_path", F.array("edge_type")).alias("edge_path"), (F.col("weight") * F.col("w")).alias("weight"))
+        frontier = scratch.write(found, str(depth))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -100,11 +104,12 @@ def callers(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def impact_set(edges: DataFrame, ids: DataFrame, depth: int = 4) -> DataFrame:
     """(root, id, depth, via_edge): what depends on each root, by least depth; ties take the least edge type."""
     depends = edges.where(F.col("edge_type").isin(*DEPENDENCY)).select(F.col("target_id").alias("node"), F.col("source_id").alias("by"), "edge_type")
-    seen = ids.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge"))
-    frontier = seen
+    scratch = Scratch(edges.sparkSession, "impact")
+    seen = frontier = scratch.write(ids.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge")), "0")
     for d in range(1, depth + 1):
         met = frontier.select("root", "id").join(depends, F.col("id") == F.col("node")).select("root", F.col("by").alias("id"), "edge_type")
-        frontier = met.join(seen.select("root", "id"), ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min("edge_type").alias("via_edge")).select("root", "id", F.lit(d).alias("depth"), "via_edge")
+        found = met.groupBy("root", "id").agg(F.min("edge_type").alias("via_edge")).join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth"), "via_edge")
+        frontier = scratch.write(found, str(d))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 

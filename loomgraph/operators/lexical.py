@@ -9,15 +9,19 @@ from loomgraph.functions.constants import DEFAULT, STOPWORDS
 from loomgraph.functions.exprs import tokens
 
 
-def postings(entities: DataFrame, cfg=DEFAULT) -> DataFrame:
+def postings(entities: DataFrame, cfg=DEFAULT, wanted: DataFrame | None = None) -> DataFrame:
     """(term, id, tf, title_tf, content_tf, dl) of entities (id, title, content): one row per term and entity.
 
-    tf is weighted by column; dl counts all tokens. Aggregation is partial before its one shuffle.
+    tf is weighted by column; dl counts all tokens. Aggregation is partial before its one shuffle. With `wanted` (term), other
+    tokens are dropped before they are counted; Spark broadcasts the terms if they are few.
     """
     title, content = tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("content", F.lit("")))
     sized = entities.select("id", title.alias("a"), content.alias("b")).withColumn("dl", F.size("a") + F.size("b"))
     tagged = F.concat(F.transform("a", lambda t: F.struct(t.alias("term"), F.lit(1).alias("t"))), F.transform("b", lambda t: F.struct(t.alias("term"), F.lit(0).alias("t"))))
-    counted = sized.select("id", "dl", F.explode(tagged).alias("x")).groupBy("id", F.col("x.term").alias("term"), "dl").agg(F.sum("x.t").alias("title_tf"), F.sum(1 - F.col("x.t")).alias("content_tf"))
+    seen = sized.select("id", "dl", F.explode(tagged).alias("x")).select("id", "dl", "x.term", "x.t")
+    if wanted is not None:
+        seen = seen.join(wanted.select("term").distinct(), "term", "left_semi")
+    counted = seen.groupBy("id", "term", "dl").agg(F.sum("t").alias("title_tf"), F.sum(1 - F.col("t")).alias("content_tf"))
     tf = cfg.title_weight * F.col("title_tf") + cfg.content_weight * F.col("content_tf")
     return counted.select("term", "id", tf.alias("tf"), "title_tf", "content_tf", "dl")
 
@@ -56,9 +60,11 @@ def bm25(posts: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int | None
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def feedback_terms(posts: DataFrame, hits: DataFrame, terms: DataFrame, cfg=DEFAULT) -> DataFrame:
-    """(query_id, term, score, df): expansion terms from each query's first hits (query_id, id, rank)."""
+def feedback_terms(entities: DataFrame, hits: DataFrame, terms: DataFrame, cfg=DEFAULT) -> DataFrame:
+    """(query_id, term, score, df): expansion terms from each query's first hits (query_id, id, rank). Only the hits' texts are read
+    into postings."""
     top = hits.where(F.col("rank") <= cfg.prf_docs).select("query_id", "id")
+    posts = postings(entities.join(top.select("id").distinct(), "id", "left_semi"), cfg)
     seen = posts.join(top, "id").where((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(*dict.fromkeys(STOPWORDS)))
     scored = seen.groupBy("query_id", "term").agg(F.sum(3 * F.col("title_tf") + F.col("content_tf")).alias("score"), F.count("*").alias("df")).where("df >= 2")
     novel = scored.join(terms, ["query_id", "term"], "left_anti")
@@ -66,10 +72,10 @@ def feedback_terms(posts: DataFrame, hits: DataFrame, terms: DataFrame, cfg=DEFA
     return novel.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.prf_terms)
 
 
-def expanded_hits(posts: DataFrame, hits: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int, cfg=DEFAULT) -> DataFrame:
+def expanded_hits(entities: DataFrame, hits: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int, cfg=DEFAULT) -> DataFrame:
     """Second pass with feedback terms; only entities that the first pass lacks."""
-    more = terms.unionByName(feedback_terms(posts, hits, terms, cfg).select("query_id", "term"))
-    return bm25(posts, more, n, avgdl, k, cfg).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    more = terms.unionByName(feedback_terms(entities, hits, terms, cfg).select("query_id", "term"))
+    return bm25(postings(entities, cfg, more), more, n, avgdl, k, cfg).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
 
 
 def answer_coverage(entities: DataFrame, posts: DataFrame, terms: DataFrame, hits: DataFrame, n: int, cfg=DEFAULT) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import CODE_TYPES, DEFAULT
 from loomgraph.operators import fusion, graph, lexical, vector
+from loomgraph.session import Scratch
 
 
 @dataclass
@@ -22,11 +23,15 @@ class Corpus:
 
 
 def lexical_hits(corpus: Corpus, queries: DataFrame, k: int, cfg=DEFAULT):
-    """First-pass hits, with what later steps reuse: postings, terms, corpus size."""
-    posts, terms = lexical.postings(corpus.entities, cfg), lexical.query_terms(queries)
+    """First-pass hits, with what later steps reuse: the terms' postings, the terms, corpus size. Hits are a few rows per query and
+    feed several later steps, so they are written once."""
+    terms = lexical.query_terms(queries)
+    posts = lexical.postings(corpus.entities, cfg, terms)
     size = lexical.corpus_size(corpus.entities).first()
     n, avgdl = size["n"], size["avgdl"] or 1.0
-    return lexical.bm25(posts, terms, n, avgdl, k, cfg), posts, terms, n, avgdl
+    scratch = Scratch(corpus.entities.sparkSession, "hits")
+    posts = scratch.write(posts, "postings")
+    return scratch.write(lexical.bm25(posts, terms, n, avgdl, k, cfg), "hits"), posts, terms, n, avgdl
 
 
 def search_many(corpus: Corpus, queries: DataFrame, limit: int = DEFAULT.max_results, cfg=DEFAULT) -> DataFrame:
@@ -38,7 +43,7 @@ def search_many(corpus: Corpus, queries: DataFrame, limit: int = DEFAULT.max_res
     """
     wide = 3 * limit
     hits, posts, terms, n, avgdl = lexical_hits(corpus, queries, wide, cfg)
-    more = lexical.expanded_hits(posts, hits.where(F.col("rank") <= limit), terms, n, avgdl, wide, cfg)
+    more = lexical.expanded_hits(corpus.entities, hits.where(F.col("rank") <= limit), terms, n, avgdl, wide, cfg)
     lists = [hits.select("query_id", "id", "rank", F.lit(cfg.fts_weight).alias("weight"), F.lit("fts").alias("list"))]
     again = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     lists.append(more.select("query_id", "id", F.row_number().over(again).alias("rank"), F.lit(0.3 * cfg.fts_weight).alias("weight"), F.lit("feedback").alias("list")))

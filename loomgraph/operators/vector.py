@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.exprs import cosine, l2
+from loomgraph.functions.exprs import l2
 
 
 def knn(vectors: DataFrame, query: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
@@ -35,8 +39,36 @@ def knn_self(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def near_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """(id, other, similarity) of all pairs id < other with a cosine above the threshold."""
-    other = vectors.select(F.col("id").alias("other"), F.col("embedding").alias("e"))
-    met = block_pairs(vectors.select("id", "embedding"), other, blocks).where("id < other")
-    return met.select("id", "other", cosine(F.col("embedding"), F.col("e")).alias("similarity")).where(F.col("similarity") > threshold)
+def _block_cosines(threshold: float, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = []
+                for name in ("left", "right"):
+                    ids = np.array([m["id"] for m in row[name]])
+                    v = np.array([m["e"] for m in row[name]], np.float64)
+                    size = np.sqrt((v * v).sum(1))
+                    sides.append((ids, v / np.where(size > 0, size, 1)[:, None]))
+                (a, x), (b, y) = sides
+                s = x @ y.T
+                i, j = np.nonzero(s > threshold)
+                x_id, y_id = a[i], b[j]
+                keep = x_id < y_id if row["i"] == row["j"] else np.ones(len(i), bool)
+                lo, hi = np.minimum(x_id, y_id), np.maximum(x_id, y_id)
+                yield pa.record_batch([pa.array(lo[keep].tolist(), kind), pa.array(hi[keep].tolist(), kind), pa.array(s[i, j][keep])], names=["id", "other", "similarity"])
+
+    return run
+
+
+def near_pairs(vectors: DataFrame, threshold: float, rows: int = 2048) -> DataFrame:
+    """(id, other, similarity) of all pairs id < other with a cosine above the threshold; ids are unique, vectors of one length.
+
+    Blocks of about `rows` vectors meet once each as a grid of equi-joined rows; a pair of blocks is one matrix product.
+    """
+    n = max(1, -(-vectors.count() // rows))
+    kind = vectors.schema["id"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    blocks = vectors.where("id is not null and embedding is not null").withColumn("i", block).groupBy("i").agg(F.collect_list(F.struct("id", F.col("embedding").alias("e"))).alias("left"))
+    left = blocks.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
+    pairs = left.join(blocks.select(F.col("i").alias("j"), F.col("left").alias("right")), "j").select("i", "j", "left", "right")
+    return pairs.mapInArrow(_block_cosines(threshold, pa.string() if kind == "string" else pa.int64()), f"id {kind}, other {kind}, similarity double")

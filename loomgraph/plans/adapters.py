@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import Scratch
+
 EPOCH = 1704067200  # 2024-01-01
 
 
@@ -61,6 +63,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges(), written once for operators that read it at every hop."""
+    return Scratch(spark, "edges").write(edges(spark, sf_dir), "edges")
+
+
 EDGES = """edge AS (
   SELECT DISTINCT 'o:' || l_orderkey AS source_id, 'p:' || l_partkey AS target_id, 'contains' AS edge_type FROM lineitem
   UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey, 'calls' FROM lineitem

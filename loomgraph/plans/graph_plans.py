@@ -13,24 +13,24 @@ from loomgraph.plans import adapters as A
 
 def k_hop(spark, d):
     seeds = A.read(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("seed"), F.concat(F.lit("r:"), "r_regionkey").alias("id"))
-    return graph.k_hop(A.edges(spark, d), seeds, 2).select("seed", "id", F.col("depth").cast("long").alias("depth"))
+    return graph.k_hop(A.edge_table(spark, d), seeds, 2).select("seed", "id", F.col("depth").cast("long").alias("depth"))
 
 
 def expand_paths(spark, d):
     seeds = A.read(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
-    out = graph.expand_paths(A.edges(spark, d), seeds, 2)
+    out = graph.expand_paths(A.edge_table(spark, d), seeds, 2)
     return out.select("id", F.col("depth").cast("long").alias("depth"), "seed", F.array_join("path", ">").alias("path"), F.array_join("edge_path", ">").alias("edge_path"), "weight")
 
 
 def path_descriptions(spark, d):
     seeds = A.read(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
     titles = A.read(spark, d, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), F.col("n_name").alias("title")).unionByName(A.read(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.col("r_name").alias("title")))
-    return graph.describe_paths(graph.expand_paths(A.edges(spark, d), seeds, 1), titles).select("id", "description")
+    return graph.describe_paths(graph.expand_paths(A.edge_table(spark, d), seeds, 1), titles).select("id", "description")
 
 
 def graph_first(spark, d):
     seeds = A.read(spark, d, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), (1 / (1 + F.col("n_nationkey") / F.lit(20.0))).alias("weight"))
-    return graph.graph_first(A.edges(spark, d), seeds).select("id", F.round("score", 6).alias("score"), "direct")
+    return graph.graph_first(A.edge_table(spark, d), seeds).select("id", F.round("score", 6).alias("score"), "direct")
 
 
 def callers(spark, d):
@@ -40,7 +40,8 @@ def callers(spark, d):
 
 def impact_set(spark, d):
     ids = A.code_entities(spark, d).where("type = 'class'").select("id")
-    chain = A.edges(spark, d).where("edge_type = 'calls'").unionByName(A.edges(spark, d).where("edge_type = 'contains'").withColumn("edge_type", F.lit("imports")))
+    kind = F.when(F.col("edge_type") == "contains", "imports").otherwise(F.col("edge_type"))
+    chain = A.edge_table(spark, d).withColumn("edge_type", kind)
     return graph.impact_set(chain, ids, 2).groupBy("root", "depth", "via_edge").agg(F.count("*").alias("n")).select("root", F.col("depth").cast("long").alias("depth"), "via_edge", "n")
 
 

@@ -24,13 +24,13 @@ def bm25_topk(spark, d):
 
 
 def doc_freq(spark, d):
-    posts = lexical.postings(A.doc_entities(spark, d))
-    return lexical.document_frequency(posts, lexical.query_terms(A.search_queries(spark, d)))
+    terms = lexical.query_terms(A.search_queries(spark, d))
+    return lexical.document_frequency(lexical.postings(A.doc_entities(spark, d), wanted=terms), terms)
 
 
 def prf_terms(spark, d):
-    _, (hits, posts, terms, *_) = _search(spark, d)
-    out = lexical.feedback_terms(posts, hits, terms)
+    corpus, (hits, _, terms, *_) = _search(spark, d)
+    out = lexical.feedback_terms(corpus.entities, hits, terms)
     return out.select("query_id", "term", F.col("score").cast("long").alias("score"), "df", F.col("rank").cast("long").alias("rank"))
 
 
