@@ -137,14 +137,20 @@ def line_jaccard(sections: DataFrame, least: float = DEFAULT.section_jaccard) ->
 
 
 def category_typos(categories: DataFrame, distance: int = 2, rare: int = 2, common: int = 3) -> DataFrame:
-    """(category, likely): categories near a record category, or rare ones near common ones; categories: category, n."""
+    """(category, likely): categories near a record category, or rare ones near common ones; categories: category, n.
+
+    Words within an edit distance have lengths within it too, so they meet on the length.
+    """
     records = categories.sparkSession.createDataFrame([(c,) for c in RECORD_CATEGORIES], "likely string")
     low = categories.select(F.lower("category").alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
-    near = lambda a, b: F.levenshtein(a, b).between(1, distance) & (F.abs(F.length(a) - F.length(b)) <= distance)
-    by_record = low.join(F.broadcast(records), near(F.col("category"), F.col("likely"))).select("category", "likely")
+    reach = F.explode(F.sequence(F.length("category") - distance, F.length("category") + distance))
+
+    def near(rows: DataFrame, targets: DataFrame) -> DataFrame:
+        met = rows.withColumn("_l", reach).join(targets.withColumn("_l", F.length("likely")), "_l")
+        return met.where(F.levenshtein("category", "likely", distance).between(1, distance)).select("category", "likely")
+
     frequent = low.where(F.col("n") >= common).select(F.col("category").alias("likely"))
-    by_count = low.where(F.col("n") <= rare).join(F.broadcast(frequent), near(F.col("category"), F.col("likely"))).select("category", "likely")
-    return by_record.union(by_count).distinct()
+    return near(low, records).union(near(low.where(F.col("n") <= rare), frequent)).distinct()
 
 
 def suspicious_rules(entities: DataFrame) -> DataFrame:

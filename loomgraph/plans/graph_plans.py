@@ -209,8 +209,8 @@ def suspicious_rules(spark, d):
 
 
 def category_typos(spark, d):
-    words = A.read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("category")).where(F.length("category").between(7, 10))
-    return consolidate.category_typos(words.groupBy("category").agg(F.count("*").alias("n")).where("category like '%cision' or category like 'bench%' or category like 'incid%' or category like '%eplay'"))
+    words = A.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("category"))
+    return consolidate.category_typos(words.groupBy("category").agg(F.count("*").alias("n")))
 
 
 def corrupt_json(spark, d):
@@ -413,3 +413,10 @@ ORACLES["recurring_use"] = f"SELECT key, count(*) AS hits FROM ({ORACLES['hit_at
 ORACLES["saves_after_anchor"] = f"WITH {A.LOG} SELECT o.id AS anchor_id, o.actor, count(DISTINCT t.key) AS saves FROM bounded o JOIN bounded t ON t.actor = o.actor AND t.stage = o.stage AND t.kind = 'touch' AND (t.ts > o.ts OR (t.ts = o.ts AND t.id > o.id)) WHERE o.kind = 'open' GROUP BY o.id, o.actor"
 ORACLES["search_miss"] = f"SELECT s.* FROM ({ORACLES['saves_after_anchor']}) s JOIN events ON event_id = anchor_id WHERE value < 1"
 ORACLES["uncharted_edit"] = f"SELECT s.* FROM ({ORACLES['saves_after_anchor']}) s WHERE anchor_id IN (SELECT delivery_id FROM ({ORACLES['hit_attribution']}) WHERE outcome <> 'hit')"
+ORACLES["category_typos"] = r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS category FROM benchmark), c AS (SELECT category, count(*) AS n FROM w GROUP BY category)
+    SELECT DISTINCT a.category, b.likely FROM c a JOIN (SELECT category AS likely, n FROM c WHERE n >= 3) b ON a.n <= 2 AND levenshtein(a.category, b.likely) BETWEEN 1 AND 2
+    UNION SELECT category, r FROM c JOIN (SELECT unnest(['decision', 'decisions', 'benchmark', 'replay', 'incident']) AS r) ON levenshtein(category, r) BETWEEN 1 AND 2"""
+_REDACT = "content"
+for _kind, _pattern in SECRETS:
+    _REDACT = "regexp_replace({}, '{}', '[redacted: {}]', 'g')".format(_REDACT, _pattern.replace("'", "''"), _kind)
+ORACLES["secret_redaction"] = f"WITH {A.ENTITIES} SELECT id, sha256({_REDACT}) AS clean FROM ent"
