@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 class WordHashes(dict):
     """Word bytes -> 64-bit hash; bounded, since it is only a cache."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
@@ -38,6 +39,12 @@ class WordHashes(dict):
         return value
 
 
+@functools.cache
+def word_hashes() -> WordHashes:
+    """One per Python worker, for all operators."""
+    return WordHashes()
+
+
 def words_of(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z only, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -52,19 +59,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def consecutive_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the runs of k word hashes."""
+    n = len(h) - k + 1
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total += h[j : j + n] * _MULTIPLIERS[j % 7]
+    return mix64(total)
+
+
 def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer than k words count as one shingle; none without words."""
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    total = np.zeros(n, np.uint64)
     if len(h) >= k:
-        for j in range(k):
-            total += h[j : j + n] * _MULTIPLIERS[j % 7]
-    else:
-        for j in range(len(h)):
-            total += h[j : j + 1] * _MULTIPLIERS[j % 7]
-        total += np.uint64(len(h))
+        return np.unique(consecutive_hashes(h, k))
+    total = np.full(1, len(h), np.uint64)
+    for j in range(len(h)):
+        total += h[j : j + 1] * _MULTIPLIERS[j % 7]
     return np.unique(mix64(total))
 

@@ -25,18 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import WordHashes, shingle_hashes, texts, words_of
+from loomgraph.llm.common import shingle_hashes, texts, word_hashes, words_of
 from loomgraph.session import Scratch
 
 K, PERCENT, COORDINATES, MATCHES = 3, 85, 32, 16
 _RANDOM = np.random.default_rng(20240601).integers(1, 2**63, linking.SIG // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.cache
-def _words() -> WordHashes:
-    return WordHashes()
-
-
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
     """SIG uint32 minima: two 32-bit halves of each multiplied hash."""
     low = np.full(linking.SIG, 0xFFFFFFFF, np.uint32)
@@ -51,7 +46,7 @@ def estimate_bytes(minima: np.ndarray) -> bytes:
 
 
 def shingles_of(text: str, k: int = K) -> np.ndarray:
-    return shingle_hashes(words_of(text), k, _words())
+    return shingle_hashes(words_of(text), k, word_hashes())
 
 
 def _signer(k: int):
@@ -109,4 +104,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: i
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: the least doc_id of each component."""
     gone = near_duplicates(spark, docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -1,11 +1,12 @@
 """Repeated passages by paragraph MinHash banding.
 
-Paragraphs are lines. Lines of at least NEAR words take part in near matching: 12 bands of 3 coordinates over five-word
-shingles (a pair at the similarity 0.8 shares a band but for a chance of 2e-4), colliding paragraphs are joined and
+Paragraphs are lines. Lines of at least NEAR words take part in near matching: 10 bands of 3 coordinates over five-word
+shingles (a pair at the similarity 0.8 shares a band but for a chance of 8e-4), colliding paragraphs are joined and
 verified on their exact Jaccard similarity, and components cluster them (see linking). A paragraph within a longer line has
 no line of its own, so the sentences of those lines (five words or more) are paragraphs too, matched exactly. In each
-cluster the first place, by (doc_id, start), is kept. In every document, neighbouring repeated paragraphs form runs;
-runs of at least RUN words are repeated passages and are removed, shorter repetitions (headings, stock phrases) stay.
+cluster the first place, by (doc_id, start), is kept. In every document, neighbouring repeated paragraphs, at most GAP words
+apart (sentences too short to be looked up), form runs; runs of at least RUN words are repeated passages and are
+removed, shorter repetitions (headings, stock phrases) stay.
 
 Defined results: null texts are empty and have no paragraphs; rows that repeat a doc_id and text are the same place, so
 none of them is a repetition of another; null doc_ids sort first; offsets are code points, end exclusive.
@@ -13,7 +14,6 @@ none of them is a repetition of another; null doc_ids sort first; offsets are co
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -24,21 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import WordHashes, shingle_hashes, texts
+from loomgraph.llm.common import WordHashes, consecutive_hashes, shingle_hashes, texts, word_hashes
 from loomgraph.llm.neardup import _RANDOM, estimate_bytes, min_hashes
 from loomgraph.session import Scratch
 
-K, PERCENT, NEAR, LEAST, RUN, GAP = 5, 80, 30, 5, 40, 40
-BANDS, ROWS = 12, 3
+K, PERCENT, NEAR, SPLIT, LEAST, RUN, GAP = 5, 80, 30, 12, 5, 32, 8
+BANDS, ROWS = 10, 3
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 
 
-@functools.cache
-def _words() -> WordHashes:
-    return WordHashes()
-
-
 def _normal(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -47,43 +42,65 @@ def _hash(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, words): lines of LEAST words or more, and such sentences of lines with NEAR words or more."""
+def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes], int]]:
+    """(start, end, words, first): lines of LEAST words or more, and such sentences of lines with SPLIT words or more; first is
+    the number of words before it."""
+    before = 0
     for line in _LINE.finditer(text):
         words = _normal(line[0])
         if len(words) >= LEAST:
-            yield line.start(), line.end(), words
-        if len(words) >= NEAR:
+            yield line.start(), line.end(), words, before
+        if len(words) >= SPLIT:
+            inside = before
             for sentence in _SENTENCE.finditer(text, line.start(), line.end()):
                 inner = _normal(sentence[0])
                 if LEAST <= len(inner) < len(words):
-                    yield sentence.start(), sentence.end(), inner
+                    yield sentence.start(), sentence.end(), inner, inside
+                inside += len(inner)
+        before += len(words)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every paragraph's place: (doc_id, t, id, start, end, words)."""
+    """Every paragraph's place: (doc_id, t, id, start, end, first, last), the last two in words."""
     for batch in batches:
-        docs, ids, starts, ends, counts = [], [], [], [], []
+        docs, ids, starts, ends, firsts, lasts = [], [], [], [], [], []
         for k, text in enumerate(batch.column(1)):
-            for start, end, words in paragraphs(text.as_py()):
+            for start, end, words, first in paragraphs(text.as_py()):
                 docs.append(k)
                 ids.append(_hash(words))
                 starts.append(start)
                 ends.append(end)
-                counts.append(len(words))
+                firsts.append(first)
+                lasts.append(first + len(words))
         at = pa.array(docs, pa.int32())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(counts, pa.int32())], names=["doc_id", "t", "id", "start", "end", "words"])
+        yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (starts, ends, firsts, lasts))], names=["doc_id", "t", "id", "start", "end", "first_word", "last_word"])
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        product = shingles[at : at + 4096, None] * _RANDOM[None, : BANDS * ROWS // 2]
-        np.minimum(low, product.view(np.uint32).min(0), out=low)
-    keys = np.zeros(BANDS, np.uint64)
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The id of every place."""
+    for batch in batches:
+        yield pa.record_batch([pa.array([_hash(words) for text in batch.column(0) for _, _, words, _ in paragraphs(text.as_py())], pa.int64())], names=["id"])
+
+
+def band_keys(lines: list[list[bytes]], cache: WordHashes) -> np.ndarray:
+    """[lines, BANDS] 64-bit keys: MinHash over the K-word shingles of each line (of K words or more), all lines at once."""
+    sizes = np.array([len(words) for words in lines])
+    h = np.fromiter((cache[w] for words in lines for w in words), np.uint64, int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(h) - K + 1, bool)  # shingles that cross no line
+    for j in range(1, K):
+        inside[ends[:-1] - j] = False
+    shingles = consecutive_hashes(h, K)[inside]
+    starts = np.concatenate([[0], np.cumsum(sizes - K + 1)[:-1]])
+    low = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    for a in range(0, len(lines), 256):
+        b = min(len(lines), a + 256)
+        part = shingles[starts[a] : starts[b] if b < len(lines) else None]
+        product = (part[:, None] * _RANDOM[None, : BANDS * ROWS // 2]).view(np.uint32)
+        low[a:b] = np.minimum.reduceat(product, starts[a:b] - starts[a], axis=0)
+    keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = (keys ^ low.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        keys = (keys ^ low.reshape(len(lines), BANDS, ROWS)[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     return (keys * np.uint64(16) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
@@ -91,13 +108,21 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The long lines: (id, bands), each line once per batch."""
     for batch in batches:
-        found: dict[int, np.ndarray] = {}
+        seen: set[int] = set()
+        ids, bands = [], [np.empty((0, BANDS), np.int64)]
         for text in batch.column(0):
+            fresh = []
             for line in _LINE.finditer(text.as_py()):
                 words = _normal(line[0])
-                if len(words) >= NEAR and (key := _hash(words)) not in found:
-                    found[key] = band_keys(shingle_hashes(words, K, _words()))
-        yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["id", "bands"])
+                if len(words) >= NEAR and (key := _hash(words)) not in seen:
+                    seen.add(key)
+                    ids.append(key)
+                    fresh.append(words)
+            if fresh:
+                bands.append(band_keys(fresh, word_hashes()))
+        flat = np.concatenate(bands)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(flat.reshape(-1)))
+        yield pa.record_batch([pa.array(ids, pa.int64()), lists], names=["id", "bands"])
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +137,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(text: str) -> np.ndarray:
-    return shingle_hashes(_normal(text), K, _words())
+    return shingle_hashes(_normal(text), K, word_hashes())
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +153,7 @@ def near_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     shared = scratch.write(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared")
     collided = scratch.write(bands.join(shared, "key"), "collided")
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
-    lines = docs.select("text").mapInArrow(_line_texts, "id long, text string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    lines = docs.select("text").mapInArrow(_line_texts, "id long, text string").join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     lines = scratch.write(lines, "lines")
     scratch.drop("bands", "shared")
     scratch.release()
@@ -138,16 +163,16 @@ def near_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
 
 
 def repeated_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Every place of a cluster of paragraphs with more than one place: doc_id, t, start, end, words, component, first."""
+    """Every place of a cluster of paragraphs with more than one place: doc_id, t, start, end, words from and to, component, first."""
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
     near = near_lines(scratch, docs)
     place = F.struct("doc_id", "t", "start")
-    places = docs.select("doc_id", "text", "t").mapInArrow(_places, "doc_id long, t long, id long, start int, end int, words int")
+    places = docs.select("doc_id", "text", "t").mapInArrow(_places, "doc_id long, t long, id long, start int, end int, first_word int, last_word int")
     # a class is repeated if it has two places or a near copy
-    classes = places.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    classes = docs.select("text").mapInArrow(_ids, "id long").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     classes = scratch.write(classes.select("id"), "classes")
     clusters = scratch.write(classes.join(near, "id", "full").select("id", F.coalesce("component", "id").alias("component")), "clusters")
-    found = scratch.write(places.join(clusters, "id").drop("id"), "places")
+    found = scratch.write(places.join(clusters.hint("merge"), "id").drop("id"), "places")
     scratch.release()
     first = scratch.write(found.groupBy("component").agg(F.min(place).alias("first")), "first")
     return found.join(first, "component")
@@ -160,12 +185,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = repeated_places(scratch, docs)
     again = found.where(~F.struct("doc_id", "t", "start").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "t", "start", "end"])
     order = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"))
-    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-GAP - 1))
-    marked = again.withColumn("reach", reach)
-    marked = marked.withColumn("fresh", (F.col("start") > F.col("reach") + GAP).cast("int")).withColumn("own", F.when(F.col("start") >= F.col("reach"), F.col("words")).otherwise(0))
+    reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-GAP - 1))
+    marked = again.withColumn("fresh", (F.col("first_word") > reach + GAP).cast("int"))
     runs = marked.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     head = F.struct("start", "end")
-    passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("own").alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
+    words = F.max("last_word") - F.min("first_word")
+    passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
     result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "t"), "passages")
     scratch.drop("places", "clusters", "classes", "first", "lines", "signatures", "collided", "wanted")
     return result
@@ -201,6 +226,6 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = repeated_passages(spark, docs).groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     spans = Scratch(spark, "substring-spans").write(spans, "spans").withColumnsRenamed({"doc_id": "_doc", "t": "_t"})
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t"))
-    joined = docs.join(spans, same, "left").drop("_doc", "_t")
+    joined = docs.join(spans.hint("merge"), same, "left").drop("_doc", "_t")
     names = docs.columns
     return joined.mapInArrow(_cutter(names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
