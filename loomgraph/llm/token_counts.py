@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,54 +45,87 @@ def unigram(path: str) -> dict[str, float]:
 
 
 class Trie:
-    NODES = 500_000
+    """Prefixes of the pre-tokens met so far, with the forward score of each; ends store their counts.
+
+    The pieces that may end at a place are found by their last three characters: a table of the lengths there are.
+    """
+
+    NODES, ENDS = 1_000_000, 600_000
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores))
+        self.scores = scores
         self.unknown = min(scores.values()) - 10
+        lengths: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {tail: tuple(sorted(x)) for tail, x in lengths.items()}
+        self.terminal: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
-        self.forward: list[tuple[float, int]] = [(0.0, 0)]  # (score, -tokens) of the prefix at each node
-        self.terminal: dict[str, int] = {}
-
-    def count(self, token: str) -> int:
-        """Tokens of a pre-token; inserts it if it is new."""
-        got = self.terminal.get(token)
-        if got is not None:
-            return got
-        if len(self.forward) > self.NODES:
+        self.next: dict[int, int] = {}
+        self.best, self.tokens = array("d", [0.0]), array("i", [0])
+
+    def count(self, chunk: str) -> int:
+        """Tokens of the pre-token MARK + chunk; inserts it if it is new."""
+        got = self.terminal.get(chunk)
+        if got is None:
+            got = self.older.get(chunk)
+            if got is None:
+                got = self._insert(MARK + chunk)
+            if len(self.terminal) >= self.ENDS:
+                self.older, self.terminal = self.terminal, {}
+            if len(chunk) <= 64:
+                self.terminal[chunk] = got
+        return got
+
+    def _insert(self, token: str) -> int:
+        if len(self.best) > self.NODES:
             self.reset()
         long = len(token) > 64  # not kept: it would rarely be met again
-        node, path, nexts = 0, [self.forward[0]], self.next
+        scores, nexts, best, tokens = self.scores, self.next, self.best, self.tokens
+        node, path_score, path_tokens = 0, [0.0], [0]
         for end in range(1, len(token) + 1):
-            key = (node, token[end - 1])
-            child = -1 if long else nexts.get(key, 0)
-            if child > 0:
+            char = token[end - 1]
+            key = node * 0x110000 + ord(char)
+            child = 0 if long else nexts.get(key, 0)
+            if child:
                 node = child
-                path.append(self.forward[node])
+                path_score.append(best[node])
+                path_tokens.append(tokens[node])
                 continue
-            best = None
-            for start in range(max(0, end - self.longest), end):
-                score = self.scores.get(token[start:end])
-                if score is not None:
-                    before = path[start]
-                    option = (before[0] + score, before[1] - 1)
-                    if best is None or option > best:
-                        best = option
-            if token[end - 1] not in self.scores:
-                size, before = len(token[end - 1].encode("utf-8", "surrogatepass")), path[end - 1]
-                option = (before[0] + self.unknown * size, before[1] - size)
-                best = option if best is None else max(best, option)
-            path.append(best)
+            top, used = -math.inf, 0
+            one = scores.get(char)
+            if one is None:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                top, used = path_score[end - 1] + self.unknown * size, path_tokens[end - 1] + size
+            else:
+                top, used = path_score[end - 1] + one, path_tokens[end - 1] + 1
+            if end > 1:
+                two = scores.get(token[end - 2 : end])
+                if two is not None:
+                    score, n = path_score[end - 2] + two, path_tokens[end - 2] + 1
+                    if score > top or (score == top and n < used):
+                        top, used = score, n
+                if end > 2:
+                    for length in self.lengths.get(token[end - 3 : end], ()):
+                        start = end - length
+                        if start < 0:
+                            break
+                        value = scores.get(token[start:end])
+                        if value is not None:
+                            score, n = path_score[start] + value, path_tokens[start] + 1
+                            if score > top or (score == top and n < used):
+                                top, used = score, n
+            path_score.append(top)
+            path_tokens.append(used)
             if not long:
-                self.forward.append(best)
-                nexts[key] = node = len(self.forward) - 1
-        tokens = -path[-1][1]
-        if not long:
-            self.terminal[token] = tokens
-        return tokens
+                best.append(top)
+                tokens.append(used)
+                nexts[key] = node = len(best) - 1
+        return path_tokens[-1]
 
 
 @functools.cache
@@ -107,10 +140,12 @@ def _counter(path: str):
             n_tokens, n_chunks, distinct = [], [], []
             for text in batch.column(1):
                 chunks = text.as_py().split()
-                counts = Counter(chunks)
                 n_chunks.append(len(chunks))
-                distinct.append(len(counts))
-                n_tokens.append(sum(shared.count(MARK + c) * n for c, n in counts.items()))
+                distinct.append(len(set(chunks)))
+                counts = list(map(shared.terminal.get, chunks))
+                if None in counts:
+                    counts = map(shared.count, chunks)
+                n_tokens.append(sum(counts))
             yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_tokens, n_chunks, distinct))], names=["doc_id", "n_tokens", "n_pretokens", "n_distinct_pretokens"])
 
     return run
