@@ -54,7 +54,7 @@ def _block_cosines(threshold: float, kind: pa.DataType):
                 i, j = np.nonzero(s > threshold)
                 x_id, y_id = a[i], b[j]
                 keep = x_id < y_id if row["i"] == row["j"] else np.ones(len(i), bool)
-                lo, hi = np.minimum(x_id, y_id), np.maximum(x_id, y_id)
+                lo, hi = np.where(x_id < y_id, x_id, y_id), np.where(x_id < y_id, y_id, x_id)
                 yield pa.record_batch([pa.array(lo[keep].tolist(), kind), pa.array(hi[keep].tolist(), kind), pa.array(s[i, j][keep])], names=["id", "other", "similarity"])
 
     return run
