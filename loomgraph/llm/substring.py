@@ -1,14 +1,18 @@
-"""Repeated passages by paragraph MinHash banding.
+"""Repeated passages: exact ones by word windows at every offset, edited ones by paragraph MinHash banding.
 
-Paragraphs are lines. Lines of at least NEAR words take part in near matching: 10 bands of 3 coordinates over five-word
-shingles (a pair at the similarity 0.8 shares a band but for a chance of 8e-4), colliding paragraphs are joined and
-verified on their exact Jaccard similarity, and components cluster them (see linking). A paragraph within a longer line has
-no line of its own, so the sentences of those lines (five words or more) are paragraphs too, matched exactly. In each
-cluster the first place, by (doc_id, start), is kept. In every document, neighbouring repeated paragraphs, at most GAP words
-apart (sentences too short to be looked up), form runs; runs of at least RUN words are repeated passages and are
-removed, shorter repetitions (headings, stock phrases) stay.
+Exact: a passage of RUN words or more that occurs at an earlier place, by (doc_id, word), is repeated, whatever its line breaks
+and punctuation. Texts meet on anchors, the least hashes of K words among ANCHOR neighbours (winnowing: any RUN words in
+common have an anchor in common). Where all neighbouring anchors are repeated, every window of RUN words is looked up,
+so that a passage is found to its very first and last word. A repetition that overlaps its own source does not count.
 
-Defined results: null texts are empty and have no paragraphs; rows that repeat a doc_id and text are the same place, so
+Near: lines of at least NEAR words. 10 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a
+band but for a chance of 8e-4), colliding lines are joined and verified on their exact Jaccard similarity, and components
+cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept.
+
+In every document neighbouring repeated pieces, at most GAP words apart, form runs; runs of at least RUN words are removed,
+shorter repetitions (headings, stock phrases) stay.
+
+Defined results: null texts are empty and have no passages; rows that repeat a doc_id and text are the same place, so
 none of them is a repetition of another; null doc_ids sort first; offsets are code points, end exclusive.
 """
 
@@ -28,10 +32,10 @@ from loomgraph.llm.common import WordHashes, consecutive_hashes, shingle_hashes,
 from loomgraph.llm.neardup import _RANDOM, estimate_bytes, min_hashes
 from loomgraph.session import Scratch
 
-K, PERCENT, NEAR, SPLIT, LEAST, RUN, GAP = 5, 80, 30, 12, 5, 32, 8
+K, PERCENT, NEAR, RUN, GAP = 5, 80, 30, 32, 8
+ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 10, 3
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 
 
 def _normal(text: str) -> list[bytes]:
@@ -43,20 +47,12 @@ def _hash(words: list[bytes]) -> int:
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes], int]]:
-    """(start, end, words, first): lines of LEAST words or more, and such sentences of lines with SPLIT words or more; first is
-    the number of words before it."""
+    """(start, end, words, first) of the lines with NEAR words or more; first is the number of words before it."""
     before = 0
     for line in _LINE.finditer(text):
         words = _normal(line[0])
-        if len(words) >= LEAST:
+        if len(words) >= NEAR:
             yield line.start(), line.end(), words, before
-        if len(words) >= SPLIT:
-            inside = before
-            for sentence in _SENTENCE.finditer(text, line.start(), line.end()):
-                inner = _normal(sentence[0])
-                if LEAST <= len(inner) < len(words):
-                    yield sentence.start(), sentence.end(), inner, inside
-                inside += len(inner)
         before += len(words)
 
 
@@ -76,10 +72,113 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (starts, ends, firsts, lasts))], names=["doc_id", "t", "id", "start", "end", "first_word", "last_word"])
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The id of every place."""
+def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of every `width` neighbours, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = least(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the windows of ANCHOR_WORDS words whose hash is the least among some ANCHOR neighbours; h has RUN or more."""
+    x = consecutive_hashes(h, ANCHOR_WORDS)
+    low = _sliding(x, ANCHOR, np.minimum)
+    edge = np.zeros(ANCHOR - 1, np.uint64)
+    at = np.nonzero(x == _sliding(np.concatenate([edge, low, edge]), ANCHOR, np.maximum))[0]
+    return at, x[at].view(np.int64)
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    words = _normal(text)
+    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+
+
+def _anchors(placed: bool):
+    """The anchors of every text: (h), or (doc_id, t, h, n, word), n being the anchor's number in its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, hs, ns, words = ([np.empty(0, np.int64)] for _ in range(4))
+            for k, text in enumerate(batch.column("text")):
+                h = _word_hashes(text.as_py())
+                if len(h) >= RUN:
+                    at, keys = anchors(h)
+                    hs.append(keys)
+                    if placed:
+                        docs.append(np.full(len(at), k))
+                        ns.append(np.arange(len(at)))
+                        words.append(at)
+            h = pa.array(np.concatenate(hs))
+            if not placed:
+                yield pa.record_batch([h], names=["h"])
+                continue
+            at = pa.array(np.concatenate(docs))
+            yield pa.record_batch([batch.column("doc_id").take(at), batch.column("t").take(at), h, *(pa.array(np.concatenate(x).astype(np.int32)) for x in (ns, words))], names=["doc_id", "t", "h", "n", "word"])
+
+    return run
+
+
+def regions(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Word ranges that hold every repeated window, from the (n, word) of a text's repeated anchors."""
+    out: list[list[int]] = []
+    last = -2
+    for n, word in sorted(found):
+        if n != last + 1:
+            out.append([max(0, word - ANCHOR + 1), 0])
+        out[-1][1] = min(size, word + ANCHOR_WORDS + ANCHOR - 1)
+        last = n
+    return [(a, b) for a, b in out if b - a >= RUN]
+
+
+def word_spans(text: str) -> np.ndarray:
+    """[words, 2] code point offsets of the words."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], (code != 32) & ((code < 9) | (code > 13)), [False]])
+    return np.nonzero(inside[1:] != inside[:-1])[0].astype(np.int32).reshape(-1, 2)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of RUN words in the regions of a text: (h, doc_id, t, word, start, end). Of a text that an earlier document
+    has as a whole, windows side by side are enough."""
+    for batch in batches:
+        docs, columns = [np.empty(0, np.int64)], [[np.empty(0, np.int64)], *([np.empty(0, np.int32)] for _ in range(3))]
+        for k, (text, found, copy) in enumerate(zip(batch.column("text"), batch.column("found").to_pylist(), batch.column("copy").to_pylist())):
+            text = text.as_py()
+            h = _word_hashes(text)
+            ranges = regions([(f["n"], f["word"]) for f in found], len(h))
+            if ranges:
+                step = RUN if copy else 1
+                word = np.unique(np.concatenate([np.append(np.arange(a, b - RUN + 1, step, dtype=np.int32), np.int32(b - RUN)) for a, b in ranges]))
+                spans = word_spans(text)
+                docs.append(np.full(len(word), k))
+                for column, value in zip(columns, (consecutive_hashes(h, RUN)[word].view(np.int64), word, spans[word, 0], spans[word + RUN - 1, 1])):
+                    column.append(value)
+        at = pa.array(np.concatenate(docs))
+        h, word, start, end = (pa.array(np.concatenate(c)) for c in columns)
+        yield pa.record_batch([h, batch.column("doc_id").take(at), batch.column("t").take(at), word, start, end], names=["h", "doc_id", "t", "word", "start", "end"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order of (h, doc_id, t, word) -> those with an earlier place that they do not overlap, with the first place."""
+    before = None
     for batch in batches:
-        yield pa.record_batch([pa.array([_hash(words) for text in batch.column(0) for _, _, words, _ in paragraphs(text.as_py())], pa.int64())], names=["id"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches(([before] if before is not None else []) + [batch]).combine_chunks()
+        h, t, word = (rows.column(c).to_numpy() for c in ("h", "t", "word"))
+        doc, null = rows.column("doc_id").fill_null(0).to_numpy(), rows.column("doc_id").is_null().to_numpy()
+        first = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
+        own = (doc == doc[first]) & (null == null[first]) & (t == t[first])
+        keep = ~own | (word - word[first] >= RUN)
+        before = rows.slice(int(first[-1]), 1).to_batches()[0]
+        out, source = rows.filter(pa.array(keep)), rows.take(pa.array(first[keep]))
+        last = pa.array(out.column("word").to_numpy() + np.int32(RUN))
+        columns = [*(out.column(c).combine_chunks() for c in ("doc_id", "t", "start", "end", "word")), last, out.column("h").combine_chunks(), *(source.column(c).combine_chunks() for c in ("doc_id", "t", "start"))]
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        yield pa.record_batch(columns, names=["doc_id", "t", "start", "end", "first_word", "last_word", "component", "first_doc", "first_t", "first_start"])
 
 
 def band_keys(lines: list[list[bytes]], cache: WordHashes) -> np.ndarray:
@@ -162,28 +261,47 @@ def near_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return linking.link(scratch, postings, lambda ids: lines.join(ids, "id", "left_semi"), _shingles, PERCENT)
 
 
-def repeated_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Every place of a cluster of paragraphs with more than one place: doc_id, t, start, end, words from and to, component, first."""
-    docs = texts(docs).withColumn("t", F.xxhash64("text"))
-    near = near_lines(scratch, docs)
+def near_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Every later place of a near line: doc_id, t, start, end, first_word, last_word, component, first."""
+    near = scratch.write(near_lines(scratch, docs), "clusters")
+    scratch.drop("lines", "signatures", "collided", "wanted")
     place = F.struct("doc_id", "t", "start")
     places = docs.select("doc_id", "text", "t").mapInArrow(_places, "doc_id long, t long, id long, start int, end int, first_word int, last_word int")
-    # a class is repeated if it has two places or a near copy
-    classes = docs.select("text").mapInArrow(_ids, "id long").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    classes = scratch.write(classes.select("id"), "classes")
-    clusters = scratch.write(classes.join(near, "id", "full").select("id", F.coalesce("component", "id").alias("component")), "clusters")
-    found = scratch.write(places.join(clusters.hint("merge"), "id").drop("id"), "places")
+    found = scratch.write(places.join(near.hint("merge"), "id").drop("id"), "places")
     scratch.release()
     first = scratch.write(found.groupBy("component").agg(F.min(place).alias("first")), "first")
-    return found.join(first, "component")
+    return found.join(first, "component").where(~place.eqNullSafe(F.col("first")))
+
+
+def exact_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Every window of RUN words that an earlier place has: the columns of near_places."""
+    again = docs.select("text").mapInArrow(_anchors(False), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = scratch.write(again, "anchors")
+    scratch.release()
+    placed = docs.mapInArrow(_anchors(True), "doc_id long, t long, h long, n int, word int")
+    found = placed.join(again.hint("merge"), "h").groupBy("doc_id", "t").agg(F.collect_set(F.struct("n", "word")).alias("found"))
+    found = scratch.write(found, "found")
+    scratch.release()
+    whole = found.groupBy("t").agg(F.min(F.struct("doc_id")).alias("_one"))
+    found = found.join(whole, "t").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "found", (~F.struct("doc_id").eqNullSafe(F.col("_one"))).alias("copy"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t"))
+    texts_of = docs.join(found.hint("merge"), same).select("doc_id", "t", "text", "found", "copy")
+    windows = texts_of.mapInArrow(_windows, "h long, doc_id long, t long, word int, start int, end int")
+    ordered = windows.repartition("h").sortWithinPartitions("h", "doc_id", "t", "word")
+    later = ordered.mapInArrow(_later, "doc_id long, t long, start int, end int, first_word int, last_word int, component long, first_doc long, first_t long, first_start int")
+    later = scratch.write(later, "windows")
+    scratch.drop("anchors", "found")
+    scratch.release()
+    return later.withColumn("first", F.struct(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("t"), F.col("first_start").alias("start"))).drop("first_doc", "first_t", "first_start")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per passage to remove: doc_id, start, end, n_words, component, first_doc_id, first_start, and t (a hash of the
     document's text)."""
     scratch = Scratch(spark, "substring")
-    found = repeated_places(scratch, docs)
-    again = found.where(~F.struct("doc_id", "t", "start").eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "t", "start", "end"])
+    docs = texts(docs).withColumn("t", F.xxhash64("text"))
+    near = near_places(scratch, docs)
+    again = near.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", "first").unionByName(exact_places(scratch, docs))
     order = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"))
     reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-GAP - 1))
     marked = again.withColumn("fresh", (F.col("first_word") > reach + GAP).cast("int"))
@@ -192,7 +310,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = F.max("last_word") - F.min("first_word")
     passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
     result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "t"), "passages")
-    scratch.drop("places", "clusters", "classes", "first", "lines", "signatures", "collided", "wanted")
+    scratch.drop("places", "clusters", "first", "windows")
     return result
 
 

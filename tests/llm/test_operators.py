@@ -256,6 +256,33 @@ def test_substring(spark):
     assert substring.repeated_passages(spark, empty(spark)).count() == 0
 
 
+def brute_repeated(items, size=substring.RUN):
+    """doc -> words covered by a window of `size` words that an earlier place has and does not overlap."""
+    seen, covered = {}, {i: set() for i in items}
+    for i in sorted(items):
+        words = (items[i] or "").encode().lower().split()
+        for k in range(len(words) - size + 1):
+            first = seen.setdefault(b" ".join(words[k : k + size]), (i, k))
+            if first[0] != i or k - first[1] >= size:
+                covered[i].update(range(k, k + size))
+    return covered
+
+
+def test_substring_any_layout(spark):
+    passage = prose(61, 60).split()
+    spliced = lambda a, b, sep: f"{prose(a, 45)} {sep.join(passage)} {prose(b, 45)}"
+    verse = "\n".join(" ".join(passage[k : k + 3]) for k in range(0, 60, 3))
+    items = {1: spliced(70, 71, " "), 2: spliced(72, 73, " "), 3: prose(74, 20) + "\n" + verse + "\n" + prose(75, 20), 4: prose(76, 9) + " " + "\n".join([" ".join(passage[:23]), " ".join(passage[23:])]), 5: "word " * 100, 6: None}
+    items |= {100 + r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = spark.createDataFrame(list(items.items()), "doc_id long, text string").repartition(3)
+    want, got = brute_repeated(items), {i: set() for i in items}
+    for r in substring.repeated_passages(spark, df).collect():
+        starts = [m.start() for m in re.finditer(r"[^\x20\t-\r]+", items[r.doc_id])]
+        got[r.doc_id].update(k for k, a in enumerate(starts) if r.start <= a < r.end)
+    assert all(want[i] <= got[i] for i in items)
+    assert all(want[i] == got[i] for i in items if i < 100) and len(want[2]) == len(want[3]) == len(want[4]) == 60
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
