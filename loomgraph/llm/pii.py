@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation, in DataFrame operations only.
 
 Base spans come from four patterns (leftmost, non-overlapping per kind, checked afterwards). Every distinct base value is a
-protected entity e. Terms t near its occurrences (words of at least four letters within CONTEXT characters) are weighed by
-what they disclose: PMI(e; t) = log2(N c(e,t) / (c(e) c(t))) against the entity's own information log2(N / c(e)), with
-counts of documents over the whole corpus. A term that carries at least the share GENERALISE of it is generalised (to its
-first letter and a mark), from REMOVE on it is removed. A pair counts only with SUPPORT distinct texts, so that the words
-of a single text, however often it is copied, are no evidence. Term spans are added wherever such a term occurs as a
-whole word in the corpus.
+protected entity e. Terms t of its texts (all words outside e-mail addresses) are weighed by what they disclose: PMI(e; t) =
+log2(N c(e,t) / (c(e) c(t))) against the entity's own information log2(N / c(e)), with counts of documents over the whole
+corpus. A term that carries at least the share GENERALISE of it is generalised (to its first letter and a mark), from
+REMOVE on it is removed. A pair counts only if so many distinct texts with both are no coincidence: the bound
+C(a, k) p^k on the chance that k of the entity's a texts have the term, p being the term's share of the texts, times the
+number of entities and of words is at most ALPHA. Copies of a text are no evidence; a rarer entity needs a rarer term. Term
+spans are added wherever such a term occurs as a whole word in the corpus.
 
 Work is done once per distinct text that has anything to find; results are joined back to the documents. Flagged and
 candidate terms are broadcast only below BROADCAST rows; beyond that all words are aggregated or joined by shuffles.
@@ -17,13 +18,15 @@ an empty table gives no rows; extra columns are ignored (find_spans) or kept (sa
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import texts
 from loomgraph.session import Scratch
 
-CONTEXT, SUPPORT, GENERALISE, REMOVE, BROADCAST = 80, 3, 0.85, 0.95, 200_000
+ALPHA, GENERALISE, REMOVE, BROADCAST = 0.01, 0.85, 0.95, 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 
 # The contract's patterns, written so that the engine never tries a start within a run of characters that has already
@@ -74,53 +77,63 @@ def _placed(found: DataFrame) -> DataFrame:
 
 
 def _found(text: Column, kind: int) -> Column:
-    """An array of (gap before, match, near before, near after) of one kind; empty without a match."""
+    """An array of (gap before, match) of one kind; empty without a match."""
     name = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0))
     gaps = F.split(text, PATTERNS[name], -1)
-    zipped = F.arrays_zip(matches.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("n"))  # not inside the lambda, which would split again for each match
-    row = lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), z["m"].alias("match"), F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(CONTEXT)).alias("before"), F.left(z["n"], F.lit(CONTEXT)).alias("after"))
-    none = F.array().cast("array<struct<kind:int,pos:int,match:string,gap:int,before:string,after:string>>")
+    zipped = F.arrays_zip(matches.alias("m"), gaps.alias("g"))  # not inside the lambda, which would split again for each match
+    row = lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), z["m"].alias("match"), F.length(z["g"]).alias("gap"))
+    none = F.array().cast("array<struct<kind:int,pos:int,match:string,gap:int>>")
     return F.when(text.rlike(_NEEDS[name]), F.filter(F.transform(zipped, row), lambda r: r["match"].isNotNull())).otherwise(none)
 
 
 def base_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
-    """key, kind, match, start, end, before, after of every valid base span of each distinct text."""
+    """key, kind, match, start, end of every valid base span of each distinct text."""
     any_ = F.flatten(F.array(*(_found(F.col("text"), k) for k in range(4))))
     hit = keyed.where(F.col("text").rlike("[0-9]|@")).select("key", F.explode(any_).alias("f"))
     rows = hit.select("key", "f.*").distinct().withColumn("sub", F.lit(""))
     spans = _placed(rows).where(_valid(F.col("kind"), F.col("match")))
-    return scratch.write(spans.select("key", "kind", "match", "start", "end", "before", "after"), "base")
+    return scratch.write(spans.select("key", "kind", "match", "start", "end"), "base")
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
 
 
 def disclosing_terms(scratch: Scratch, keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """term, share: the largest part of any entity's information that a term carries, if it is at least GENERALISE."""
-    n = keyed.count()
-    if n == 0:
+    words = keyed.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    size = keyed.agg(F.count("*").alias("docs"), F.approx_count_distinct("key", 0.01).alias("texts")).first()
+    entities = spans.select("key", F.concat_ws(":", "kind", F.lower("match")).alias("entity")).distinct()
+    kinds = entities.agg(F.count_distinct("entity").alias("n")).first().n
+    if kinds == 0:
         return scratch.write(spans.select(F.lit("").alias("term"), F.lit(0.0).alias("share")).where("false"), "flagged")
-    whole = F.concat(F.array_except(_terms(F.regexp_replace("before", r"^\S*", "")), F.array(F.lit(""))), F.array_except(_terms(F.regexp_replace("after", r"\S*$", "")), F.array(F.lit(""))))
-    near = spans.select("key", F.concat_ws(":", "kind", F.lower("match")).alias("entity"), F.explode_outer(F.array_distinct(whole)).alias("term")).distinct()
-    copies = keyed.join(spans.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("docs"))
-    counted = scratch.write(near.join(scratch.write(copies, "copies"), "key"), "near")
+    n, distinct = size.docs, min(size.docs, size.texts)
+    spare = math.log2(ALPHA) - math.log2(kinds) - math.log2(max(1, words.agg(F.approx_count_distinct("term", 0.01).alias("v")).first().v))
+    least = math.ceil(spare / -math.log2(distinct)) if distinct > 1 else n + 1  # with fewer texts not even a term of theirs alone can count
+    frequent = entities.groupBy("entity").agg(F.count("*").alias("a")).where(F.col("a") >= least)
+    entities = scratch.write(entities.join(frequent, "entity"), "entities")
+    some = scratch.write(keyed.join(entities.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("docs")), "some")
+    outside = F.array_distinct(_terms(F.regexp_replace("text", PATTERNS["email"], " ")))
+    near = some.select("key", "docs", F.explode_outer(outside).alias("term"))
+    counted = scratch.write(near.join(entities, "key"), "near")
     of_entity = counted.select("key", "entity", "docs").distinct().groupBy("entity").agg(F.sum("docs").alias("ce"))
-    pairs = counted.where("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("cet"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    pairs = counted.where("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("cet"), F.count("*").alias("k"), F.any_value("a").alias("a")).where(F.col("k") >= least)
     # documents with the term near anything are some of those with the term: they bound its share from above
     anywhere = counted.where("term is not null").select("key", "term", "docs").distinct().groupBy("term").agg(F.sum("docs").alias("cn"))
     own = F.log2(F.lit(float(n)) / F.col("ce"))
     share = lambda ct: F.log2(F.lit(float(n)) * F.col("cet") / (F.col("ce") * F.col(ct))) / own
     likely = pairs.join(of_entity, "entity").join(anywhere, "term").where((own > 0) & (share("cn") >= GENERALISE))
-    pairs = scratch.write(likely.select("term", "cet", "ce"), "pairs")
+    part = lambda x, y: F.when(x > 0, x * F.log2(y / x)).otherwise(0.0)
+    choices = part(F.col("k"), F.col("a")) + part(F.col("a") - F.col("k"), F.col("a"))  # at least log2 C(a, k)
+    pairs = scratch.write(likely.select("term", "cet", "ce", "k", choices.alias("choices")), "pairs")
     wanted = scratch.write(pairs.select("term").distinct(), "wanted")
-    words = keyed.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     if wanted.count() <= BROADCAST:
         df = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("ct"))
     else:
         df = words.groupBy("term").agg(F.count("*").alias("ct"))
-    flagged = pairs.join(df, "term").withColumn("share", share("ct")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
+    chance = F.col("choices") + F.col("k") * F.log2(F.least(F.lit(1.0), F.col("ct") / F.lit(float(distinct))))
+    flagged = pairs.join(df, "term").where(chance <= spare).withColumn("share", share("ct")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
     return scratch.write(flagged, "flagged")
 
 

@@ -331,6 +331,17 @@ def test_pii_terms(spark):
     assert rows(pii.find_spans(spark, one), "spans") == {("email:11:17",)}  # copies of one text are no evidence
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """Two texts are enough if the term is as rare; short names and far places count; the words of a single text do not."""
+    told = [(i, f"Lee {prose(i, 60)} me.x@mail.org {prose(i + 50, 20)}") for i in range(2)] + [(2, f"alone {prose(90, 20)} you@mail.org")]
+    plain = [(100 + i, prose(200 + i, 30)) for i in range(4000)]
+    df = spark.createDataFrame(told + plain, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.find_spans(spark, df).where("spans <> ''").collect()}
+    assert set(got) == {0, 1, 2}
+    assert [got[i].n_term for i in range(3)] == [1, 1, 0]
+    assert all(got[i].spans.startswith("term:0:3,email:") for i in range(2))
+
+
 def test_token_counts(spark, docs, fixture_rows):
     scores = token_counts.unigram(token_counts.default_model())
     trie = token_counts.Trie(scores)
