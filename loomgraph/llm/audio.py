@@ -135,51 +135,100 @@ def store_media(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+SMALL = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}  # small row groups bound a task's memory
+STEP_MS = 1000.0 * HOP / (RATE * UP / DOWN)
+CLIP = "clip int, start_ms double, end_ms double, active double, tensor array<float>"
+
+
+def clips_of(payload: bytes) -> tuple[list[tuple[int, float, float, float, np.ndarray]], list[tuple[int, int]]]:
+    """The clips of a payload, (clip, start_ms, end_ms, share of active frames, tensor [FRAMES, MELS]), and its segments."""
+    mels, energy = analyse(payload)
+    spans = segments(energy)
+    active = np.zeros(len(mels), bool)
+    for a, b in spans:
+        active[a:b] = True
+    clips = []
+    for k, at in enumerate(range(0, len(mels), FRAMES)):
+        part = mels[at : at + FRAMES]
+        tensor = np.full((FRAMES, MELS), FLOOR, np.float32)
+        tensor[: len(part)] = part
+        clips.append((k, at * STEP_MS, (at + len(part)) * STEP_MS, float(active[at : at + FRAMES].mean()), tensor))
+    return clips, spans
+
+
+def _clip_columns(clips: list[tuple]) -> list[pa.Array]:
+    sizes = np.arange(len(clips) + 1, dtype=np.int32) * (FRAMES * MELS)
+    flat = np.concatenate([c[4].reshape(-1) for c in clips]) if clips else np.empty(0, np.float32)
+    kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64())
+    return [*(pa.array([c[k] for c in clips], kind) for k, kind in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+
+
+_NAMES = ["clip", "start_ms", "end_ms", "active", "tensor"]
+_STORED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_ms: double, end_ms: double>>, clips array<struct<{CLIP.replace(' ', ': ').replace(',:', ',')}>>"
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            out: list[list] = [[] for _ in range(6)]
+            clips: list[tuple] = []
+            ends = [0]
+            for cell in batch.column(2):
+                media = cell.as_py()
+                payload = from_wav(media)
+                found, spans = clips_of(payload)
+                clips += found
+                ends.append(len(clips))
+                times = [{"start_ms": a * STEP_MS, "end_ms": b * STEP_MS} for a, b in spans]
+                for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), times)):
+                    column.append(value)
+            times = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), times)
+            nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(_clip_columns(clips), _NAMES))
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "clips"]
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out, kinds)), nested], names=names)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for cell in batch.column(2):
-            media = cell.as_py()
-            payload = from_wav(media)
-            mels, energy = analyse(payload)
-            spans = segments(energy)
+        features = []
+        for times, clips in zip(batch.column("segments").to_pylist(), batch.column("clips")):
+            rows = pa.Table.from_struct_array(clips.values)
+            tensors = tensor_table(rows)["tensor"].combine_chunks()
+            tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
+            frames = round(rows["end_ms"][-1].as_py() / STEP_MS)
+            mels = tensors.to_numpy_ndarray().reshape(-1, MELS)[:frames]
+            active = sum(round((s["end_ms"] - s["start_ms"]) / STEP_MS) for s in times)
             coarse = np.round(mels * 4).astype(np.int8)
-            feature = f"frames={len(mels)};segments={len(spans)};active={sum(b - a for a, b in spans)};mel={','.join(f'{v:.2f}' for v in mels.mean(0)[:: MELS // 4])};crc={zlib.crc32(coarse.tobytes())}"
-            for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
-                column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            features.append(f"frames={frames};segments={len(times)};active={active};mel={','.join(f'{v:.2f}' for v in mels.mean(0)[:: MELS // 4])};crc={zlib.crc32(coarse.tobytes())}")
+        kept = batch.select([n for n in batch.schema.names if n not in ("segments", "clips")])
+        yield pa.record_batch([*kept.columns, pa.array(features, pa.string())], names=[*kept.schema.names, "feature"])
 
 
-def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Store the media in the shared folder, read them back, and summarise payload, medium and features."""
-    scratch = Scratch(spark, "media")
+def stored_clips(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Media in the shared folder, and from those read back, one row a document: payload and medium, segments, and clips with
+    their spans and tensors, in the shared folder too."""
     stored = scratch.write(store_media(docs), "media")
+    return scratch.write(stored.mapInArrow(_stored, _STORED), "clips", **SMALL)
+
+
+def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Store media and clips in the shared folder, and summarise payload, medium and features from those read back."""
+    stored = stored_clips(Scratch(spark, "media"), docs)
     return stored.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step_ms = 1000.0 * HOP / (RATE * UP / DOWN)
     for batch in batches:
         for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(2)):
-            mels, energy = analyse(from_wav(cell.as_py()))
-            active = np.zeros(len(mels), bool)
-            for a, b in segments(energy):
-                active[a:b] = True
-            rows: list[list] = [[] for _ in range(6)]
-            for k, at in enumerate(range(0, len(mels), FRAMES)):
-                part = mels[at : at + FRAMES]
-                tensor = np.full((FRAMES, MELS), FLOOR, np.float32)
-                tensor[: len(part)] = part
-                for column, value in zip(rows, (doc_id, k, at * step_ms, (at + len(part)) * step_ms, float(active[at : at + FRAMES].mean()), tensor.reshape(-1))):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float32()))
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds)], names=["doc_id", "clip", "start_ms", "end_ms", "active", "tensor"])
+            clips, _ = clips_of(from_wav(cell.as_py()))
+            yield pa.record_batch([pa.array([doc_id] * len(clips), pa.int64()), *_clip_columns(clips)], names=["doc_id", *_NAMES])
 
 
 def log_mel_clips(media: DataFrame) -> DataFrame:
     """One row per clip of a table (doc_id, n_bytes, media): its span, share of active frames, and flat tensor."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_clips, "doc_id long, clip int, start_ms double, end_ms double, active double, tensor array<float>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_clips, f"doc_id long, {CLIP}")
 
 
 def tensor_table(table: pa.Table) -> pa.Table:

@@ -51,8 +51,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(f"{self.path}/{name}")
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -395,3 +395,20 @@ def test_audio_parts(spark, docs):
     tensors = audio.tensor_table(clips)
     assert tensors["tensor"].chunk(0).to_numpy_ndarray().shape[1:] == (audio.FRAMES, audio.MELS)
     assert all(b > a for a, b in zip(clips["start_ms"].to_pylist(), clips["end_ms"].to_pylist()))
+
+
+def test_audio_stores_clips(spark, docs, fixture_rows, monkeypatch):
+    """The query writes every document's clips to the shared folder and reads its features from them."""
+    tables = {}
+    write = audio.Scratch.write
+    monkeypatch.setattr(audio.Scratch, "write", lambda self, df, name, **options: tables.setdefault(name, write(self, df, name, **options)))
+    got = {r.doc_id: r.feature for r in audio.media_features(spark, docs).collect()}
+    stored = {r.doc_id: r for r in tables["clips"].collect()}
+    assert set(stored) == {i for i, _ in fixture_rows}
+    for doc_id, text in fixture_rows[::5] + fixture_rows[-13:]:
+        mels, energy = audio.analyse(audio.payload_of(text or ""))
+        r = stored[doc_id]
+        read = np.array([c.tensor for c in r.clips], np.float32)
+        assert read.shape == (-(-len(mels) // audio.FRAMES), audio.FRAMES * audio.MELS)
+        assert np.array_equal(read.reshape(-1, audio.MELS)[: len(mels)], mels) and (read.reshape(-1, audio.MELS)[len(mels) :] == audio.FLOOR).all()
+        assert len(r.segments) == len(audio.segments(energy)) and got[doc_id].startswith(f"frames={len(mels)};segments={len(r.segments)};")
