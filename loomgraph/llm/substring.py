@@ -9,8 +9,8 @@ Near: lines of at least NEAR words. 10 bands of 3 coordinates over five-word shi
 band but for a chance of 8e-4), colliding lines are joined and verified on their exact Jaccard similarity, and components
 cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept.
 
-In every document neighbouring repeated pieces, at most GAP words apart, form runs; runs of at least RUN words are removed,
-shorter repetitions (headings, stock phrases) stay.
+Near lines that touch, in the text and in one and the same source, form pieces; pieces of at least RUN words are removed with
+the exact windows, and nothing between them: shorter repetitions (headings, stock phrases) and unrepeated words stay.
 
 Defined results: null texts are empty and have no passages; rows that repeat a doc_id and text are the same place, so
 none of them is a repetition of another; null doc_ids sort first; offsets are code points, end exclusive.
@@ -32,7 +32,7 @@ from loomgraph.llm.common import WordHashes, consecutive_hashes, shingle_hashes,
 from loomgraph.llm.neardup import _RANDOM, estimate_bytes, min_hashes
 from loomgraph.session import Scratch
 
-K, PERCENT, NEAR, RUN, GAP = 5, 80, 30, 32, 8
+K, PERCENT, NEAR, RUN = 5, 80, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 10, 3
 _LINE = re.compile(r"[^\n]+")
@@ -265,12 +265,18 @@ def near_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """Every later place of a near line: doc_id, t, start, end, first_word, last_word, component, first."""
     near = scratch.write(near_lines(scratch, docs), "clusters")
     scratch.drop("lines", "signatures", "collided", "wanted")
-    place = F.struct("doc_id", "t", "start")
     places = docs.select("doc_id", "text", "t").mapInArrow(_places, "doc_id long, t long, id long, start int, end int, first_word int, last_word int")
     found = scratch.write(places.join(near.hint("merge"), "id").drop("id"), "places")
     scratch.release()
+    place = F.struct("doc_id", "t", "start", "first_word", "last_word")
     first = scratch.write(found.groupBy("component").agg(F.min(place).alias("first")), "first")
-    return found.join(first, "component").where(~place.eqNullSafe(F.col("first")))
+    later = found.join(first, "component").where(~place.eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "t", "start"])
+    order = Window.partitionBy("doc_id", "t").orderBy("start")
+    source = F.lag("first").over(order)
+    touch = (F.lag("last_word").over(order) == F.col("first_word")) & source["doc_id"].eqNullSafe(F.col("first.doc_id")) & (source["t"] == F.col("first.t")) & (source["last_word"] == F.col("first.first_word"))
+    pieces = later.withColumn("fresh", F.when(touch, 0).otherwise(1)).withColumn("piece", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    words = F.sum(F.col("last_word") - F.col("first_word")).over(Window.partitionBy("doc_id", "t", "piece"))
+    return pieces.withColumn("words", words).where(F.col("words") >= RUN).withColumn("first", F.struct("first.doc_id", "first.t", "first.start"))
 
 
 def exact_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
@@ -303,8 +309,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     near = near_places(scratch, docs)
     again = near.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", "first").unionByName(exact_places(scratch, docs))
     order = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"))
-    reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-GAP - 1))
-    marked = again.withColumn("fresh", (F.col("first_word") > reach + GAP).cast("int"))
+    reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    marked = again.withColumn("fresh", (F.col("first_word") > reach).cast("int"))
     runs = marked.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     head = F.struct("start", "end")
     words = F.max("last_word") - F.min("first_word")

@@ -283,6 +283,16 @@ def test_substring_any_layout(spark):
     assert all(want[i] == got[i] for i in items if i < 100) and len(want[2]) == len(want[3]) == len(want[4]) == 60
 
 
+def test_substring_gaps_stay(spark):
+    """Words between two passages stay, and short pieces of different documents do not add up."""
+    a, b, x, y = prose(81, 40), prose(82, 40), prose(83, 30), prose(84, 30)
+    items = {1: f"{a} {prose(85, 30)}", 2: f"{b} {prose(86, 30)}", 3: f"{a} six words that nobody else has {b}", 4: f"{x}\n{prose(87, 40)}", 5: f"{y}\n{prose(88, 40)}", 6: f"{x}\n{y}\n{prose(89, 40)}"}
+    df = spark.createDataFrame(list(items.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in substring.drop_repeated_passages(spark, df).collect()}
+    assert out[3].strip() == "six words that nobody else has"
+    assert all(out[i] == items[i] for i in (1, 2, 4, 5, 6))
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
