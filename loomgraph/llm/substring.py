@@ -5,8 +5,8 @@ and punctuation. Texts meet on anchors, the least hashes of K words among ANCHOR
 common have an anchor in common). Where all neighbouring anchors are repeated, every window of RUN words is looked up,
 so that a passage is found to its very first and last word. A repetition that overlaps its own source does not count.
 
-Near: lines of at least NEAR words. 10 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a
-band but for a chance of 8e-4), colliding lines are joined and verified on their exact Jaccard similarity, and components
+Near: lines of at least NEAR words. 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a
+band but for a chance of 2e-4), colliding lines are joined and verified on their exact Jaccard similarity, and components
 cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept.
 
 Near lines that touch, in the text and in one and the same source, form pieces; pieces of at least RUN words are removed with
@@ -34,7 +34,7 @@ from loomgraph.session import Scratch
 
 K, PERCENT, NEAR, RUN = 5, 80, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
 _LINE = re.compile(r"[^\n]+")
 
 

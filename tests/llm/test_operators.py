@@ -293,6 +293,11 @@ def test_substring_gaps_stay(spark):
     assert all(out[i] == items[i] for i in (1, 2, 4, 5, 6))
 
 
+def test_substring_bands_miss_little():
+    assert (1 - 0.8**substring.ROWS) ** substring.BANDS < 2.1e-4
+    assert substring.band_keys([prose(1, 40).encode().split()], substring.word_hashes()).shape == (1, substring.BANDS)
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
