@@ -21,6 +21,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A name that no column has, for one to be joined on."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

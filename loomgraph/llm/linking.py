@@ -1,14 +1,15 @@
 """Exact similarity links between many sets, without all pairs of a group.
 
-Input are postings (key, id, n, sig): sets that share a key may be similar; n is the set's size, sig a byte string of
-SIG one-byte MinHash coordinates whose agreements estimate the similarity. Links come in rounds:
+Input are postings (key, id, n, sig): sets that share a key may be similar; n is the set's size, sig its SIG MinHash
+coordinates (32 bits each). A pair is a candidate only if enough of the coordinates collide. Links come in rounds:
 
 1. each posting's members are compared with its pivot (its least id): as many comparisons as postings;
 2. the connected components so far are computed by label propagation over written tables;
 3. postings that still hold several components are cut into chunks; chunks meet pairwise unless both lie in one and the
    same component. Members of different components whose sizes and signatures still allow a link are compared on their
-   full sets, as products of incidence matrices of two chunks; only links leave a task. A group that its pivots connect
-   costs nothing here; a pair that could be linked is never dropped.
+   full sets, as products of incidence matrices of two chunks. Only a spanning forest of a block's links leaves its task:
+   at most one link a member, however many pairs are alike. A group that its pivots connect costs nothing here; a pair
+   that could be linked is never dropped.
 
 Full sets are rebuilt from the texts of the ids in question, never of all documents, and no task holds a whole group.
 """
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-SIG, CHUNK, MASS = 256, 1024, 1 << 20
+SIG, CHUNK, MASS = 64, 1024, 1 << 20
 
 
 def bound(similarity: float, coordinates: int = SIG, deviations: float = 5.0) -> int:
-    """Agreements that a linked pair has but for a chance of about 1e-6."""
+    """Collisions that a linked pair has but for a chance of about 1e-6."""
     return int(coordinates * similarity - deviations * (coordinates * similarity * (1 - similarity)) ** 0.5)
 
 
@@ -42,7 +43,7 @@ def _pivot_filter(percent: int, least: int):
         for batch in batches:
             if batch.num_rows:
                 a, n, b, m = (batch.column(k).to_numpy() for k in (0, 1, 3, 4))
-                s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 5))
+                s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 5))
                 keep = pa.array(possible(n, s, m, t, percent, least))
                 yield pa.record_batch([batch.column(0).filter(keep), batch.column(3).filter(keep)], names=["a", "b"])
 
@@ -110,7 +111,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
 def _arrays(members: list) -> tuple[np.ndarray, ...]:
     """ids, components, sizes, signatures, and the postings' keys of each member."""
     ids, c, n = (np.array([m[k] for m in members], np.int64) for k in ("id", "c", "n"))
-    return ids, c, n, np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), -1), [m["keys"] for m in members]
+    return ids, c, n, np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(len(members), -1), [m["keys"] for m in members]
 
 
 def _met_before(keys_a: list, keys_b: list, key: int) -> np.ndarray:
@@ -166,8 +167,32 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
     return out.astype(np.int64)
 
 
+def spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(i, j) of links that connect what all the links of a block connect. Rows and columns that share a component in `left`
+    or `right` are one vertex, so no more links are chosen than there are components."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    rows, columns = at[: len(left)], at[len(left) :]
+    of_row, of_column = ([np.nonzero(x == v)[0] for v in range(len(names))] for x in (rows, columns))
+    open_ = np.ones(len(names), bool)
+    chosen = []
+    for root in range(len(names)):
+        if not open_[root]:
+            continue
+        open_[root], todo = False, [root]
+        while todo:
+            v = todo.pop()
+            for mine, other, links in ((of_row[v], columns, linked), (of_column[v], rows, linked.T)):
+                for k in mine:
+                    reached = np.nonzero(links[k] & open_[other])[0]
+                    fresh, first = np.unique(other[reached], return_index=True)
+                    chosen += [(int(k), int(m)) if links is linked else (int(m), int(k)) for m in reached[first]]
+                    open_[fresh] = False
+                    todo += fresh.tolist()
+    return chosen
+
+
 def _block_verifier(shingles: Callable[[str], np.ndarray], percent: int):
-    """Blocks of members with texts -> one link of each pair of components that has any."""
+    """Blocks of members with texts -> a spanning forest of the links between their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,17 +205,15 @@ def _block_verifier(shingles: Callable[[str], np.ndarray], percent: int):
                 n, m = (np.array([len(s) for s in x]) for x in sets)
                 (ids_a, c_a), (ids_b, c_b) = ((np.array([x["id"] for x in side]), np.array([x["c"] for x in side])) for side in sides)
                 linked = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (both > 0) & (c_a[:, None] != c_b[None, :])
-                i, j = np.nonzero(linked)
-                lo, hi = np.minimum(c_a[i], c_b[j]), np.maximum(c_a[i], c_b[j])
-                _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-                x, y = ids_a[i[first]], ids_b[j[first]]
+                chosen = np.array(spanning(linked, c_a, c_b), np.int64).reshape(-1, 2)
+                x, y = ids_a[chosen[:, 0]], ids_b[chosen[:, 1]]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
 def residual_links(scratch: Scratch, postings: DataFrame, label: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int, least: int) -> DataFrame:
-    """Links (a, b) between different components of a posting, one per pair of components and block at least.
+    """Links (a, b) between different components of a posting that connect them as all links would.
 
     Large components get chunks of their own, so pairs of chunks of one component are skipped unseen. A pair is looked at
     in the posting of its least common key only. Chunks are bounded in members and in shingles.

@@ -1,16 +1,17 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents with equal shingle sets form one class. A class has 32 MinHash coordinates for candidates (and 256 one-byte ones
-as an estimate). Each (coordinate, value) that several classes share is a posting. Linked classes agree in at least
+Documents with equal shingle sets form one class. A class has 64 MinHash coordinates, of which 32 are posted. Each posted
+(coordinate, value) that several classes share is a posting. Linked classes agree in at least
 MATCHES of the 32 coordinates (but for a chance below 1e-6), so a class with fewer shared coordinates is done; of the
 others only a prefix is posted: with m shared coordinates, the m - MATCHES + 1 rarest. Two classes with MATCHES common
-coordinates have one in both prefixes, whatever hot values they also share. Collisions beyond the prefix are counted on
-the signatures without visiting their postings, pairs above the match threshold are kept, and links are confirmed on
-the full sets (see linking).
+coordinates have one in both prefixes, whatever hot values they also share. Pairs that meet in a prefix count their
+collisions over all 64 coordinates without visiting the postings beyond it, pairs above the match threshold are kept,
+and links are confirmed on the full sets (see linking).
 
 Defined results: a null or blank text has an empty set, is linked with nothing and stays; fewer than k words are one
-shingle; equal texts share a component; every row of a repeated doc_id has its own text's component; null doc_ids are
-no component's smallest, so a text that only they have gets a null component and stays. Extra columns are ignored.
+shingle; equal texts share a component; every row of a repeated doc_id has its own text's component; a null doc_id is
+no component's smallest: its row goes if its component has a numbered document, and a component of null doc_ids only is
+null and stays. Extra columns, whatever their names, are ignored (near_duplicates) or kept (drop_near_duplicates).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import shingle_hashes, texts, word_hashes, words_of
+from loomgraph.llm.common import shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.session import Scratch
 
 K, PERCENT, COORDINATES, MATCHES = 3, 85, 32, 16
@@ -41,8 +42,9 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def estimate_bytes(minima: np.ndarray) -> bytes:
-    return ((minima * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+def signature(minima: np.ndarray) -> bytes:
+    """All coordinates, as linking compares them."""
+    return minima.astype("<u4").tobytes()
 
 
 def shingles_of(text: str, k: int = K) -> np.ndarray:
@@ -59,7 +61,7 @@ def _signer(k: int):
                 sizes.append(len(s))
                 ids.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) if len(s) else None)
                 values.append(low[:COORDINATES].view(np.int32) if len(s) else None)
-                sigs.append(estimate_bytes(low) if len(s) else None)
+                sigs.append(signature(low) if len(s) else None)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.int32())), pa.array(sigs, pa.binary())], names=["doc_id", "t", "n", "id", "minima", "sig"])
 
     return run
@@ -74,8 +76,8 @@ def prefix_postings(scratch: Scratch, classes: DataFrame, matches: int = MATCHES
     return prefix.select("id", F.col("e.key").alias("key")).join(classes.select("id", "n", "sig"), "id").select("key", "id", "n", "sig")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and t, a hash of the text."""
     scratch = Scratch(spark, "neardup")
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
     signed = scratch.write(docs.select("doc_id", "text", "t").mapInArrow(_signer(k), "doc_id long, t long, n long, id long, minima array<int>, sig binary"), "signed")
@@ -85,7 +87,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: i
     posted = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("t").alias("own"))
     posted = scratch.write(posted, "posted")
     same = docs["doc_id"].eqNullSafe(posted["d"]) & (docs["t"] == posted["own"])
-    full = scratch.write(docs.join(posted.hint("merge"), same).select("id", "text").dropDuplicates(["id"]), "texts")
+    full = scratch.write(docs.join(posted, same).select("id", "text").dropDuplicates(["id"]), "texts")
     scratch.release()
 
     def items(wanted: DataFrame) -> DataFrame:
@@ -95,13 +97,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: i
     labelled = classes.select("id", "doc_id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.write(labelled.join(least, "component").select("id", "component_id"), "of-class")
-    members = signed.select("doc_id", F.col("n").alias("n_shingles"), "id").join(of_class, "id", "left")
+    members = signed.select("doc_id", "t", F.col("n").alias("n_shingles"), "id").join(of_class, "id", "left")
     component = F.coalesce("component_id", "doc_id")
     scratch.drop("classes", "prefixes", "posted", "texts")
-    return members.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return members.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "t")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return _decided(spark, docs, k, percent).drop("t")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: the least doc_id of each component."""
-    gone = near_duplicates(spark, docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    doc, t = unused(docs.columns, "gone_doc"), unused(docs.columns, "gone_t")
+    gone = _decided(spark, docs, k, percent).where("not kept").select(F.col("doc_id").alias(doc), F.col("t").alias(t)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[t])
+    return docs.join(gone, same, "left_anti")

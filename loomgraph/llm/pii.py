@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import texts
+from loomgraph.llm.common import texts, unused
 from loomgraph.session import Scratch
 
 ALPHA, GENERALISE, REMOVE, BROADCAST = 0.01, 0.85, 0.95, 200_000
@@ -145,7 +145,7 @@ def term_spans(scratch: Scratch, keyed: DataFrame, flagged: DataFrame) -> DataFr
     hits = scratch.write(hits, "hits")
     where = scratch.write(hits.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms")), "where")
     pattern = "concat('(?iu)(?<![\\\\p{L}])', t.term, '(?![\\\\p{L}])')"
-    rows = keyed.join(where.hint("merge"), "key").groupBy("key", "terms").agg(F.any_value("text").alias("text")).select("key", "text", F.explode("terms").alias("t"))
+    rows = keyed.join(where, "key").groupBy("key", "terms").agg(F.any_value("text").alias("text")).select("key", "text", F.explode("terms").alias("t"))
     zipped = f"arrays_zip(regexp_extract_all(text, {pattern}, 0), transform(split(text, {pattern}, -1), g -> length(g)))"
     rows = rows.select("key", F.col("t.term").alias("sub"), F.col("t.share").alias("share"), F.lit(4).alias("kind"), F.expr(f"posexplode({zipped})").alias("pos", "z"))
     rows = rows.select("key", "sub", "share", "kind", "pos", F.col("z")["0"].alias("match"), F.col("z")["1"].alias("gap")).where("match is not null")
@@ -197,12 +197,13 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     run = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = run.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", "kind", "end")).alias("label"))
     cuts = scratch.write(merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("cuts")), "cuts")
-    marked = docs.withColumn("_key", text_key(F.coalesce("text", F.lit(""))))
-    joined = marked.join(cuts.withColumnsRenamed({"key": "_key", "cuts": "_cuts"}).hint("merge"), "_key", "left")
-    piece = "transform(_cuts, (c, i) -> concat(substring(text, cast(if(i = 0, 0, _cuts[i - 1].end) as int) + 1, cast(c.start - if(i = 0, 0, _cuts[i - 1].end) as int)), c.label))"
-    tail = "substring(text, cast(element_at(_cuts, -1).end as int) + 1)"
-    clean = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.expr(f"concat(array_join({piece}, ''), {tail})"))
+    key, cut = (unused(docs.columns, c) for c in ("pii_key", "pii_cuts"))
+    marked = docs.withColumn(key, text_key(F.coalesce(docs["text"], F.lit(""))))
+    joined = marked.join(cuts.withColumnsRenamed({"key": key, "cuts": cut}), key, "left")
+    piece = f"transform({cut}, (c, i) -> concat(substring(text, cast(if(i = 0, 0, {cut}[i - 1].end) as int) + 1, cast(c.start - if(i = 0, 0, {cut}[i - 1].end) as int)), c.label))"
+    tail = f"substring(text, cast(element_at({cut}, -1).end as int) + 1)"
+    clean = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.expr(f"concat(array_join({piece}, ''), {tail})"))
     out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))

@@ -1,75 +1,47 @@
-"""Repeated passages: exact ones by word windows at every offset, edited ones by paragraph MinHash banding.
+"""Repeated passages: paragraph MinHash banding for edited ones, confirmed matches to their true edges for verbatim ones.
 
-Exact: a passage of RUN words or more that occurs at an earlier place, by (doc_id, word), is repeated, whatever its line breaks
-and punctuation. Texts meet on anchors, the least hashes of K words among ANCHOR neighbours (winnowing: any RUN words in
-common have an anchor in common). Where all neighbouring anchors are repeated, every window of RUN words is looked up,
-so that a passage is found to its very first and last word. A repetition that overlaps its own source does not count.
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; line breaks and punctuation marks play no part. One pass over the texts
+writes, for every text of RUN words or more, its paragraphs and its anchors.
 
-Near: lines of at least NEAR words. 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a
-band but for a chance of 2e-4), colliding lines are joined and verified on their exact Jaccard similarity, and components
-cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept.
+Near: paragraphs are cut by content, where the hash of two neighbouring words is the least of GAP words on either side,
+so that a passage has the same paragraphs wherever it stands (25 words at least inside a text, 49 on average); lines of
+at least NEAR words are paragraphs too, as edits never move their borders. All are banded: 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a band but for a chance
+of 2e-4). Colliding paragraphs are joined and verified on their exact Jaccard similarity, and components cluster them
+(see linking). In each cluster the first place, by (doc_id, start), is kept. Near paragraphs that touch, in the text
+and in one and the same source, form pieces; pieces of at least RUN words are removed.
 
-Near lines that touch, in the text and in one and the same source, form pieces; pieces of at least RUN words are removed with
-the exact windows, and nothing between them: shorter repetitions (headings, stock phrases) and unrepeated words stay.
+Exact: a passage of RUN words or more that occurs at an earlier place, by (doc_id, word), is repeated, to its very first and
+last word. Texts meet on anchors, the least hashes of ANCHOR_WORDS words among ANCHOR neighbours (winnowing: any RUN words
+in common have an anchor in common). Neighbouring anchors overlap, so a chain of them with one source at one distance is
+a repetition as it stands; the windows of RUN words at the chains' edges and wherever else anchors repeat are looked up. A
+repetition that overlaps its own source does not count.
+
+Nothing between passages is removed: shorter repetitions (headings, stock phrases) and unrepeated words stay.
 
 Defined results: null texts are empty and have no passages; rows that repeat a doc_id and text are the same place, so
-none of them is a repetition of another; null doc_ids sort first; offsets are code points, end exclusive.
+none of them is a repetition of another; null doc_ids sort first; of equal places the least (doc_id, hash of the text, word)
+is the first; offsets are code points, end exclusive; extra columns, whatever their names, are ignored or kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import WordHashes, consecutive_hashes, shingle_hashes, texts, word_hashes
-from loomgraph.llm.neardup import _RANDOM, estimate_bytes, min_hashes
+from loomgraph.llm.common import consecutive_hashes, shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.neardup import _RANDOM, min_hashes, signature
 from loomgraph.session import Scratch
 
-K, PERCENT, NEAR, RUN = 5, 80, 30, 32
+K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 12, 3
-_LINE = re.compile(r"[^\n]+")
-
-
-def _normal(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def _hash(words: list[bytes]) -> int:
-    return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True)
-
-
-def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes], int]]:
-    """(start, end, words, first) of the lines with NEAR words or more; first is the number of words before it."""
-    before = 0
-    for line in _LINE.finditer(text):
-        words = _normal(line[0])
-        if len(words) >= NEAR:
-            yield line.start(), line.end(), words, before
-        before += len(words)
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every paragraph's place: (doc_id, t, id, start, end, first, last), the last two in words."""
-    for batch in batches:
-        docs, ids, starts, ends, firsts, lasts = [], [], [], [], [], []
-        for k, text in enumerate(batch.column(1)):
-            for start, end, words, first in paragraphs(text.as_py()):
-                docs.append(k)
-                ids.append(_hash(words))
-                starts.append(start)
-                ends.append(end)
-                firsts.append(first)
-                lasts.append(first + len(words))
-        at = pa.array(docs, pa.int32())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (starts, ends, firsts, lasts))], names=["doc_id", "t", "id", "start", "end", "first_word", "last_word"])
+_STEP = 2048  # texts worked on at once
 
 
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -82,6 +54,17 @@ def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     return x
 
 
+def borders(h: np.ndarray) -> np.ndarray:
+    """The first words of a text's paragraphs, 0 among them; h are its word hashes."""
+    if len(h) < 2 * GAP + 2:  # no word has GAP pairs on either side
+        return np.zeros(1, np.int64)
+    x = consecutive_hashes(h, 2)
+    low = _sliding(x, GAP, np.minimum)
+    inner = x[GAP:-GAP]
+    least = (inner < low[: len(inner)]) & (inner <= low[GAP + 1 : GAP + 1 + len(inner)])
+    return np.concatenate([[0], np.nonzero(least)[0] + GAP])
+
+
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, hash) of the windows of ANCHOR_WORDS words whose hash is the least among some ANCHOR neighbours; h has RUN or more."""
     x = consecutive_hashes(h, ANCHOR_WORDS)
@@ -92,222 +75,258 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_hashes(text: str) -> np.ndarray:
-    words = _normal(text)
+    words = words_of(text)
     return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
 
 
-def _anchors(placed: bool):
-    """The anchors of every text: (h), or (doc_id, t, h, n, word), n being the anchor's number in its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, hs, ns, words = ([np.empty(0, np.int64)] for _ in range(4))
-            for k, text in enumerate(batch.column("text")):
-                h = _word_hashes(text.as_py())
-                if len(h) >= RUN:
-                    at, keys = anchors(h)
-                    hs.append(keys)
-                    if placed:
-                        docs.append(np.full(len(at), k))
-                        ns.append(np.arange(len(at)))
-                        words.append(at)
-            h = pa.array(np.concatenate(hs))
-            if not placed:
-                yield pa.record_batch([h], names=["h"])
-                continue
-            at = pa.array(np.concatenate(docs))
-            yield pa.record_batch([batch.column("doc_id").take(at), batch.column("t").take(at), h, *(pa.array(np.concatenate(x).astype(np.int32)) for x in (ns, words))], names=["doc_id", "t", "h", "n", "word"])
-
-    return run
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def regions(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """Word ranges that hold every repeated window, from the (n, word) of a text's repeated anchors."""
-    out: list[list[int]] = []
-    last = -2
-    for n, word in sorted(found):
-        if n != last + 1:
-            out.append([max(0, word - ANCHOR + 1), 0])
-        out[-1][1] = min(size, word + ANCHOR_WORDS + ANCHOR - 1)
-        last = n
-    return [(a, b) for a, b in out if b - a >= RUN]
-
-
-def word_spans(text: str) -> np.ndarray:
-    """[words, 2] code point offsets of the words."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def word_spans(code: np.ndarray) -> np.ndarray:
+    """[words, 2] offsets of the words of a text's code points."""
     inside = np.concatenate([[False], (code != 32) & ((code < 9) | (code > 13)), [False]])
     return np.nonzero(inside[1:] != inside[:-1])[0].astype(np.int32).reshape(-1, 2)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of RUN words in the regions of a text: (h, doc_id, t, word, start, end). Of a text that an earlier document
-    has as a whole, windows side by side are enough."""
-    for batch in batches:
-        docs, columns = [np.empty(0, np.int64)], [[np.empty(0, np.int64)], *([np.empty(0, np.int32)] for _ in range(3))]
-        for k, (text, found, copy) in enumerate(zip(batch.column("text"), batch.column("found").to_pylist(), batch.column("copy").to_pylist())):
-            text = text.as_py()
-            h = _word_hashes(text)
-            ranges = regions([(f["n"], f["word"]) for f in found], len(h))
-            if ranges:
-                step = RUN if copy else 1
-                word = np.unique(np.concatenate([np.append(np.arange(a, b - RUN + 1, step, dtype=np.int32), np.int32(b - RUN)) for a, b in ranges]))
-                spans = word_spans(text)
-                docs.append(np.full(len(word), k))
-                for column, value in zip(columns, (consecutive_hashes(h, RUN)[word].view(np.int64), word, spans[word, 0], spans[word + RUN - 1, 1])):
-                    column.append(value)
-        at = pa.array(np.concatenate(docs))
-        h, word, start, end = (pa.array(np.concatenate(c)) for c in columns)
-        yield pa.record_batch([h, batch.column("doc_id").take(at), batch.column("t").take(at), word, start, end], names=["h", "doc_id", "t", "word", "start", "end"])
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows in order of (h, doc_id, t, word) -> those with an earlier place that they do not overlap, with the first place."""
-    before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches(([before] if before is not None else []) + [batch]).combine_chunks()
-        h, t, word = (rows.column(c).to_numpy() for c in ("h", "t", "word"))
-        doc, null = rows.column("doc_id").fill_null(0).to_numpy(), rows.column("doc_id").is_null().to_numpy()
-        first = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
-        own = (doc == doc[first]) & (null == null[first]) & (t == t[first])
-        keep = ~own | (word - word[first] >= RUN)
-        before = rows.slice(int(first[-1]), 1).to_batches()[0]
-        out, source = rows.filter(pa.array(keep)), rows.take(pa.array(first[keep]))
-        last = pa.array(out.column("word").to_numpy() + np.int32(RUN))
-        columns = [*(out.column(c).combine_chunks() for c in ("doc_id", "t", "start", "end", "word")), last, out.column("h").combine_chunks(), *(source.column(c).combine_chunks() for c in ("doc_id", "t", "start"))]
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        yield pa.record_batch(columns, names=["doc_id", "t", "start", "end", "first_word", "last_word", "component", "first_doc", "first_t", "first_start"])
-
-
-def band_keys(lines: list[list[bytes]], cache: WordHashes) -> np.ndarray:
-    """[lines, BANDS] 64-bit keys: MinHash over the K-word shingles of each line (of K words or more), all lines at once."""
-    sizes = np.array([len(words) for words in lines])
-    h = np.fromiter((cache[w] for words in lines for w in words), np.uint64, int(sizes.sum()))
+def paragraphs(h: np.ndarray, code: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The paragraphs' first words and the words after their last, those cut by content first, and the number of those."""
+    first = borders(h)
+    last = np.append(first[1:], len(h))
+    fresh = np.append(True, np.diff(np.searchsorted(np.nonzero(code == 10)[0], spans[:, 0])) > 0)
+    begin, end = np.nonzero(fresh)[0], _ends(fresh)
+    long = end - begin >= NEAR
+    begin, end = begin[long], end[long]
+    at = np.searchsorted(first, begin)
+    at[at == len(first)] = 0
+    other = (first[at] != begin) | (last[at] != end)
+    return np.append(first, begin[other]), np.append(last, end[other]), len(first)
+
+
+def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
+    """[paragraphs, BANDS] 64-bit keys: MinHash over the K-word shingles of each paragraph (K word hashes or more), all at once."""
+    sizes = np.array([len(p) for p in paragraphs])
+    h = np.concatenate(paragraphs)
     ends = np.cumsum(sizes)
-    inside = np.ones(len(h) - K + 1, bool)  # shingles that cross no line
+    inside = np.ones(len(h) - K + 1, bool)  # shingles that cross no border
     for j in range(1, K):
         inside[ends[:-1] - j] = False
     shingles = consecutive_hashes(h, K)[inside]
     starts = np.concatenate([[0], np.cumsum(sizes - K + 1)[:-1]])
-    low = np.empty((len(lines), BANDS * ROWS), np.uint32)
-    for a in range(0, len(lines), 256):
-        b = min(len(lines), a + 256)
-        part = shingles[starts[a] : starts[b] if b < len(lines) else None]
+    low = np.empty((len(paragraphs), BANDS * ROWS), np.uint32)
+    for a in range(0, len(paragraphs), 256):
+        b = min(len(paragraphs), a + 256)
+        part = shingles[starts[a] : starts[b] if b < len(paragraphs) else None]
         product = (part[:, None] * _RANDOM[None, : BANDS * ROWS // 2]).view(np.uint32)
         low[a:b] = np.minimum.reduceat(product, starts[a:b] - starts[a], axis=0)
-    keys = np.zeros((len(lines), BANDS), np.uint64)
+    keys = np.zeros((len(paragraphs), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = (keys ^ low.reshape(len(lines), BANDS, ROWS)[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+        keys = (keys ^ low.reshape(len(paragraphs), BANDS, ROWS)[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     return (keys * np.uint64(16) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The long lines: (id, bands), each line once per batch."""
-    for batch in batches:
-        seen: set[int] = set()
-        ids, bands = [], [np.empty((0, BANDS), np.int64)]
-        for text in batch.column(0):
-            fresh = []
-            for line in _LINE.finditer(text.as_py()):
-                words = _normal(line[0])
-                if len(words) >= NEAR and (key := _hash(words)) not in seen:
-                    seen.add(key)
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+
+
+_UNITS = "doc_id long, t long, h array<long>, word array<int>, id array<long>, first array<int>, last array<int>, start array<int>, end array<int>, line array<int>, bands array<array<long>>"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors and paragraphs of the texts of RUN words or more; the bands of equal paragraphs once a batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _STEP):
+            batch = whole.slice(at, _STEP)
+            kept, columns, fresh = [], [[] for _ in range(8)], []
+            seen: set[int] = set()
+            banded = []  # of every paragraph, whether its bands come with it
+            for k, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                h = _word_hashes(text)
+                if len(h) < RUN:
+                    continue
+                word, keys = anchors(h)
+                code = _codes(text)
+                spans = word_spans(code)
+                first, last, cut = paragraphs(h, code, spans)
+                ids = []
+                for a, b in zip(first.tolist(), last.tolist()):
+                    key = xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63)
                     ids.append(key)
-                    fresh.append(words)
-            if fresh:
-                bands.append(band_keys(fresh, word_hashes()))
-        flat = np.concatenate(bands)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(flat.reshape(-1)))
-        yield pa.record_batch([pa.array(ids, pa.int64()), lists], names=["id", "bands"])
+                    banded.append(key not in seen)
+                    if banded[-1]:
+                        seen.add(key)
+                        fresh.append(h[a:b])
+                kept.append(k)
+                for column, value in zip(columns, (keys, word, np.array(ids, np.int64), first, last, spans[first, 0], spans[last - 1, 1], np.arange(len(first)) >= cut)):
+                    column.append(value)
+            counts = np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))]).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(counts), pa.array(band_keys(fresh).reshape(-1) if fresh else np.empty(0, np.int64), pa.int64()))
+            arrays = [_lists(c, pa.int64() if k in (0, 2) else pa.int32()) for k, c in enumerate(columns)]
+            rows = pa.array(kept, pa.int32())
+            yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("t").take(rows), *arrays, pa.ListArray.from_arrays(arrays[2].offsets, inner)], names=[c.split()[0] for c in _UNITS.split(", ")])
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with wanted spots -> (id, text) of these."""
     for batch in batches:
-        found: dict[int, str] = {}
-        for text in batch.column(0):
-            for line in _LINE.finditer(text.as_py()):
-                words = _normal(line[0])
-                if len(words) >= NEAR:
-                    found.setdefault(_hash(words), line[0])
-        yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["id", "text"])
+        ids, parts = [], []
+        for text, spots in zip(batch.column("text"), batch.column("spots").to_pylist()):
+            text = text.as_py()
+            ids += [s["id"] for s in spots]
+            parts += [text[s["start"] : s["end"]] for s in spots]
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.string())], names=["id", "text"])
 
 
 def _shingles(text: str) -> np.ndarray:
-    return shingle_hashes(_normal(text), K, word_hashes())
+    return shingle_hashes(words_of(text), K, word_hashes())
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [_shingles(t.as_py()) for t in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([estimate_bytes(min_hashes(s)) for s in sets], pa.binary())], names=["id", "n", "sig"])
+        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(min_hashes(s)) for s in sets], pa.binary())], names=["id", "n", "sig"])
 
 
-def near_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(id, component) of the long lines that have near copies."""
-    bands = docs.select("text").mapInArrow(_lines, "id long, bands array<bigint>").groupBy("id").agg(F.any_value("bands").alias("bands"))
-    bands = scratch.write(bands, "bands").select("id", F.explode("bands").alias("key"))
-    shared = scratch.write(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared")
-    collided = scratch.write(bands.join(shared, "key"), "collided")
+def _at(docs: DataFrame, found: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(found["at_doc"]) & (docs["t"] == found["at_t"])
+
+
+def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, component) of the paragraphs that have near copies."""
+    banded = units.select(F.explode(F.arrays_zip("id", "bands")).alias("p")).where(F.size("p.bands") > 0)
+    keys = banded.select(F.col("p.id").alias("id"), F.explode("p.bands").alias("key"))
+    shared = scratch.write(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
+    collided = scratch.write(keys.join(shared, "key").distinct(), "collided")
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
-    lines = docs.select("text").mapInArrow(_line_texts, "id long, text string").join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    lines = scratch.write(lines, "lines")
-    scratch.drop("bands", "shared")
     scratch.release()
+    one = places.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
+    spots = one.groupBy(F.col("p.doc_id").alias("at_doc"), F.col("p.t").alias("at_t")).agg(F.collect_list(F.struct("id", "p.start", "p.end")).alias("spots"))
+    spots = scratch.write(spots, "spots")
+    lines = docs.join(spots, _at(docs, spots)).select("text", "spots").mapInArrow(_slices, "id long, text string")
+    lines = scratch.write(lines.groupBy("id").agg(F.min("text").alias("text")), "lines")
     signatures = scratch.write(lines.mapInArrow(_signatures, "id long, n long, sig binary"), "signatures")
     postings = collided.join(signatures, "id").select("key", "id", "n", "sig")
     return linking.link(scratch, postings, lambda ids: lines.join(ids, "id", "left_semi"), _shingles, PERCENT)
 
 
-def near_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Every later place of a near line: doc_id, t, start, end, first_word, last_word, component, first."""
-    near = scratch.write(near_lines(scratch, docs), "clusters")
-    scratch.drop("lines", "signatures", "collided", "wanted")
-    places = docs.select("doc_id", "text", "t").mapInArrow(_places, "doc_id long, t long, id long, start int, end int, first_word int, last_word int")
-    found = scratch.write(places.join(near.hint("merge"), "id").drop("id"), "places")
+def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:
+    """Every later place of a near paragraph: doc_id, t, start, end, first_word, last_word, component, first."""
+    p = F.explode(F.arrays_zip("id", "first", "last", "start", "end", "line")).alias("p")
+    places = units.select("doc_id", "t", p).select("doc_id", "t", "p.id", "p.start", "p.end", "p.line", F.col("p.first").alias("first_word"), F.col("p.last").alias("last_word"))
+    near = scratch.write(near_paragraphs(scratch, docs, units, places), "clusters")
+    scratch.drop("shared", "collided", "wanted", "spots", "lines", "signatures")
+    found = scratch.write(places.join(near, "id").drop("id"), "places")
     scratch.release()
     place = F.struct("doc_id", "t", "start", "first_word", "last_word")
     first = scratch.write(found.groupBy("component").agg(F.min(place).alias("first")), "first")
-    later = found.join(first, "component").where(~place.eqNullSafe(F.col("first"))).dropDuplicates(["doc_id", "t", "start"])
-    order = Window.partitionBy("doc_id", "t").orderBy("start")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    later = found.join(first, "component").where(~same | (F.col("first_word") >= F.col("first.last_word"))).dropDuplicates(["doc_id", "t", "line", "start"])
+    order = Window.partitionBy("doc_id", "t", "line").orderBy("start")
     source = F.lag("first").over(order)
     touch = (F.lag("last_word").over(order) == F.col("first_word")) & source["doc_id"].eqNullSafe(F.col("first.doc_id")) & (source["t"] == F.col("first.t")) & (source["last_word"] == F.col("first.first_word"))
     pieces = later.withColumn("fresh", F.when(touch, 0).otherwise(1)).withColumn("piece", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    words = F.sum(F.col("last_word") - F.col("first_word")).over(Window.partitionBy("doc_id", "t", "piece"))
-    return pieces.withColumn("words", words).where(F.col("words") >= RUN).withColumn("first", F.struct("first.doc_id", "first.t", "first.start"))
+    words = F.sum(F.col("last_word") - F.col("first_word")).over(Window.partitionBy("doc_id", "t", "line", "piece"))
+    kept = pieces.withColumn("words", words).where(F.col("words") >= RUN)
+    return kept.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", F.struct("first.doc_id", "first.t", F.col("first.first_word").alias("word")).alias("first"))
 
 
-def exact_places(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """Every window of RUN words that an earlier place has: the columns of near_places."""
-    again = docs.select("text").mapInArrow(_anchors(False), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = scratch.write(again, "anchors")
-    scratch.release()
-    placed = docs.mapInArrow(_anchors(True), "doc_id long, t long, h long, n int, word int")
-    found = placed.join(again.hint("merge"), "h").groupBy("doc_id", "t").agg(F.collect_set(F.struct("n", "word")).alias("found"))
-    found = scratch.write(found, "found")
+def _ends(first: np.ndarray) -> np.ndarray:
+    """Where the runs that begin at the true values of `first` end."""
+    return np.append(np.nonzero(first)[0][1:], len(first))
+
+
+def repetitions(n: np.ndarray, word: np.ndarray, source: np.ndarray, shift: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """What the repeated anchors of a text say, in order of their number n: the words where windows are to be looked up, and the
+    chains (first word, end, anchor) that are repetitions as they stand. source is -1 where an anchor has none but itself."""
+    fresh = np.append(True, n[1:] != n[:-1] + 1)
+    look = np.zeros(size - RUN + 2, bool)
+    begin = np.nonzero(fresh)[0]
+    for a, b in zip(begin, _ends(fresh)):
+        look[max(0, word[a] - ANCHOR + 1) : min(size - RUN, word[b - 1]) + 1] = True
+    fresh |= np.append(True, (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]))
+    chains = []
+    for a, b in zip(np.nonzero(fresh)[0].tolist(), _ends(fresh).tolist()):
+        lo, hi = int(word[a]), int(word[b - 1]) + ANCHOR_WORDS
+        if source[a] >= 0 and hi - lo >= RUN:
+            look[lo : hi - RUN + 1] = False
+            chains.append((lo, hi, a))
+    return np.nonzero(look[:-1])[0], chains
+
+
+_FOUND = "h long, doc_id long, t long, word int, last int, start int, end int, first_doc long, first_t long, first_word int"
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their repeated anchors -> chains (h is null, with their sources) and windows of RUN words to look up."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    for batch in batches:
+        lists = batch.column("found")
+        ends, values = lists.offsets.to_numpy(), lists.values
+        n, word, w = (values.field(c).to_numpy() for c in ("n", "word", "w"))
+        source = np.where(values.field("own").to_numpy(zero_copy_only=False), np.where(word - w >= RUN, 0, -1), values.field("s").to_numpy())
+        rows: list[list[np.ndarray]] = [[], []]
+        for k, text in enumerate(batch.column("text")):
+            text = text.as_py()
+            order = ends[k] + np.unique(n[ends[k] : ends[k + 1]], return_index=True)[1]
+            h, spans = _word_hashes(text), word_spans(_codes(text))
+            at, chains = repetitions(n[order], word[order], source[order], (word - w)[order], len(h))
+            if len(at):
+                rows[0].append(np.stack([consecutive_hashes(h, RUN)[at].view(np.int64), np.full(len(at), k), at, at + RUN, spans[at, 0], spans[at + RUN - 1, 1]]))
+            if chains:
+                lo, hi, a = np.array(chains).T
+                rows[1].append(np.stack([order[a], np.full(len(lo), k), lo, hi, spans[lo, 0], spans[hi - 1, 1]]))
+        for kind, parts in enumerate(rows):
+            if parts:
+                key, k, *places = np.concatenate(parts, axis=1)
+                k = pa.array(k)
+                places = [pa.array(x, pa.int32()) for x in places]
+                if kind:
+                    first = [values.field(c).take(pa.array(key)) for c in ("s_doc", "s_t")] + [pa.array(places[0].to_numpy() - (word - w)[key], pa.int32())]
+                    h = pa.nulls(len(k), pa.int64())
+                else:
+                    first = [pa.nulls(len(k), kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
+                    h = pa.array(key)
+                yield pa.record_batch([h, batch.column("doc_id").take(k), batch.column("t").take(k), *places, *first], names=names)
+
+
+def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:
+    """Every verbatim repetition of RUN words or more: the columns of near_places. Joins on hashes start from written tables, so
+    that Spark can split their hot keys; firsts are aggregated before the shuffle."""
+    again = scratch.write(units.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
+    common = scratch.write(placed.join(again, "h"), "common")
     scratch.release()
-    whole = found.groupBy("t").agg(F.min(F.struct("doc_id")).alias("_one"))
-    found = found.join(whole, "t").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "found", (~F.struct("doc_id").eqNullSafe(F.col("_one"))).alias("copy"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t"))
-    texts_of = docs.join(found.hint("merge"), same).select("doc_id", "t", "text", "found", "copy")
-    windows = texts_of.mapInArrow(_windows, "h long, doc_id long, t long, word int, start int, end int")
-    ordered = windows.repartition("h").sortWithinPartitions("h", "doc_id", "t", "word")
-    later = ordered.mapInArrow(_later, "doc_id long, t long, start int, end int, first_word int, last_word int, component long, first_doc long, first_t long, first_start int")
-    later = scratch.write(later, "windows")
-    scratch.drop("anchors", "found")
+    place = F.struct("doc_id", "t", "word")
+    first = scratch.write(common.groupBy("h").agg(F.min(place).alias("f")), "first-anchors")
+    own = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t") == F.col("f.t"))
+    entry = F.struct("n", "word", own.alias("own"), F.shiftrightunsigned(F.xxhash64("f.doc_id", "f.t"), 1).alias("s"), F.col("f.word").alias("w"), F.col("f.doc_id").alias("s_doc"), F.col("f.t").alias("s_t"))
+    anchored = common.join(first, "h").groupBy(F.col("doc_id").alias("at_doc"), F.col("t").alias("at_t")).agg(F.collect_list(entry).alias("found"))
+    anchored = scratch.write(anchored, "anchored")
+    scratch.drop("again", "common", "first-anchors")
     scratch.release()
-    return later.withColumn("first", F.struct(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("t"), F.col("first_start").alias("start"))).drop("first_doc", "first_t", "first_start")
+    found = scratch.write(docs.join(anchored, _at(docs, anchored)).select("doc_id", "t", "text", "found").mapInArrow(_found, _FOUND), "found")
+    windows = found.where("h is not null").select("h", "doc_id", "t", "word", "last", "start", "end")
+    firsts = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
+    firsts = scratch.write(firsts, "first-windows")
+    later = windows.join(firsts, "h").where(~own | (F.col("word") - F.col("f.word") >= RUN))
+    columns = ["doc_id", "t", "start", "end", F.col("word").alias("first_word"), F.col("last").alias("last_word")]
+    later = later.select(*columns, F.xxhash64("h").alias("component"), F.col("f").alias("first"))
+    source = F.struct(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("t"), F.col("first_word").alias("word"))
+    whole = found.where("h is null").select(*columns, F.xxhash64("first_doc", "first_t", found["first_word"]).alias("component"), source.alias("first"))
+    return whole.unionByName(later)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per passage to remove: doc_id, start, end, n_words, component, first_doc_id, first_start, and t (a hash of the
-    document's text)."""
+    """One row per passage to remove: doc_id, start, end, n_words, component, first_doc_id, first_word (of the kept place, in
+    words), and t (a hash of the document's text)."""
     scratch = Scratch(spark, "substring")
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
-    near = near_places(scratch, docs)
-    again = near.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", "first").unionByName(exact_places(scratch, docs))
+    units = scratch.write(docs.select("doc_id", "t", "text").mapInArrow(_units, _UNITS), "units")
+    near = near_places(scratch, docs, units)
+    again = near.unionByName(exact_places(scratch, docs, units))
     order = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"))
     reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     marked = again.withColumn("fresh", (F.col("first_word") > reach).cast("int"))
@@ -315,8 +334,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     head = F.struct("start", "end")
     words = F.max("last_word") - F.min("first_word")
     passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
-    result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "t"), "passages")
-    scratch.drop("places", "clusters", "first", "windows")
+    result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "t"), "passages")
+    scratch.drop("units", "places", "clusters", "first", "anchored", "found", "first-windows")
     return result
 
 
@@ -347,9 +366,10 @@ def _cutter(text_at: int, chars_at: int | None):
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with all their columns, without repeated passages; a document that was nothing else is dropped."""
-    spans = repeated_passages(spark, docs).groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    spans = Scratch(spark, "substring-spans").write(spans, "spans").withColumnsRenamed({"doc_id": "_doc", "t": "_t"})
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t"))
-    joined = docs.join(spans.hint("merge"), same, "left").drop("_doc", "_t")
+    doc, t, cuts = (unused(docs.columns, c) for c in ("cut_doc", "cut_t", "cut_spans"))
+    spans = repeated_passages(spark, docs).groupBy(F.col("doc_id").alias(doc), F.col("t").alias(t)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    spans = Scratch(spark, "substring-spans").write(spans, "spans")
+    same = docs["doc_id"].cast("long").eqNullSafe(spans[doc]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans[t])
+    joined = docs.join(spans, same, "left").drop(doc, t)
     names = docs.columns
     return joined.mapInArrow(_cutter(names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)

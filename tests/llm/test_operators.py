@@ -295,7 +295,68 @@ def test_substring_gaps_stay(spark):
 
 def test_substring_bands_miss_little():
     assert (1 - 0.8**substring.ROWS) ** substring.BANDS < 2.1e-4
-    assert substring.band_keys([prose(1, 40).encode().split()], substring.word_hashes()).shape == (1, substring.BANDS)
+    h = substring._word_hashes(prose(1, 90))
+    keys = substring.band_keys([h[:40], h[40:]])
+    assert keys.shape == (2, substring.BANDS) and (keys[1] == substring.band_keys([h[40:]])[0]).all()
+
+
+def test_substring_near_copies_in_any_layout(spark):
+    """Edited passages inside longer lines, hard-wrapped, and where no 32 words in a row agree."""
+    text = prose(401, 400).split(" ")
+    other = list(text)
+    for k in range(12, 400, 28):
+        other[k] = f"changed{k}"
+    wrapped = "\n".join(" ".join(other[k : k + 12]) for k in range(0, 400, 12))
+    items = {1: f"{prose(402, 50)} {' '.join(text)} {prose(403, 50)}", 2: f"{prose(404, 37)}\n{' '.join(other)}\n{prose(405, 20)}", 3: f"{prose(406, 9)}\n{' '.join(text)}\n{prose(407, 9)}", 4: f"{prose(408, 70)}\n{wrapped}\n{prose(409, 40)}"}
+    df = spark.createDataFrame(list(items.items()), "doc_id long, text string")
+    assert not [r for r in substring.repeated_passages(spark, df.where("doc_id in (1, 2)")).collect() if r.doc_id == 1]
+    covered = {i: 0 for i in items}
+    for r in substring.repeated_passages(spark, df).collect():
+        covered[r.doc_id] += r.n_words
+    assert covered[1] == 0 and covered[2] >= 400 and covered[3] >= 400 and covered[4] >= 100
+
+
+def test_spanning_links_connect_what_all_links_do():
+    from loomgraph.llm import linking
+
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        left, right = rng.integers(0, 12, 20), rng.integers(6, 20, 15)
+        linked = (rng.random((20, 15)) < 0.08) & (left[:, None] != right[None, :])
+
+        def groups(pairs):
+            parent = {int(v): int(v) for v in np.concatenate([left, right])}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i, j in pairs:
+                a, b = find(int(left[i])), find(int(right[j]))
+                parent[max(a, b)] = min(a, b)
+            return {v: find(v) for v in parent}
+
+        chosen = linking.spanning(linked, left, right)
+        assert all(linked[i, j] for i, j in chosen) and len(chosen) < 20
+        assert groups(chosen) == groups(np.argwhere(linked))
+
+
+def test_clashing_names_null_and_repeated_ids(spark):
+    """Columns named like those the operators join on; null ids; repeated rows."""
+    names = "gone_doc, gone_t, _gone, cut_doc, cut_t, cut_spans, _spans, _t, _doc, pii_key, pii_cuts, _key, _cuts, key, t, id, component"
+    text, passage = prose(501, 50) + " me.x@mail.org", prose(502, 60)
+    rows_ = [(None, text), (None, text), (3, text), (4, f"{prose(503, 40)} {passage}"), (5, f"{prose(504, 40)} {passage} ü@ü x@y.zz"), (5, f"{prose(504, 40)} {passage} ü@ü x@y.zz"), (6, None), (7, "")]
+    extra = [f"{c} string" for c in names.split(", ")]
+    df = spark.createDataFrame([(i, t, *names.split(", ")) for i, t in rows_], f"doc_id long, text string, {', '.join(extra)}")
+    own = tuple(names.split(", "))
+    for out in (neardup.drop_near_duplicates(spark, df), substring.drop_repeated_passages(spark, df), pii.sanitise(spark, df)):
+        assert out.columns == df.columns and all(tuple(r)[2:] == own for r in out.collect())
+    kept = sorted(((r.doc_id, r.text) for r in neardup.drop_near_duplicates(spark, df).collect()), key=str)
+    assert kept == sorted(((i, t) for i, t in rows_ if i is not None), key=str)
+    assert rows(neardup.near_duplicates(spark, df.where("doc_id is null or doc_id = 3")), "doc_id", "component_id", "kept") == {(None, 3, False), (3, 3, True)}
+    cut = {(r.doc_id, r.text) for r in substring.drop_repeated_passages(spark, df).collect()}
+    assert len([1 for i, t in cut if i == 5]) == 1 and all(passage not in t for i, t in cut if i == 5) and (4, rows_[3][1]) in cut
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
