@@ -82,7 +82,7 @@ def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Data
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
     signed = scratch.write(docs.select("doc_id", "text", "t").mapInArrow(_signer(k), "doc_id long, t long, n long, id long, minima array<int>, sig binary"), "signed")
     # one row stands for all rows of a class
-    classes = scratch.write(signed.where("id is not null").groupBy("id", "n", "minima", "sig").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("id", "n", "minima", "sig", "r.doc_id", "r.t"), "classes")
+    classes = scratch.write(signed.where("id is not null").groupBy("id", "n", "minima", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r")).select("id", "n", "minima", "sig", "r.doc_id", "r.t"), "classes")
     postings = scratch.write(prefix_postings(scratch, classes), "prefixes")
     posted = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("t").alias("own"))
     posted = scratch.write(posted, "posted")

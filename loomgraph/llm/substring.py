@@ -5,7 +5,8 @@ writes, for every text of RUN words or more, its paragraphs and its anchors.
 
 Near: paragraphs are cut by content, where the hash of two neighbouring words is the least of GAP words on either side,
 so that a passage has the same paragraphs wherever it stands (25 words at least inside a text, 49 on average); lines of
-at least NEAR words are paragraphs too, as edits never move their borders. All are banded: 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a band but for a chance
+at least NEAR words are paragraphs too, as edits never move their borders (lines meet lines only, or each would meet the
+paragraphs inside it). All are banded: 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a band but for a chance
 of 2e-4). Colliding paragraphs are joined and verified on their exact Jaccard similarity, and components cluster them
 (see linking). In each cluster the first place, by (doc_id, start), is kept. Near paragraphs that touch, in the text
 and in one and the same source, form pieces; pieces of at least RUN words are removed.
@@ -104,7 +105,7 @@ def paragraphs(h: np.ndarray, code: np.ndarray, spans: np.ndarray) -> tuple[np.n
 
 
 def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
-    """[paragraphs, BANDS] 64-bit keys: MinHash over the K-word shingles of each paragraph (K word hashes or more), all at once."""
+    """[paragraphs, BANDS] 64-bit keys, all even: MinHash over the K-word shingles of each paragraph (K word hashes or more), all at once."""
     sizes = np.array([len(p) for p in paragraphs])
     h = np.concatenate(paragraphs)
     ends = np.cumsum(sizes)
@@ -123,7 +124,7 @@ def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
     for r in range(ROWS):
         keys = (keys ^ low.reshape(len(paragraphs), BANDS, ROWS)[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return (keys * np.uint64(16) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return (keys * np.uint64(32) + 2 * np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -139,7 +140,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, _STEP):
             batch = whole.slice(at, _STEP)
-            kept, columns, fresh = [], [[] for _ in range(8)], []
+            kept, columns, fresh, lines = [], [[] for _ in range(8)], [], []
             seen: set[int] = set()
             banded = []  # of every paragraph, whether its bands come with it
             for k, text in enumerate(batch.column("text")):
@@ -152,18 +153,20 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = word_spans(code)
                 first, last, cut = paragraphs(h, code, spans)
                 ids = []
-                for a, b in zip(first.tolist(), last.tolist()):
-                    key = xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63)
+                for n, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+                    key = xxhash.xxh3_64_intdigest(h[a:b].tobytes(), n >= cut) - (1 << 63)
                     ids.append(key)
                     banded.append(key not in seen)
                     if banded[-1]:
                         seen.add(key)
                         fresh.append(h[a:b])
+                        lines.append(n >= cut)
                 kept.append(k)
                 for column, value in zip(columns, (keys, word, np.array(ids, np.int64), first, last, spans[first, 0], spans[last - 1, 1], np.arange(len(first)) >= cut)):
                     column.append(value)
             counts = np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))]).astype(np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(counts), pa.array(band_keys(fresh).reshape(-1) if fresh else np.empty(0, np.int64), pa.int64()))
+            keys = (band_keys(fresh) ^ np.array(lines, np.int64)[:, None]).reshape(-1) if fresh else np.empty(0, np.int64)
+            inner = pa.ListArray.from_arrays(pa.array(counts), pa.array(keys, pa.int64()))
             arrays = [_lists(c, pa.int64() if k in (0, 2) else pa.int32()) for k, c in enumerate(columns)]
             rows = pa.array(kept, pa.int32())
             yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("t").take(rows), *arrays, pa.ListArray.from_arrays(arrays[2].offsets, inner)], names=[c.split()[0] for c in _UNITS.split(", ")])
