@@ -6,9 +6,9 @@ writes, for every text of RUN words or more, its paragraphs and its anchors.
 Near: paragraphs are cut by content, where the hash of two neighbouring words is the least of GAP words on either side,
 so that a passage has the same paragraphs wherever it stands (25 words at least inside a text, 49 on average); lines of
 at least NEAR words are paragraphs too, as edits never move their borders (lines meet lines only, or each would meet the
-paragraphs inside it). All are banded: 12 bands of 3 coordinates over five-word shingles (a pair at the similarity 0.8 shares a band but for a chance
-of 2e-4). Colliding paragraphs are joined and verified on their exact Jaccard similarity, and components cluster them
-(see linking). In each cluster the first place, by (doc_id, start), is kept. Near paragraphs that touch, in the text
+paragraphs inside it). All are banded: 9 bands of 2 coordinates over five-word shingles, the fewest keys by which a pair
+at the similarity 0.8 shares a band but for a chance of about 1e-4. Colliding paragraphs are joined and verified on their
+exact Jaccard similarity, and components cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept. Near paragraphs that touch, in the text
 and in one and the same source, form pieces; pieces of at least RUN words are removed.
 
 Exact: a passage of RUN words or more that occurs at an earlier place, by (doc_id, word), is repeated, to its very first and
@@ -41,7 +41,8 @@ from loomgraph.session import Scratch
 
 K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 9, 2
+BROADCAST = 1_000_000  # hashes that are sent to all executors, counted before; more of them are joined by a shuffle
 _STEP = 2048  # texts worked on at once
 
 
@@ -193,6 +194,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(min_hashes(s)) for s in sets], pa.binary())], names=["id", "n", "sig"])
 
 
+def _known(hashes: DataFrame) -> DataFrame:
+    """Hashes (longs) to join on: broadcast, if they are few."""
+    return F.broadcast(hashes) if hashes.count() <= BROADCAST else hashes
+
+
 def _at(docs: DataFrame, found: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(found["at_doc"]) & (docs["t"] == found["at_t"])
 
@@ -202,10 +208,10 @@ def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places:
     banded = units.select(F.explode(F.arrays_zip("id", "bands")).alias("p")).where(F.size("p.bands") > 0)
     keys = banded.select(F.col("p.id").alias("id"), F.explode("p.bands").alias("key"))
     shared = scratch.write(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
-    collided = scratch.write(keys.join(shared, "key").distinct(), "collided")
+    collided = scratch.write(keys.join(_known(shared), "key").distinct(), "collided")
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
     scratch.release()
-    one = places.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
+    one = places.join(_known(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
     spots = one.groupBy(F.col("p.doc_id").alias("at_doc"), F.col("p.t").alias("at_t")).agg(F.collect_list(F.struct("id", "p.start", "p.end")).alias("spots"))
     spots = scratch.write(spots, "spots")
     lines = docs.join(spots, _at(docs, spots)).select("text", "spots").mapInArrow(_slices, "id long, text string")
@@ -300,7 +306,7 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
     that Spark can split their hot keys; firsts are aggregated before the shuffle."""
     again = scratch.write(units.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
-    common = scratch.write(placed.join(again, "h"), "common")
+    common = scratch.write(placed.join(_known(again), "h"), "common")
     scratch.release()
     place = F.struct("doc_id", "t", "word")
     first = scratch.write(common.groupBy("h").agg(F.min(place).alias("f")), "first-anchors")
