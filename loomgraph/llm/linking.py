@@ -1,7 +1,7 @@
 """Exact similarity links between many sets, without all pairs of a group.
 
-Input are postings (key, id, n, sig): sets that share a key may be similar; n is the set's size, sig its SIG MinHash
-coordinates (32 bits each). A pair is a candidate only if enough of the coordinates collide. Links come in rounds:
+Input are postings (key, id), where sets that share a key may be similar, and members (id, n, sig), n being the set's size,
+sig its SIG MinHash coordinates (32 bits each). A pair is a candidate only if enough of the coordinates collide. Links come in rounds:
 
 1. each posting's members are compared with its pivot (its least id): as many comparisons as postings;
 2. the connected components so far are computed by label propagation over written tables;
@@ -50,11 +50,10 @@ def _pivot_filter(percent: int, least: int):
     return run
 
 
-def pivot_pairs(scratch: Scratch, postings: DataFrame, percent: int, least: int) -> DataFrame:
+def pivot_pairs(scratch: Scratch, postings: DataFrame, members: DataFrame, percent: int, least: int) -> DataFrame:
     """Distinct (a, b): pivot and member of a posting that may be linked. Joins start from written tables, so that
     Spark can split their hot keys."""
     pivots = scratch.write(postings.groupBy("key").agg(F.min("id").alias("p")), "pivots")
-    members = scratch.write(postings.groupBy("id", "n", "sig").agg(F.count("*").alias("postings")).drop("postings"), "members")
     pairs = scratch.write(postings.select("key", F.col("id").alias("b")).join(pivots, "key").where("p < b").select("p", "b").distinct(), "stars")
     left = members.select(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("sig").alias("ps"))
     right = members.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bs"))
@@ -212,14 +211,13 @@ def _block_verifier(shingles: Callable[[str], np.ndarray], percent: int):
     return run
 
 
-def residual_links(scratch: Scratch, postings: DataFrame, label: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int, least: int) -> DataFrame:
+def residual_links(scratch: Scratch, postings: DataFrame, sets: DataFrame, label: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int, least: int) -> DataFrame:
     """Links (a, b) between different components of a posting that connect them as all links would.
 
     Large components get chunks of their own, so pairs of chunks of one component are skipped unseen. A pair is looked at
     in the posting of its least common key only. Chunks are bounded in members and in shingles.
     """
-    known = postings.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    keys = scratch.write(postings.groupBy("id").agg(F.collect_list("key").alias("keys")), "keys")
+    known = postings.join(sets.select("id", "n"), "id").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     known = scratch.write(known, "known")
     shares = known.groupBy("key", "c").agg(F.greatest(F.count("*") / CHUNK, F.sum("n") / MASS).alias("size"))
     large = F.col("size") >= 0.25
@@ -227,9 +225,12 @@ def residual_links(scratch: Scratch, postings: DataFrame, label: DataFrame, item
     shares = scratch.write(shares.join(mixed, "key").select("key", "c", "size", "small"), "shares")
     own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil("size")))
     common = F.pmod(F.xxhash64("c"), F.ceil("small"))
-    chunked = scratch.write(known.join(shares, ["key", "c"]).withColumn("chunk", F.when(large, own).otherwise(common)).drop("size", "small"), "chunked")
+    chunked = scratch.write(known.join(shares, ["key", "c"]).withColumn("chunk", F.when(large, own).otherwise(common)).drop("size", "small", "n"), "chunked")
+    met_ids = scratch.write(chunked.select("id").distinct(), "met-ids")
+    keys = scratch.write(postings.join(met_ids, "id").groupBy("id").agg(F.collect_list("key").alias("keys")), "keys")
+    signed = scratch.write(sets.join(keys, "id"), "met-sets")
     member = F.struct("id", "c", "n", "sig", "keys")
-    chunks = scratch.write(chunked.join(keys, "id").groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
+    chunks = scratch.write(chunked.join(signed, "id").groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
     x = chunks.select("key", F.col("chunk").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.col("members").alias("left"))
     y = chunks.select("key", F.col("chunk").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), F.col("members").alias("right"))
     alike = (F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j"))
@@ -240,23 +241,23 @@ def residual_links(scratch: Scratch, postings: DataFrame, label: DataFrame, item
     texts = scratch.write(items(members.select("id").distinct()), "residual-texts")
     whole = members.join(texts, "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("side", "id", "c", "text")).alias("members"))
     links = scratch.write(whole.select("members").mapInArrow(_block_verifier(shingles, percent), "a long, b long").distinct(), "residual-verified")
-    scratch.drop("keys", "known", "shares", "chunked", "chunks", "blocks", "block-members", "residual-texts")
+    scratch.drop("keys", "met-ids", "met-sets", "known", "shares", "chunked", "chunks", "blocks", "block-members", "residual-texts")
     scratch.release()
     return links
 
 
-def link(scratch: Scratch, postings: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int) -> DataFrame:
-    """(id, component) of all ids with a link. items: ids -> their (id, text)."""
+def link(scratch: Scratch, postings: DataFrame, members: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[str], np.ndarray], percent: int) -> DataFrame:
+    """(id, component) of all ids with a link. members is a written table; items: ids -> their (id, text)."""
     least = bound(percent / 100)
     postings = scratch.write(postings, "postings")
-    pairs = scratch.write(pivot_pairs(scratch, postings, percent, least), "pivot-pairs")
+    pairs = scratch.write(pivot_pairs(scratch, postings, members, percent, least), "pivot-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = scratch.write(items(ids), "pivot-texts")
     first = scratch.write(verified(pairs, texts, shingles, percent), "pivot-verified")
-    scratch.drop("pivot-texts", "pivot-pairs", "pivots", "members", "stars")
+    scratch.drop("pivot-texts", "pivot-pairs", "pivots", "stars")
     scratch.release()
     label = components(scratch, first, "first")
-    second = residual_links(scratch, postings, label, items, shingles, percent, least)
+    second = residual_links(scratch, postings, members, label, items, shingles, percent, least)
     label = components(scratch, first.union(second), "all")
     scratch.drop("postings")
     return label

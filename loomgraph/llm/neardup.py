@@ -68,12 +68,12 @@ def _signer(k: int):
 
 
 def prefix_postings(scratch: Scratch, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, id, n, sig) of the rare prefixes; classes: (id, n, minima, sig)."""
+    """(key, id) of the rare prefixes; classes: (id, minima)."""
     coordinates = classes.select("id", F.posexplode("minima").alias("k", "value")).select("id", (F.col("value").cast("long") * 64 + F.col("k")).alias("key"))
     shared = scratch.write(coordinates.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "coordinates")
     by_rarity = coordinates.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("entries")).where(F.size("entries") >= matches)
     prefix = by_rarity.select("id", F.explode(F.expr(f"slice(entries, 1, size(entries) - {matches} + 1)")).alias("e"))
-    return prefix.select("id", F.col("e.key").alias("key")).join(classes.select("id", "n", "sig"), "id").select("key", "id", "n", "sig")
+    return prefix.select(F.col("e.key").alias("key"), "id")
 
 
 def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -84,6 +84,7 @@ def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Data
     # one row stands for all rows of a class
     classes = scratch.write(signed.where("id is not null").groupBy("id", "n", "minima", "sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r")).select("id", "n", "minima", "sig", "r.doc_id", "r.t"), "classes")
     postings = scratch.write(prefix_postings(scratch, classes), "prefixes")
+    scratch.drop("coordinates")
     posted = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("t").alias("own"))
     posted = scratch.write(posted, "posted")
     same = docs["doc_id"].eqNullSafe(posted["d"]) & (docs["t"] == posted["own"])
@@ -93,7 +94,7 @@ def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Data
     def items(wanted: DataFrame) -> DataFrame:
         return full.join(wanted, "id", "left_semi")
 
-    label = linking.link(scratch, postings, items, functools.partial(shingles_of, k=k), percent)
+    label = linking.link(scratch, postings, classes.select("id", "n", "sig"), items, functools.partial(shingles_of, k=k), percent)
     labelled = classes.select("id", "doc_id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.write(labelled.join(least, "component").select("id", "component_id"), "of-class")

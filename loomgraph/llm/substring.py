@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import consecutive_hashes, shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.common import consecutive_hashes, mix64, shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.llm.neardup import _RANDOM, min_hashes, signature
 from loomgraph.session import Scratch
 
@@ -43,7 +43,6 @@ K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 9, 2
 BROADCAST = 1_000_000  # hashes that are sent to all executors, counted before; more of them are joined by a shuffle
-_STEP = 2048  # texts worked on at once
 
 
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -56,53 +55,131 @@ def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     return x
 
 
-def borders(h: np.ndarray) -> np.ndarray:
-    """The first words of a text's paragraphs, 0 among them; h are its word hashes."""
-    if len(h) < 2 * GAP + 2:  # no word has GAP pairs on either side
-        return np.zeros(1, np.int64)
+class Words:
+    """The words of a batch of texts: hashes, offsets in code points, the line each is in, and the bounds of the texts in words.
+    All arrays run over the whole batch."""
+
+    def __init__(self, column: pa.StringArray):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = column.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        inside = _INSIDE[data]
+        begins = offsets[:-1][offsets[:-1] < len(data)]  # no word crosses from one text into the next
+        before, after = np.append(False, inside[:-1])[: len(data)], np.append(inside[1:], False)[: len(data)]
+        before[begins] = False
+        after[begins[begins > 0] - 1] = False
+        start, end = np.nonzero(inside & ~before)[0], np.nonzero(inside & ~after)[0] + 1
+        self.bounds = np.searchsorted(start, offsets)
+        points = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
+        base = np.append(0, points)[np.minimum(offsets[:-1], len(data))]
+        base = np.repeat(base, np.diff(self.bounds))
+        self.start, self.end = (points[start] - 1 - base).astype(np.int32), (points[end - 1] - base).astype(np.int32)
+        self.line = np.cumsum(data == 10, dtype=np.int32)[start]
+        self.h = self._hashes(data, start, end - start)
+
+    @staticmethod
+    def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """FNV-1a of each word in lower case, a byte of all words at a time; very long words by another hash."""
+        order = np.argsort(np.minimum(size, _LONG + 1).astype(np.uint16), kind="stable")[::-1]
+        at, sizes = start[order], size[order]
+        h = np.full(len(at), 0xCBF29CE484222325, np.uint64)
+        many = np.searchsorted(-sizes, -_LONG, "left")  # words longer than _LONG come first
+        for k in range(many):
+            h[k] = xxhash.xxh64_intdigest(_LOWER[data[at[k] : at[k] + sizes[k]]].tobytes())
+        rest, at, sizes = h[many:], at[many:], sizes[many:]
+        for j in range(int(sizes[0]) if len(sizes) else 0):
+            n = np.searchsorted(-sizes, -j, "left")
+            rest[:n] ^= _LOWER[data[at[:n] + j]]
+            rest[:n] *= np.uint64(0x100000001B3)
+        out = np.empty(len(order), np.uint64)
+        out[order] = mix64(h)
+        return out
+
+
+_INSIDE = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_LONG, _BYTES = 200, 4 << 20
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about _BYTES of text at most, a text at least."""
+    for batch in batches:
+        text = batch.column("text")
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + _BYTES, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def borders(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The first words of the paragraphs of texts with the bounds [a, b] in words, first words of texts that have any among them."""
+    sizes = np.diff(bounds)
+    fresh = np.zeros(len(h), bool)
+    fresh[bounds[:-1][sizes > 0]] = True
+    if len(h) < 2 * GAP + 2:
+        return np.nonzero(fresh)[0]
     x = consecutive_hashes(h, 2)
     low = _sliding(x, GAP, np.minimum)
     inner = x[GAP:-GAP]
     least = (inner < low[: len(inner)]) & (inner <= low[GAP + 1 : GAP + 1 + len(inner)])
-    return np.concatenate([[0], np.nonzero(least)[0] + GAP])
+    at = np.nonzero(least)[0] + GAP
+    text = np.searchsorted(bounds, at, "right") - 1
+    whole = (at - bounds[text] >= GAP) & (bounds[text + 1] - at >= GAP + 2)  # GAP pairs of the text on either side
+    fresh[at[whole]] = True
+    return np.nonzero(fresh)[0]
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of the windows of ANCHOR_WORDS words whose hash is the least among some ANCHOR neighbours; h has RUN or more."""
+def anchors(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the windows of ANCHOR_WORDS words whose hash is the least among some ANCHOR neighbours of their text."""
+    if len(h) < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     x = consecutive_hashes(h, ANCHOR_WORDS)
     low = _sliding(x, ANCHOR, np.minimum)
+    left = np.repeat(bounds[1:], np.diff(bounds))[: len(low)] - np.arange(len(low))
+    low[left < RUN] = 0  # these cross into the next text
     edge = np.zeros(ANCHOR - 1, np.uint64)
     at = np.nonzero(x == _sliding(np.concatenate([edge, low, edge]), ANCHOR, np.maximum))[0]
     return at, x[at].view(np.int64)
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def word_spans(code: np.ndarray) -> np.ndarray:
-    """[words, 2] offsets of the words of a text's code points."""
-    inside = np.concatenate([[False], (code != 32) & ((code < 9) | (code > 13)), [False]])
-    return np.nonzero(inside[1:] != inside[:-1])[0].astype(np.int32).reshape(-1, 2)
+def _ends(first: np.ndarray) -> np.ndarray:
+    """Where the runs that begin at the true values of `first` end."""
+    return np.append(np.nonzero(first)[0][1:], len(first))
 
 
-def paragraphs(h: np.ndarray, code: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The paragraphs' first words and the words after their last, those cut by content first, and the number of those."""
-    first = borders(h)
-    last = np.append(first[1:], len(h))
-    fresh = np.append(True, np.diff(np.searchsorted(np.nonzero(code == 10)[0], spans[:, 0])) > 0)
-    begin, end = np.nonzero(fresh)[0], _ends(fresh)
-    long = end - begin >= NEAR
-    begin, end = begin[long], end[long]
-    at = np.searchsorted(first, begin)
-    at[at == len(first)] = 0
-    other = (first[at] != begin) | (last[at] != end)
-    return np.append(first, begin[other]), np.append(last, end[other]), len(first)
+def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, whether it is a line) of the paragraphs of texts of RUN words or more, by first word."""
+    bounds = words.bounds
+    begin = borders(words.h, bounds)
+    end = np.append(begin[1:], len(words.h))
+    fresh = np.ones(len(words.h), bool)
+    fresh[1:] = words.line[1:] != words.line[:-1]
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    first = np.nonzero(fresh)[0]
+    last = _ends(fresh) if len(first) else first
+    cut = np.zeros(len(words.h) + 1, np.int64)
+    cut[begin] = end
+    long = (last - first >= NEAR) & (cut[first] != last)
+    a, b = np.append(begin, first[long]), np.append(end, last[long])
+    line = np.append(np.zeros(len(begin), bool), np.ones(int(long.sum()), bool))
+    size = np.diff(bounds)[np.searchsorted(bounds, a, "right") - 1]
+    order = np.argsort(a, kind="stable")
+    order = order[size[order] >= RUN]
+    return a[order], b[order], line[order]
+
+
+def paragraph_ids(h: np.ndarray, first: np.ndarray, last: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the paragraphs' words."""
+    sizes = last - first
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+    words = h[np.repeat(first, sizes) + place]
+    weight = mix64((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    total = np.add.reduceat(words * weight, at) if len(at) else np.empty(0, np.uint64)
+    return mix64(total * np.uint64(2) + line.astype(np.uint64)).view(np.int64)
 
 
 def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
@@ -128,49 +205,35 @@ def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
     return (keys * np.uint64(32) + 2 * np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
-
-
 _UNITS = "doc_id long, t long, h array<long>, word array<int>, id array<long>, first array<int>, last array<int>, start array<int>, end array<int>, line array<int>, bands array<array<long>>"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors and paragraphs of the texts of RUN words or more; the bands of equal paragraphs once a batch."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, _STEP):
-            batch = whole.slice(at, _STEP)
-            kept, columns, fresh, lines = [], [[] for _ in range(8)], [], []
-            seen: set[int] = set()
-            banded = []  # of every paragraph, whether its bands come with it
-            for k, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                h = _word_hashes(text)
-                if len(h) < RUN:
-                    continue
-                word, keys = anchors(h)
-                code = _codes(text)
-                spans = word_spans(code)
-                first, last, cut = paragraphs(h, code, spans)
-                ids = []
-                for n, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-                    key = xxhash.xxh3_64_intdigest(h[a:b].tobytes(), n >= cut) - (1 << 63)
-                    ids.append(key)
-                    banded.append(key not in seen)
-                    if banded[-1]:
-                        seen.add(key)
-                        fresh.append(h[a:b])
-                        lines.append(n >= cut)
-                kept.append(k)
-                for column, value in zip(columns, (keys, word, np.array(ids, np.int64), first, last, spans[first, 0], spans[last - 1, 1], np.arange(len(first)) >= cut)):
-                    column.append(value)
-            counts = np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))]).astype(np.int32)
-            keys = (band_keys(fresh) ^ np.array(lines, np.int64)[:, None]).reshape(-1) if fresh else np.empty(0, np.int64)
-            inner = pa.ListArray.from_arrays(pa.array(counts), pa.array(keys, pa.int64()))
-            arrays = [_lists(c, pa.int64() if k in (0, 2) else pa.int32()) for k, c in enumerate(columns)]
-            rows = pa.array(kept, pa.int32())
-            yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("t").take(rows), *arrays, pa.ListArray.from_arrays(arrays[2].offsets, inner)], names=[c.split()[0] for c in _UNITS.split(", ")])
+    for batch in _portions(batches):
+        words = Words(batch.column("text"))
+        kept = np.nonzero(np.diff(words.bounds) >= RUN)[0]
+        word, keys = anchors(words.h, words.bounds)
+        first, last, line = paragraphs(words)
+        ids = paragraph_ids(words.h, first, last, line)
+        unique = np.sort(np.unique(ids, return_index=True)[1])
+        banded = np.zeros(len(ids), np.int64)
+        banded[unique] = BANDS
+        bands = band_keys([words.h[a:b] for a, b in zip(first[unique].tolist(), last[unique].tolist())]) ^ line[unique, None] if len(unique) else np.empty(0, np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(banded)).astype(np.int32)), pa.array(bands.reshape(-1), pa.int64()))
+
+        def lists(at: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+            """Values in order of their words -> a list for each kept text."""
+            ends = np.append(np.searchsorted(at, words.bounds[kept]), len(at)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values))
+
+        base = lambda at: words.bounds[np.searchsorted(words.bounds, at, "right") - 1]
+        own = base(first)
+        int32 = lambda x: x.astype(np.int32)
+        columns = [lists(word, keys), lists(word, int32(word - base(word))), lists(first, ids), lists(first, int32(first - own)), lists(first, int32(last - own))]
+        columns += [lists(first, words.start[first]), lists(first, words.end[last - 1]), lists(first, int32(line)), lists(first, inner)]
+        rows = pa.array(kept, pa.int32())
+        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("t").take(rows), *columns], names=[c.split()[0] for c in _UNITS.split(", ")])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +280,8 @@ def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places:
     lines = docs.join(spots, _at(docs, spots)).select("text", "spots").mapInArrow(_slices, "id long, text string")
     lines = scratch.write(lines.groupBy("id").agg(F.min("text").alias("text")), "lines")
     signatures = scratch.write(lines.mapInArrow(_signatures, "id long, n long, sig binary"), "signatures")
-    postings = collided.join(signatures, "id").select("key", "id", "n", "sig")
-    return linking.link(scratch, postings, lambda ids: lines.join(ids, "id", "left_semi"), _shingles, PERCENT)
+    scratch.drop("shared", "wanted", "spots")
+    return linking.link(scratch, collided.select("key", "id"), signatures, lambda ids: lines.join(ids, "id", "left_semi"), _shingles, PERCENT)
 
 
 def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:
@@ -226,7 +289,7 @@ def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFram
     p = F.explode(F.arrays_zip("id", "first", "last", "start", "end", "line")).alias("p")
     places = units.select("doc_id", "t", p).select("doc_id", "t", "p.id", "p.start", "p.end", "p.line", F.col("p.first").alias("first_word"), F.col("p.last").alias("last_word"))
     near = scratch.write(near_paragraphs(scratch, docs, units, places), "clusters")
-    scratch.drop("shared", "collided", "wanted", "spots", "lines", "signatures")
+    scratch.drop("collided", "lines", "signatures")
     found = scratch.write(places.join(near, "id").drop("id"), "places")
     scratch.release()
     place = F.struct("doc_id", "t", "start", "first_word", "last_word")
@@ -242,11 +305,6 @@ def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFram
     return kept.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", F.struct("first.doc_id", "first.t", F.col("first.first_word").alias("word")).alias("first"))
 
 
-def _ends(first: np.ndarray) -> np.ndarray:
-    """Where the runs that begin at the true values of `first` end."""
-    return np.append(np.nonzero(first)[0][1:], len(first))
-
-
 def repetitions(n: np.ndarray, word: np.ndarray, source: np.ndarray, shift: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """What the repeated anchors of a text say, in order of their number n: the words where windows are to be looked up, and the
     chains (first word, end, anchor) that are repetitions as they stand. source is -1 where an anchor has none but itself."""
@@ -271,34 +329,36 @@ _FOUND = "h long, doc_id long, t long, word int, last int, start int, end int, f
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated anchors -> chains (h is null, with their sources) and windows of RUN words to look up."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    for batch in batches:
+    for batch in _portions(batches):
         lists = batch.column("found")
         ends, values = lists.offsets.to_numpy(), lists.values
         n, word, w = (values.field(c).to_numpy() for c in ("n", "word", "w"))
         source = np.where(values.field("own").to_numpy(zero_copy_only=False), np.where(word - w >= RUN, 0, -1), values.field("s").to_numpy())
-        rows: list[list[np.ndarray]] = [[], []]
-        for k, text in enumerate(batch.column("text")):
-            text = text.as_py()
+        words = Words(batch.column("text"))
+        at, chains, anchor = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+        for k in range(batch.num_rows):
             order = ends[k] + np.unique(n[ends[k] : ends[k + 1]], return_index=True)[1]
-            h, spans = _word_hashes(text), word_spans(_codes(text))
-            at, chains = repetitions(n[order], word[order], source[order], (word - w)[order], len(h))
-            if len(at):
-                rows[0].append(np.stack([consecutive_hashes(h, RUN)[at].view(np.int64), np.full(len(at), k), at, at + RUN, spans[at, 0], spans[at + RUN - 1, 1]]))
-            if chains:
-                lo, hi, a = np.array(chains).T
-                rows[1].append(np.stack([order[a], np.full(len(lo), k), lo, hi, spans[lo, 0], spans[hi - 1, 1]]))
-        for kind, parts in enumerate(rows):
-            if parts:
-                key, k, *places = np.concatenate(parts, axis=1)
-                k = pa.array(k)
-                places = [pa.array(x, pa.int32()) for x in places]
-                if kind:
-                    first = [values.field(c).take(pa.array(key)) for c in ("s_doc", "s_t")] + [pa.array(places[0].to_numpy() - (word - w)[key], pa.int32())]
-                    h = pa.nulls(len(k), pa.int64())
+            base = words.bounds[k]
+            look, found = repetitions(n[order], word[order], source[order], (word - w)[order], int(words.bounds[k + 1] - base))
+            at.append(look + base)
+            if found:
+                found = np.array(found)
+                chains.append(found[:, :2] + base)
+                anchor.append(order[found[:, 2]])
+        at, (lo, hi), anchor = np.concatenate(at), np.concatenate(chains).T, np.concatenate(anchor)
+        for first, last in ((at, at + RUN), (lo, hi)):
+            if len(first):
+                text = np.searchsorted(words.bounds, first, "right") - 1
+                own = pa.array(text)
+                place = [pa.array(x.astype(np.int32)) for x in (first - words.bounds[text], last - words.bounds[text], words.start[first], words.end[last - 1])]
+                if first is lo:
+                    of = pa.array(anchor)
+                    source_of = [values.field("s_doc").take(of), values.field("s_t").take(of), pa.array((first - words.bounds[text] - (word - w)[anchor]).astype(np.int32))]
+                    h = pa.nulls(len(first), pa.int64())
                 else:
-                    first = [pa.nulls(len(k), kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
-                    h = pa.array(key)
-                yield pa.record_batch([h, batch.column("doc_id").take(k), batch.column("t").take(k), *places, *first], names=names)
+                    source_of = [pa.nulls(len(first), kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
+                    h = pa.array(consecutive_hashes(words.h, RUN)[first].view(np.int64))
+                yield pa.record_batch([h, batch.column("doc_id").take(own), batch.column("t").take(own), *place, *source_of], names=names)
 
 
 def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:

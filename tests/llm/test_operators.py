@@ -8,6 +8,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -295,7 +296,7 @@ def test_substring_gaps_stay(spark):
 
 def test_substring_bands_miss_little():
     assert (1 - 0.8**substring.ROWS) ** substring.BANDS < 2.1e-4
-    h = substring._word_hashes(prose(1, 90))
+    h = substring.Words(pa.array([prose(1, 90)])).h
     keys = substring.band_keys([h[:40], h[40:]])
     assert keys.shape == (2, substring.BANDS) and (keys[1] == substring.band_keys([h[40:]])[0]).all()
 
@@ -322,6 +323,31 @@ def test_substring_near_copies_in_any_layout(spark):
     assert got[2] == "" and got[4].strip() == " ".join(other)
 
 
+def test_words_and_paragraphs_of_a_batch():
+    """Vectorised over a batch as over each text alone; hashes stand for lower-cased words."""
+    odd = ["", "  \n", "Ab ab AB é É\x0b\x0cz", "😀 x\ny" + " w" * 60, "L" * 999 + " l", "l" * 999, prose(3, 700), prose(4, 40) + "\n" + prose(5, 31), "word " * 300, prose(6, 49), ""]
+    column = pa.array(["skipped", *odd]).slice(1)
+    words = substring.Words(column)
+    seen = {}
+    for k, text in enumerate(odd):
+        a, b = words.bounds[k], words.bounds[k + 1]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        assert list(zip(words.start[a:b].tolist(), words.end[a:b].tolist())) == want
+        for (x, y), h in zip(want, words.h[a:b].tolist()):
+            assert seen.setdefault(text[x:y].encode().lower(), h) == h
+        alone = substring.Words(pa.array([text]))
+        one = substring.anchors(alone.h, alone.bounds)[0]
+        every = substring.anchors(words.h, words.bounds)[0]
+        assert (every[(every >= a) & (every < b)] - a).tolist() == one.tolist()
+        own, cut = substring.paragraphs(alone), substring.paragraphs(words)
+        mine = (cut[0] >= a) & (cut[0] < b)
+        assert [(x[mine] - a).tolist() for x in cut[:2]] == [x.tolist() for x in own[:2]] and cut[2][mine].tolist() == own[2].tolist()
+        if b - a >= substring.RUN:
+            pieces = [(x, y) for x, y, line in zip(*own) if not line]
+            assert [x for x, _ in pieces] == [0] + [y for _, y in pieces[:-1]] and pieces[-1][1] == b - a
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_spanning_links_connect_what_all_links_do():
     from loomgraph.llm import linking
 
