@@ -107,12 +107,6 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             return label
 
 
-def _arrays(members: list) -> tuple[np.ndarray, ...]:
-    """ids, components, sizes, signatures, and the postings' keys of each member."""
-    ids, c, n = (np.array([m[k] for m in members], np.int64) for k in ("id", "c", "n"))
-    return ids, c, n, np.frombuffer(b"".join(m["sig"] for m in members), "<u4").reshape(len(members), -1), [m["keys"] for m in members]
-
-
 def _met_before(keys_a: list, keys_b: list, key: int) -> np.ndarray:
     """Whether each pair also shares a posting of a smaller key, where it is looked at already."""
     columns: dict[int, int] = {}
@@ -128,22 +122,56 @@ def _met_before(keys_a: list, keys_b: list, key: int) -> np.ndarray:
     return incidence[0] @ incidence[1].T > 0
 
 
+class _Side:
+    """One side of a batch of chunk pairs: the members of all rows in flat arrays."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.ends, values = lists.offsets.to_numpy(), lists.values
+        self.id, self.c, self.n = (values.field(k).to_numpy() for k in ("id", "c", "n"))
+        self.sig = np.frombuffer(b"".join(values.field("sig").to_pylist()), "<u4").reshape(len(values), -1)
+        self.keys = values.field("keys")
+
+
+def _pairs_of(a: _Side, b: _Side, percent: int, least: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, member of a, member of b) of the possible links between different components, some rows of the batch at a time."""
+    na, nb = np.diff(a.ends).astype(np.int64), np.diff(b.ends).astype(np.int64)
+    upto = np.cumsum(na * nb)
+    at = 0
+    while at < len(na):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        sizes = (na * nb)[at:to]
+        row = np.repeat(np.arange(at, to), sizes)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x, y = a.ends[row] + within // nb[row], b.ends[row] + within % nb[row]
+        ok = (a.c[x] != b.c[y]) & (100 * np.minimum(a.n[x], b.n[y]) >= percent * np.maximum(a.n[x], b.n[y]))
+        row, x, y = row[ok], x[ok], y[ok]
+        alike = [(a.sig[x[k : k + 65536]] == b.sig[y[k : k + 65536]]).sum(1) >= least for k in range(0, len(x), 65536)]
+        alike = np.concatenate(alike) if alike else np.empty(0, bool)
+        yield row[alike], x[alike], y[alike]
+        at = to
+
+
 def _candidates(percent: int, least: int):
     """Chunk pairs -> the members of either side that have a possible partner in another component."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+    names = ["key", "i", "j", "ids_a", "c_a", "ids_b", "c_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = _arrays(row["left"]), _arrays(row["right"])
-                ok = np.array([possible(a[2][i], a[3][i], b[2], b[3], percent, least) for i in range(len(a[0]))])
-                ok &= a[1][:, None] != b[1][None, :]
-                if ok.any():
-                    ok &= ~_met_before(a[4], b[4], row["key"])
-                if ok.any():
-                    x, y = ok.any(1), ok.any(0)
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
-                    values = [row["key"], row["i"], row["j"], a[0][x], a[1][x], b[0][y], b[1][y]]
-                    yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=["key", "i", "j", "ids_a", "c_a", "ids_b", "c_b"])
+            a, b = _Side(batch.column("left")), _Side(batch.column("right"))
+            key, i, j = (batch.column(k).to_numpy() for k in ("key", "i", "j"))
+            out: list[list] = [[] for _ in names]
+            for row, x, y in _pairs_of(a, b, percent, least):
+                for r, at in zip(*np.unique(row, return_index=True)):
+                    to = np.searchsorted(row, r, "right")
+                    (u, p), (v, q) = (np.unique(z[at:to], return_inverse=True) for z in (x, y))
+                    met = _met_before(a.keys.take(pa.array(u)).to_pylist(), b.keys.take(pa.array(v)).to_pylist(), int(key[r]))
+                    fresh = ~met[p, q]
+                    if fresh.any():
+                        u, v = u[np.unique(p[fresh])], v[np.unique(q[fresh])]
+                        for column, value in zip(out, (key[r], i[r], j[r], a.id[u], a.c[u], b.id[v], b.c[v])):
+                            column.append(value)
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
     return run
 

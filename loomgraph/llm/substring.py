@@ -6,8 +6,8 @@ writes, for every text of RUN words or more, its paragraphs and its anchors.
 Near: paragraphs are cut by content, where the hash of two neighbouring words is the least of GAP words on either side,
 so that a passage has the same paragraphs wherever it stands (25 words at least inside a text, 49 on average); lines of
 at least NEAR words are paragraphs too, as edits never move their borders (lines meet lines only, or each would meet the
-paragraphs inside it). All are banded: 9 bands of 2 coordinates over five-word shingles, the fewest keys by which a pair
-at the similarity 0.8 shares a band but for a chance of about 1e-4. Colliding paragraphs are joined and verified on their
+paragraphs inside it). All are banded: 12 bands of 3 coordinates over five-word shingles (a pair at the
+similarity 0.8 shares a band but for a chance of 2e-4; fewer, wider bands bring more false pairs than they save). Colliding paragraphs are joined and verified on their
 exact Jaccard similarity, and components cluster them (see linking). In each cluster the first place, by (doc_id, start), is kept. Near paragraphs that touch, in the text
 and in one and the same source, form pieces; pieces of at least RUN words are removed.
 
@@ -41,7 +41,7 @@ from loomgraph.session import Scratch
 
 K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
-BANDS, ROWS = 9, 2
+BANDS, ROWS = 12, 3
 BROADCAST = 1_000_000  # hashes that are sent to all executors, counted before; more of them are joined by a shuffle
 
 
