@@ -3,8 +3,9 @@
 A payload of bytes is stored losslessly as mono 8-bit PCM in a WAV container. Stored media are read back, resampled by
 a polyphase windowed-sinc filter, framed with overlap, and turned into log-mel filterbanks; frame energies are
 segmented with hysteresis (a segment opens above the high level and closes below the low one). Clips of FRAMES
-frames become tensors of the fixed shape [FRAMES, MELS], padded with the floor value, each with its time span.
-Work goes through a medium in bounded windows, so its length does not bound memory.
+frames become tensors of the fixed shape [FRAMES, MELS] in half precision, padded with the floor value, each with its
+time span. The samples and frames of one medium are held at once; media are worked on one by one and clips leave in
+bounded batches, so memory follows the longest text.
 
 Defined results: null texts are empty and give 64 zero bytes; equal texts give equal values, as no result depends on
 other rows; repeated rows repeat; an empty table gives no rows; extra columns are ignored.
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import texts
 from loomgraph.session import Scratch
 
-RATE, UP, DOWN, TAPS = 16000, 1, 2, 16  # input rate; resampled to RATE * UP / DOWN; taps of each phase
+RATE, UP, DOWN, TAPS = 16000, 2, 3, 16  # input rate; resampled to RATE * UP / DOWN; taps of each phase
 WINDOW, HOP, FFT, MELS, FRAMES = 200, 80, 256, 24, 64
 FLOOR, HIGH, LOW = -8.0, 0.25, -0.25  # log-mel floor; hysteresis levels about the mean log energy
 CHUNK = 4096  # frames worked on at once
@@ -137,7 +139,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 SMALL = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}  # small row groups bound a task's memory
 STEP_MS = 1000.0 * HOP / (RATE * UP / DOWN)
-CLIP = "clip int, start_ms double, end_ms double, active double, tensor array<float>"
+CLIP = "clip int, start_ms double, end_ms double, active double, tensor binary"  # little-endian half floats, row by row
 
 
 def clips_of(payload: bytes) -> tuple[list[tuple[int, float, float, float, np.ndarray]], list[tuple[int, int]]]:
@@ -150,27 +152,39 @@ def clips_of(payload: bytes) -> tuple[list[tuple[int, float, float, float, np.nd
     clips = []
     for k, at in enumerate(range(0, len(mels), FRAMES)):
         part = mels[at : at + FRAMES]
-        tensor = np.full((FRAMES, MELS), FLOOR, np.float32)
+        tensor = np.full((FRAMES, MELS), FLOOR, "<f2")
         tensor[: len(part)] = part
         clips.append((k, at * STEP_MS, (at + len(part)) * STEP_MS, float(active[at : at + FRAMES].mean()), tensor))
     return clips, spans
 
 
 def _clip_columns(clips: list[tuple]) -> list[pa.Array]:
-    sizes = np.arange(len(clips) + 1, dtype=np.int32) * (FRAMES * MELS)
-    flat = np.concatenate([c[4].reshape(-1) for c in clips]) if clips else np.empty(0, np.float32)
     kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64())
-    return [*(pa.array([c[k] for c in clips], kind) for k, kind in enumerate(kinds)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+    return [*(pa.array([c[k] for c in clips], kind) for k, kind in enumerate(kinds)), pa.array([c[4].tobytes() for c in clips], pa.binary())]
 
 
 _NAMES = ["clip", "start_ms", "end_ms", "active", "tensor"]
 _STORED = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_ms: double, end_ms: double>>, clips array<struct<{CLIP.replace(' ', ': ').replace(',:', ',')}>>"
 
 
+PORTION = 2 << 20  # bytes of media (or, read back, of tensors) at once, one medium at least
+
+
+def _portions(batch: pa.RecordBatch, sized: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, bounded by the bytes of one of its columns."""
+    at, held, sizes = 0, 0, pa.compute.binary_length(sized).to_numpy() if pa.types.is_binary(sized.type) else np.diff(sized.offsets.to_numpy()) * (2 * FRAMES * MELS)
+    for k, n in enumerate(sizes):
+        if k > at and held + n > PORTION:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
+        for batch in _portions(whole, whole.column(2)):
             out: list[list] = [[] for _ in range(6)]
             clips: list[tuple] = []
             ends = [0]
@@ -191,14 +205,14 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _portions(whole, whole.column("clips"))):
         features = []
         for times, clips in zip(batch.column("segments").to_pylist(), batch.column("clips")):
             rows = pa.Table.from_struct_array(clips.values)
             tensors = tensor_table(rows)["tensor"].combine_chunks()
             tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
             frames = round(rows["end_ms"][-1].as_py() / STEP_MS)
-            mels = tensors.to_numpy_ndarray().reshape(-1, MELS)[:frames]
+            mels = tensors.to_numpy_ndarray().reshape(-1, MELS)[:frames].astype(np.float32)
             active = sum(round((s["end_ms"] - s["start_ms"]) / STEP_MS) for s in times)
             coarse = np.round(mels * 4).astype(np.int8)
             features.append(f"frames={frames};segments={len(times)};active={active};mel={','.join(f'{v:.2f}' for v in mels.mean(0)[:: MELS // 4])};crc={zlib.crc32(coarse.tobytes())}")
@@ -227,7 +241,7 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_mel_clips(media: DataFrame) -> DataFrame:
-    """One row per clip of a table (doc_id, n_bytes, media): its span, share of active frames, and flat tensor."""
+    """One row per clip of a table (doc_id, n_bytes, media): its span, share of active frames, and tensor."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_clips, f"doc_id long, {CLIP}")
 
 
@@ -235,6 +249,7 @@ def tensor_table(table: pa.Table) -> pa.Table:
     """An Arrow table of clips with `tensor` as the fixed-shape tensor type [FRAMES, MELS]."""
     flat = table["tensor"].combine_chunks()
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    sized = pa.FixedSizeListArray.from_arrays(flat.flatten(), FRAMES * MELS)
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=("frame", "mel"))
+    values = np.frombuffer(b"".join(flat.to_pylist()), "<f2")
+    kind = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS), dim_names=("frame", "mel"))
+    sized = pa.FixedSizeListArray.from_arrays(pa.array(values, pa.float16()), FRAMES * MELS)
     return table.set_column(table.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, sized))

@@ -516,7 +516,7 @@ def test_audio_stores_clips(spark, docs, fixture_rows, monkeypatch):
     for doc_id, text in fixture_rows[::5] + fixture_rows[-13:]:
         mels, energy = audio.analyse(audio.payload_of(text or ""))
         r = stored[doc_id]
-        read = np.array([c.tensor for c in r.clips], np.float32)
+        read = np.array([np.frombuffer(c.tensor, "<f2") for c in r.clips])
         assert read.shape == (-(-len(mels) // audio.FRAMES), audio.FRAMES * audio.MELS)
-        assert np.array_equal(read.reshape(-1, audio.MELS)[: len(mels)], mels) and (read.reshape(-1, audio.MELS)[len(mels) :] == audio.FLOOR).all()
+        assert np.array_equal(read.reshape(-1, audio.MELS)[: len(mels)], mels.astype("<f2")) and (read.reshape(-1, audio.MELS)[len(mels) :] == audio.FLOOR).all()
         assert len(r.segments) == len(audio.segments(energy)) and got[doc_id].startswith(f"frames={len(mels)};segments={len(r.segments)};")
