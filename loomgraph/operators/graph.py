@@ -165,7 +165,8 @@ def contains_links(passages: DataFrame, texts: DataFrame, words: int = 3) -> Dat
     """(passage_id, id): texts that contain a passage verbatim.
 
     Candidates meet on the rarest of the passage's `words`-word shingles instead of pairwise; containment is then checked.
-    A passage of fewer words meets on all its words' first one.
+    Passages too short for an inner shingle meet texts on their rarest run of three characters (or on all they have). Null and
+    empty passages name nothing and are in no pair.
     """
     def grams(rows: DataFrame, column: str) -> DataFrame:
         cut = rows.withColumn("_w", F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
@@ -184,7 +185,25 @@ def contains_links(passages: DataFrame, texts: DataFrame, words: int = 3) -> Dat
     order = Window.partitionBy("passage_id").orderBy("df", "gram")
     rarest = keys.join(df, "gram").withColumn("r", F.row_number().over(order)).where("r = 1").select("passage_id", "gram")
     pairs = rarest.join(seen, "gram").select("passage_id", "id").distinct()
-    short = own.where(F.size("inner") == 0).select("passage_id", "passage")
-    met = pairs.join(passages, "passage_id").join(texts.select("id", "content"), "id").where(F.col("content").contains(F.col("passage"))).select("passage_id", "id")
-    few = texts.select("id", "content").join(F.broadcast(short.limit(10_000)), F.col("content").contains(F.col("passage"))).select("passage_id", "id")
-    return met.unionByName(few)
+    short = own.where((F.size("inner") == 0) & (F.length("passage") > 0)).select("passage_id", F.least(F.length("passage"), F.lit(3)).alias("size"), "passage")
+    met = pairs
+    for size in sorted(r.size for r in short.select("size").distinct().collect()):  # at most three lengths
+        met = met.unionByName(_character_pairs(short.where(F.col("size") == size), texts, size))
+    return met.join(passages, "passage_id").join(texts.select("id", "content"), "id").where(F.col("content").contains(F.col("passage"))).select("passage_id", "id")
+
+
+def _character_pairs(short: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(passage_id, id) of short passages and the texts that have their rarest run of `size` characters."""
+    def runs(column: str):
+        chars = F.split(column, "")
+        joined = chars
+        for k in range(1, size):
+            joined = F.zip_with(joined, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.filter(joined, lambda r: r.isNotNull()))
+
+    keys = short.select("passage_id", F.explode(runs("passage")).alias("run"))
+    seen = texts.select("id", F.explode(runs("content")).alias("run")).join(keys.select("run").distinct(), "run", "left_semi")
+    df = seen.groupBy("run").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("passage_id").orderBy("df", "run")
+    rarest = keys.join(df, "run").withColumn("r", F.row_number().over(order)).where("r = 1").select("passage_id", "run")
+    return rarest.join(seen, "run").select("passage_id", "id").distinct()

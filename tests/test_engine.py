@@ -116,6 +116,14 @@ def test_edge_resolution(spark):
     assert rows(graph.resolve_edges(raw, ents), "source_id", "target_id") == {("1", "2"), ("2", "1"), ("1", "4"), ("1", "5")}
 
 
+def test_contains_links_of_many_short_passages(spark):
+    """No passage is dropped, however many there are, at any length."""
+    passages = spark.createDataFrame([(i, f"w{i}") for i in range(10_050)] + [(20_000, "é"), (20_001, "w9 w"), (20_002, ""), (20_003, None), (20_004, "zz"), (20_005, "9 w")], "passage_id int, passage string")
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10_050))), (2, "caf\u00e9"), (3, None)], "id int, content string")
+    want = {(i, 1) for i in range(10_050)} | {(20_000, 2), (20_001, 1), (20_005, 1)}
+    assert rows(graph.contains_links(passages, texts), "passage_id", "id") == want
+
+
 def test_contains_links(spark):
     passages = spark.createDataFrame([(1, "one two three four five six"), (2, "tiny"), (3, "not in any text at all here")], "passage_id long, passage string")
     texts = spark.createDataFrame([(10, "zero one two three four five sixth"), (11, "Tiny or tiny"), (12, "one two three")], "id long, content string")
