@@ -45,11 +45,14 @@ class Engine:
         return search.Corpus(self.entities, self.edges, self.vectors, self.drift)
 
     def create_entities(self, new: DataFrame) -> tuple[Engine, DataFrame]:
-        """The engine with the new rows, and the refused ones: those that hold a secret."""
+        """The engine with the new rows, and the refused ones with a reason: a secret (and its kind), an invalid title or content,
+        or a status that may not follow the old one."""
         kind = secret_kind(F.concat_ws("\n", "title", "content"))
-        refused = new.withColumn("secret", kind).where("secret is not null").select("id", "secret")
-        merged, _ = ingest.upsert(self.entities, new.where(kind.isNull()))
-        return replace(self, entities=merged), refused
+        valid = (F.length(F.trim("title")) > 0) & (F.length("title") <= 200) & (F.octet_length("content") <= 256 * 1024)
+        reason = F.when(kind.isNotNull(), "secret").when(~F.coalesce(valid, F.lit(False)), "invalid")
+        merged, illegal = ingest.upsert(self.entities, new.where(reason.isNull()))
+        refused = new.where(reason.isNotNull()).select("id", kind.alias("secret"), reason.alias("reason"))
+        return replace(self, entities=merged), refused.unionByName(illegal.select("id", F.lit(None).cast("string").alias("secret"), F.lit("status").alias("reason")))
 
     def set_status(self, ids: DataFrame, status: str) -> tuple[Engine, DataFrame]:
         """Entities with a new status where that is legal, and the ids where it is not."""

@@ -28,7 +28,7 @@ def upsert(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged entities and refused rows: a changed status must be legal; equal hash and status skip; created_at is kept."""
     a = old.select("id", F.col("status").alias("old_status"), F.col("created_at").alias("old_at"))
     joined = new.join(a, "id", "left")
-    legal = F.col("old_status").isNull() | (F.col("old_status") == F.col("status")) | may_become(F.col("old_status"), F.col("status"))
+    legal = F.coalesce(F.col("old_status").isNull() | (F.col("old_status") == F.col("status")) | may_become(F.col("old_status"), F.col("status")), F.lit(False))
     good = joined.where(legal).withColumn("created_at", F.coalesce("old_at", "created_at")).select(*new.columns)
     kept = old.select(*new.columns).join(good.select("id"), "id", "left_anti")
     return kept.unionByName(good), joined.where(~legal).select("id", "old_status", "status")

@@ -273,9 +273,11 @@ def status_transitions(spark, d):
 
 
 def query_entities(spark, d):
+    """A page of 50 for every target at once."""
     e = A.code_entities(spark, d).where("type = 'file' and status = 'active'")
-    wanted = A.edges(spark, d).where("edge_type = 'supports' and target_id in ('c:1', 'c:2', 'c:3', 'c:4')").select(F.col("source_id").alias("id"))
-    return e.join(wanted, "id", "left_semi").orderBy(F.desc("title"), "id").limit(50).select("id", "title")
+    wanted = A.edges(spark, d).where("edge_type = 'supports'").select(F.col("source_id").alias("id"), F.col("target_id").alias("target"))
+    order = Window.partitionBy("target").orderBy(F.desc("title"), "id")
+    return e.join(wanted, "id").withColumn("r", F.row_number().over(order)).where("r <= 50").select("target", "id", "title")
 
 
 def entity_counts(spark, d):
@@ -397,7 +399,7 @@ ORACLES = {
     "healed": f"WITH {A.CODE}, {A.EDGES}, {_KNOWLEDGE} SELECT id FROM k WHERE type = 'knowledge' AND status = 'stale' AND id NOT IN (SELECT source_id FROM edge JOIN code ON code.id = target_id WHERE edge_type = 'contains' AND code.status <> 'active')",
     "is_test_path": f"WITH {A.CODE} SELECT id, file_path LIKE '%.rs' AND contains(file_path, '/tests/') AS is_test, CASE type WHEN 'function' THEN 'rust' WHEN 'class' THEN 'python' ELSE 'go' END AS language FROM code",
     "status_transitions": "WITH s AS (SELECT unnest(['active', 'stale', 'rejected', 'superseded', 'pruned']) AS s) SELECT a.s AS old, b.s AS new, (a.s IN ('active', 'stale') AND b.s IN ('active', 'stale', 'rejected', 'superseded') AND a.s <> b.s) OR (a.s IN ('rejected', 'superseded') AND b.s = 'pruned') AS legal FROM s a, s b",
-    "query_entities": "SELECT 'o:' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS title FROM orders WHERE o_custkey IN (1, 2, 3, 4) ORDER BY title DESC, id LIMIT 50",
+    "query_entities": "SELECT target, id, title FROM (SELECT 'c:' || o_custkey AS target, 'o:' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR) DESC, 'o:' || o_orderkey) AS r FROM orders) WHERE r <= 50",
     "entity_counts": f"WITH {A.ENTITIES} SELECT type, status, count(*) AS n FROM ent GROUP BY type, status",
     "code_map": f"WITH {A.CODE}, f AS (SELECT regexp_replace(file_path, '[0-9]+[.]rs$', 'm.rs') AS file_path, count(*) AS symbols FROM code WHERE type = 'function' AND status = 'active' GROUP BY 1 ORDER BY symbols DESC, file_path LIMIT 50) SELECT file_path, symbols FROM f WHERE NOT contains(file_path, '/tests/') ORDER BY symbols DESC, file_path LIMIT 15",
     "volatility": f"WITH {A.ENTITIES} SELECT id, CASE WHEN doc_id % 11 = 0 THEN 'living' WHEN type = 'observation' OR (type = 'knowledge' AND doc_id % 4 = 0) THEN 'record' ELSE 'living' END AS volatility FROM ent",

@@ -85,13 +85,13 @@ def _lists(spark, d):
     docs = A.read(spark, d, "documents").select(F.col("lang").alias("query_id"), F.concat(F.lit("d:"), "doc_id").alias("id"), "n_chars", "doc_id")
     by_size, by_id = (Window.partitionBy("query_id").orderBy(*o) for o in ((F.desc("n_chars"), "doc_id"), ("doc_id",)))
     a = docs.withColumn("rank", F.row_number().over(by_size)).select("query_id", "id", "rank", F.lit(0.3).alias("weight"), F.lit("code").alias("channel"))
-    return a.unionByName(docs.withColumn("rank", F.row_number().over(by_id)).select("query_id", "id", "rank", F.lit(0.4).alias("weight"), F.lit("knowledge").alias("channel"))).where("rank <= 50")
+    return a.unionByName(docs.withColumn("rank", F.row_number().over(by_id)).select("query_id", "id", "rank", F.lit(0.4).alias("weight"), F.lit("knowledge").alias("channel")))
 
 
 _LISTS = """l AS (
   SELECT * FROM (
     SELECT lang AS query_id, 'd:' || doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, 0.3 AS weight, 'code' AS channel FROM documents
-    UNION ALL SELECT lang, 'd:' || doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id), 0.4, 'knowledge' FROM documents) WHERE rank <= 50)"""
+    UNION ALL SELECT lang, 'd:' || doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id), 0.4, 'knowledge' FROM documents))"""
 
 
 def rrf_fuse(spark, d):

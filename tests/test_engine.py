@@ -1,5 +1,6 @@
 """Hand-computed cases of single operators."""
 
+import datetime
 import math
 
 import numpy as np
@@ -268,3 +269,30 @@ def test_facade(spark):
     for bad in (lambda: check_limit(0), lambda: check_entity("", "x"), lambda: check_entity("t", "x", confidence=2.0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_refused_rows_come_back(spark):
+    from loomgraph.api import Engine
+
+    columns = "id string, type string, title string, content string, status string, content_hash string, created_at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    old = spark.createDataFrame([("a", "rule", "A", "x", "pruned", "h", at)], columns)
+    new = spark.createDataFrame([("a", "rule", "A", "y", "active", "h2", at), ("b", "rule", " ", "y", "active", "h3", at), ("c", "rule", "C", "y" * 300_000, "active", "h4", at), ("d", "rule", "D", None, "active", "h5", at), ("e", "rule", "E", "fine", "active", "h6", at)], columns)
+    grown, refused = Engine(spark, old, spark.createDataFrame([], "source_id string, target_id string, edge_type string")).create_entities(new)
+    assert rows(refused, "id", "secret", "reason") == {("a", None, "status"), ("b", None, "invalid"), ("c", None, "invalid"), ("d", None, "invalid")}
+    assert rows(grown.entities, "id", "status") == {("a", "pruned"), ("e", "active")}
+
+
+def test_reads_of_odd_properties(spark):
+    from loomgraph.operators import reads
+
+    at = datetime.datetime(2024, 1, 1)
+    e = spark.createDataFrame([("a", "rule", "active", None, at, None), ("b", "rule", "active", "not json", at, "f"), ("c", "rule", "stale", '{"confidence": 0.5, "volatility": "record"}', at, "f"), ("d", "knowledge", "superseded", '{"tags": ["x"], "category": "incident", "volatility": "record", "superseded_by": null}', at, "f")], "id string, type string, status string, properties string, updated_at timestamp, file_path string").withColumn("title", F.col("id"))
+    drift = spark.createDataFrame([("z", "p", "changed")], "entity_id string, code_id string, cause string")
+    assert [r.id for r in reads.rules_by_confidence(e, None).collect()] == ["a", "b", "c"] and reads.rules_by_confidence(e, "stale", 1).count() == 1
+    assert rows(reads.knowledge_filtered(e, tags=["x", "q"]), "id") == {("d",)} and reads.knowledge_filtered(e, category="guide").count() == 0
+    assert rows(reads.to_verify(e, drift, "drifted"), "id", "title") == {("z", "")}
+    assert rows(reads.to_verify(e, drift, "unverified"), "id") == {("b",)} and rows(reads.to_verify(e, drift, "stale"), "id") == {("c",)}
+    assert rows(reads.volatility_overrides(e), "id") == {("c",)} and rows(reads.orphaned_supersedes(e), "id") == {("d",)}
+    assert rows(reads.corpus_counts(e, drift), "curated", "young", "drifted", "stale") == {(2, True, 1, 1)}
+    assert reads.corpus_counts(e.limit(0), drift.limit(0)).collect()[0].curated == 0
