@@ -47,9 +47,9 @@ class Engine:
     def create_entities(self, new: DataFrame) -> tuple[Engine, DataFrame]:
         """The engine with the new rows, and the refused ones with a reason: a secret (and its kind), an invalid title or content,
         or a status that may not follow the old one."""
-        kind = secret_kind(F.concat_ws("\n", "title", "content"))
         valid = (F.length(F.trim("title")) > 0) & (F.length("title") <= 200) & (F.octet_length("content") <= 256 * 1024)
-        reason = F.when(kind.isNotNull(), "secret").when(~F.coalesce(valid, F.lit(False)), "invalid")
+        kind = F.when(valid, secret_kind(F.concat_ws("\n", "title", "content")))  # text of any size is not scanned
+        reason = F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(kind.isNotNull(), "secret")
         merged, illegal = ingest.upsert(self.entities, new.where(reason.isNull()))
         refused = new.where(reason.isNotNull()).select("id", kind.alias("secret"), reason.alias("reason"))
         return replace(self, entities=merged), refused.unionByName(illegal.select("id", F.lit(None).cast("string").alias("secret"), F.lit("status").alias("reason")))
