@@ -5,8 +5,8 @@ sig its SIG MinHash coordinates (32 bits each). A pair is a candidate only if en
 
 1. each posting's members are compared with its pivot (its least id): as many comparisons as postings;
 2. the connected components so far are computed by label propagation over written tables;
-3. postings that still hold several components are cut into chunks; chunks meet pairwise unless both lie in one and the
-   same component. Members of different components whose sizes and signatures still allow a link are compared on their
+3. postings of three members or more (of two, the pivot has met the other) that still hold several components are cut
+   into chunks; chunks meet pairwise unless both lie in one and the same component, and pairs with the pivot are done. Members of different components whose sizes and signatures still allow a link are compared on their
    full sets, as products of incidence matrices of two chunks. Only a spanning forest of a block's links leaves its task:
    at most one link a member, however many pairs are alike. A group that its pivots connect costs nothing here; a pair
    that could be linked is never dropped.
@@ -132,8 +132,9 @@ class _Side:
         self.keys = values.field("keys")
 
 
-def _pairs_of(a: _Side, b: _Side, percent: int, least: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, member of a, member of b) of the possible links between different components, some rows of the batch at a time."""
+def _pairs_of(a: _Side, b: _Side, pivot: np.ndarray, percent: int, least: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, member of a, member of b) of the possible links between different components that no pivot has decided, some
+    rows of the batch at a time."""
     na, nb = np.diff(a.ends).astype(np.int64), np.diff(b.ends).astype(np.int64)
     upto = np.cumsum(na * nb)
     at = 0
@@ -143,7 +144,8 @@ def _pairs_of(a: _Side, b: _Side, percent: int, least: int, most: int = 1 << 20)
         row = np.repeat(np.arange(at, to), sizes)
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         x, y = a.ends[row] + within // nb[row], b.ends[row] + within % nb[row]
-        ok = (a.c[x] != b.c[y]) & (100 * np.minimum(a.n[x], b.n[y]) >= percent * np.maximum(a.n[x], b.n[y]))
+        ok = (a.c[x] != b.c[y]) & (a.id[x] != pivot[row]) & (b.id[y] != pivot[row])
+        ok &= (100 * np.minimum(a.n[x], b.n[y]) >= percent * np.maximum(a.n[x], b.n[y]))
         row, x, y = row[ok], x[ok], y[ok]
         alike = [(a.sig[x[k : k + 65536]] == b.sig[y[k : k + 65536]]).sum(1) >= least for k in range(0, len(x), 65536)]
         alike = np.concatenate(alike) if alike else np.empty(0, bool)
@@ -159,9 +161,9 @@ def _candidates(percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = _Side(batch.column("left")), _Side(batch.column("right"))
-            key, i, j = (batch.column(k).to_numpy() for k in ("key", "i", "j"))
+            key, i, j, pivot = (batch.column(k).to_numpy() for k in ("key", "i", "j", "pivot"))
             out: list[list] = [[] for _ in names]
-            for row, x, y in _pairs_of(a, b, percent, least):
+            for row, x, y in _pairs_of(a, b, pivot, percent, least):
                 for r, at in zip(*np.unique(row, return_index=True)):
                     to = np.searchsorted(row, r, "right")
                     (u, p), (v, q) = (np.unique(z[at:to], return_inverse=True) for z in (x, y))
@@ -243,14 +245,14 @@ def residual_links(scratch: Scratch, postings: DataFrame, sets: DataFrame, label
     """Links (a, b) between different components of a posting that connect them as all links would.
 
     Large components get chunks of their own, so pairs of chunks of one component are skipped unseen. A pair is looked at
-    in the posting of its least common key only. Chunks are bounded in members and in shingles.
+    in the posting of its least common key only, and not again if it has the posting's pivot. Chunks are bounded in members and in shingles.
     """
     known = postings.join(sets.select("id", "n"), "id").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     known = scratch.write(known, "known")
-    shares = known.groupBy("key", "c").agg(F.greatest(F.count("*") / CHUNK, F.sum("n") / MASS).alias("size"))
+    shares = known.groupBy("key", "c").agg(F.greatest(F.count("*") / CHUNK, F.sum("n") / MASS).alias("size"), F.count("*").alias("ids"), F.min("id").alias("least"))
     large = F.col("size") >= 0.25
-    mixed = shares.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(~large, F.col("size")).otherwise(0)).alias("small")).where("components > 1")
-    shares = scratch.write(shares.join(mixed, "key").select("key", "c", "size", "small"), "shares")
+    mixed = shares.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(~large, F.col("size")).otherwise(0)).alias("small"), F.min("least").alias("pivot"), F.sum("ids").alias("ids")).where("components > 1 and ids > 2")
+    shares = scratch.write(shares.drop("ids").join(mixed, "key").select("key", "c", "size", "small", "pivot"), "shares")
     own = F.xxhash64("c", F.pmod(F.xxhash64("id"), F.ceil("size")))
     common = F.pmod(F.xxhash64("c"), F.ceil("small"))
     chunked = scratch.write(known.join(shares, ["key", "c"]).withColumn("chunk", F.when(large, own).otherwise(common)).drop("size", "small", "n"), "chunked")
@@ -258,11 +260,11 @@ def residual_links(scratch: Scratch, postings: DataFrame, sets: DataFrame, label
     keys = scratch.write(postings.join(met_ids, "id").groupBy("id").agg(F.collect_list("key").alias("keys")), "keys")
     signed = scratch.write(sets.join(keys, "id"), "met-sets")
     member = F.struct("id", "c", "n", "sig", "keys")
-    chunks = scratch.write(chunked.join(signed, "id").groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
-    x = chunks.select("key", F.col("chunk").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), F.col("members").alias("left"))
+    chunks = scratch.write(chunked.join(signed, "id").groupBy("key", "chunk").agg(F.collect_list(member).alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("pivot").alias("pivot")), "chunks")
+    x = chunks.select("key", F.col("chunk").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), "pivot", F.col("members").alias("left"))
     y = chunks.select("key", F.col("chunk").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), F.col("members").alias("right"))
     alike = (F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j"))
-    met = x.join(y, "key").where((F.col("i") <= F.col("j")) & ~alike).select("key", "i", "j", "left", "right")
+    met = x.join(y, "key").where((F.col("i") <= F.col("j")) & ~alike).select("key", "i", "j", "pivot", "left", "right")
     blocks = scratch.write(met.mapInArrow(_candidates(percent, least), "key long, i long, j long, ids_a array<long>, c_a array<long>, ids_b array<long>, c_b array<long>"), "blocks")
     side = lambda k, ids, c: F.transform(F.arrays_zip(F.col(ids).alias("id"), F.col(c).alias("c")), lambda m: F.struct(F.lit(k).alias("side"), m["id"].alias("id"), m["c"].alias("c")))
     members = scratch.write(blocks.select("key", "i", "j", F.explode(F.concat(side(0, "ids_a", "c_a"), side(1, "ids_b", "c_b"))).alias("m")).select("key", "i", "j", "m.*"), "block-members")
