@@ -367,6 +367,7 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
     again = scratch.write(units.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
     common = scratch.write(placed.join(_known(again), "h"), "common")
+    scratch.drop("units")  # by far the largest table, read for the last time
     scratch.release()
     place = F.struct("doc_id", "t", "word")
     first = scratch.write(common.groupBy("h").agg(F.min(place).alias("f")), "first-anchors")
@@ -377,9 +378,15 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
     scratch.drop("again", "common", "first-anchors")
     scratch.release()
     found = scratch.write(docs.join(anchored, _at(docs, anchored)).select("doc_id", "t", "text", "found").mapInArrow(_found, _FOUND), "found")
-    windows = found.where("h is not null").select("h", "doc_id", "t", "word", "last", "start", "end")
-    firsts = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
-    firsts = scratch.write(firsts, "first-windows")
+    # most windows occur once, so their hashes alone are counted first and their places are shuffled only if they repeat
+    several = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    several = scratch.write(several, "repeated-windows")
+    scratch.release()
+    windows = found.select("h", "doc_id", "t", "word", "last", "start", "end").join(_known(several), "h")
+    windows = scratch.write(windows, "windows")
+    scratch.release()
+    firsts = scratch.write(windows.groupBy("h").agg(F.min(place).alias("f")), "first-windows")
+    scratch.drop("repeated-windows")
     later = windows.join(firsts, "h").where(~own | (F.col("word") - F.col("f.word") >= RUN))
     columns = ["doc_id", "t", "start", "end", F.col("word").alias("first_word"), F.col("last").alias("last_word")]
     later = later.select(*columns, F.xxhash64("h").alias("component"), F.col("f").alias("first"))
@@ -404,7 +411,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = F.max("last_word") - F.min("first_word")
     passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
     result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "t"), "passages")
-    scratch.drop("units", "places", "clusters", "first", "anchored", "found", "first-windows")
+    scratch.drop("places", "clusters", "first", "anchored", "found", "windows", "first-windows")
     return result
 
 
