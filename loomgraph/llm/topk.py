@@ -2,10 +2,10 @@
 
 A term is a component of the query; its score bounds in a block of candidates are the largest and the smallest
 product with that component there. With the k-th best score known so far, the terms of the smallest ranges are
-non-essential for a block when all of them together cannot lift a candidate to it from the block's base. The
-essential terms of all candidates are traversed (as one matrix product for many queries); the other terms are probed a
-few at a time, the widest first, while the score so far and the remaining bounds stay competitive, and the last few
-candidates are finished singly. The results of the blocks are merged by a window with a map-side group limit.
+non-essential for a block when all of them together cannot lift a candidate to it from the block's base. A part of a
+block whose bounds all together stay below it is skipped. The columns of the essential terms are traversed for all its
+candidates; the other terms are probed a few at a time, the widest first, only for the candidates whose score so far
+and remaining bounds stay competitive. No term is multiplied for a candidate that has dropped out. The results of the blocks are merged by a window with a map-side group limit.
 
 Query blocks meet candidate blocks by an equi-join on (query block, candidate block): each pair of blocks is one
 row, so any task holds one pair at a time. Only the numbers of blocks reach the driver.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-ROWS, SUB, PROBE, FEW = 4096, 256, 12, 0.02  # rows of a block; queries at once; terms probed at once; share of candidates to finish singly
+ROWS, STEP, PROBE = 4096, 512, 4  # rows of a block; of a part with bounds of its own; terms probed between two looks at the bounds
 _BLOCKS = "part int, seq int, dim int, ids binary, data binary"
 
 
@@ -70,6 +70,7 @@ class _Best:
         self.score = np.empty(0, np.float64)
         self.id = np.empty(0, np.int64)
         self.threshold = np.full(queries, -np.inf)
+        self.products = 0  # multiplications so far
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         q, score, ids = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.id, ids)))
@@ -85,7 +86,6 @@ class _Best:
 
 def max_score(best: _Best, Q: np.ndarray, qids: np.ndarray, X: np.ndarray, xids: np.ndarray) -> None:
     """Add a candidate block to the best of a query block."""
-    high, low = X.max(0), X.min(0)
     exact = float(np.abs(Q).max(initial=0)) * float(np.abs(X).max(initial=0)) * X.shape[1] < 2.0**53
     if not exact:  # beyond doubles: whole numbers of any size
         for i in range(len(Q)):
@@ -94,37 +94,45 @@ def max_score(best: _Best, Q: np.ndarray, qids: np.ndarray, X: np.ndarray, xids:
             top = sorted(scores)[: best.k]
             best.add(np.full(len(top), i), np.array([-s for s, _ in top], object), np.array([j for _, j in top], np.int64))
         return
-    for a in range(0, len(Q), SUB):
-        q = Q[a : a + SUB]
-        upper, lower = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
-        theta, span = best.threshold[a : a + SUB].astype(np.float64), upper - lower
-        order = np.argsort(span, axis=1)
-        reach = lower.sum(1)[:, None] + np.cumsum(np.take_along_axis(span, order, 1), axis=1)
-        optional = reach < theta[:, None]
-        # level 0: essential terms; then the optional ones, the widest first, a few at a time
-        level = np.zeros(q.shape, np.int64)
-        np.put_along_axis(level, order, np.where(optional, 1 + (optional.sum(1)[:, None] - 1 - np.arange(q.shape[1])) // PROBE, 0), 1)
-        others = xids[None, :] != qids[a : a + SUB, None]
-        partial = np.where(level == 0, q, 0.0) @ X.T
-        done, last = 0, int(level.max(initial=0))
-        while True:
-            rest = np.where(level > done, upper, 0.0).sum(1)
-            competitive = (partial + rest[:, None] >= theta[:, None]) & others
-            if done == last or competitive.mean() < FEW:
-                break
-            done += 1
-            partial += np.where(level == done, q, 0.0) @ X.T
-        fresh = np.isinf(theta)
-        if fresh.any() and X.shape[0] > best.k:  # no threshold yet: the k-th score of this block is one
-            own = np.where(others, partial, -np.inf)[fresh]
-            kth = -np.partition(-own, best.k - 1, axis=1)[:, best.k - 1]
-            competitive[fresh] &= own >= kth[:, None]
-        rows, cols = np.nonzero(competitive)
-        score = partial[rows, cols]
-        if done < last:
-            score += np.einsum("ij,ij->i", np.where(level > done, q, 0.0)[rows], X[cols])
-        keep = score >= theta[rows]
-        best.add(rows[keep] + a, score[keep], xids[cols[keep]])
+    for a in range(0, len(X), STEP):
+        columns, ids = np.ascontiguousarray(X[a : a + STEP].T), xids[a : a + STEP]
+        high, low = columns.max(1), columns.min(1)
+        found = [_traverse(best, i, Q[i], columns, ids != qids[i], high, low) for i in range(len(Q))]
+        at = np.concatenate([x for x, _ in found])
+        best.add(np.repeat(np.arange(len(Q)), [len(x) for x, _ in found]), np.concatenate([x for _, x in found]), ids[at])
+
+
+def _traverse(best: _Best, i: int, q: np.ndarray, columns: np.ndarray, others: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, score) of the candidates that may be among the best of query i, from the columns of the terms, a term at a time."""
+    upper, lower = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
+    theta, span = best.threshold[i], upper - lower
+    order = np.argsort(-span, kind="stable")
+    # rest[m]: the most that all terms after the m widest add; without the essential ones a candidate stays below theta
+    rest = np.append(np.cumsum(upper[order][::-1])[::-1], 0.0)
+    base = np.append(0.0, np.cumsum(lower[order]))
+    essential = int(np.argmax(base + rest < theta)) if (base + rest < theta).any() else len(q)
+    if rest[0] < theta:
+        return np.empty(0, np.int64), np.empty(0)  # no candidate can compete
+    score = np.zeros(columns.shape[1])
+    for t in order[:essential]:
+        score += q[t] * columns[t]
+    best.products += essential * len(score)
+    at = np.nonzero(others)[0]
+    if np.isinf(theta) and len(at) > best.k:  # no threshold yet: all terms are essential, and this block's k-th score is one
+        theta = np.partition(score[at], len(at) - best.k)[len(at) - best.k]
+    at = at[score[at] + rest[essential] >= theta]
+    score = score[at]
+    for m in range(essential, len(q), PROBE):
+        if not len(at):
+            break
+        some = order[m : m + PROBE]
+        for t in some:
+            score += q[t] * columns[t, at]
+        best.products += len(some) * len(at)
+        keep = score + rest[m + len(some)] >= theta
+        at, score = at[keep], score[keep]
+    keep = score >= theta
+    return at[keep], score[keep]
 
 
 def _searcher(k: int):
