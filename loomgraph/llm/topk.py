@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-ROWS, STEP, PROBE = 4096, 512, 4  # rows of a block; of a part with bounds of its own; terms probed between two looks at the bounds
+ROWS, STEP, PROBE = 4096, 1024, 4  # rows of a block; of a part with bounds of its own; terms probed between two looks at the bounds
 _BLOCKS = "part int, seq int, dim int, ids binary, data binary"
 
 
