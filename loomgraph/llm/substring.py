@@ -305,22 +305,28 @@ def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFram
     return kept.select("doc_id", "t", "start", "end", "first_word", "last_word", "component", F.struct("first.doc_id", "first.t", F.col("first.first_word").alias("word")).alias("first"))
 
 
-def repetitions(n: np.ndarray, word: np.ndarray, source: np.ndarray, shift: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """What the repeated anchors of a text say, in order of their number n: the words where windows are to be looked up, and the
-    chains (first word, end, anchor) that are repetitions as they stand. source is -1 where an anchor has none but itself."""
-    fresh = np.append(True, n[1:] != n[:-1] + 1)
-    look = np.zeros(size - RUN + 2, bool)
-    begin = np.nonzero(fresh)[0]
-    for a, b in zip(begin, _ends(fresh)):
-        look[max(0, word[a] - ANCHOR + 1) : min(size - RUN, word[b - 1]) + 1] = True
-    fresh |= np.append(True, (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]))
-    chains = []
-    for a, b in zip(np.nonzero(fresh)[0].tolist(), _ends(fresh).tolist()):
-        lo, hi = int(word[a]), int(word[b - 1]) + ANCHOR_WORDS
-        if source[a] >= 0 and hi - lo >= RUN:
-            look[lo : hi - RUN + 1] = False
-            chains.append((lo, hi, a))
-    return np.nonzero(look[:-1])[0], chains
+def repetitions(h: np.ndarray, bounds: np.ndarray, text: np.ndarray, n: np.ndarray, word: np.ndarray, source: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the repeated anchors of texts say, in order of (text, n), n being the anchor's number in its text: the words where
+    windows are to be looked up, and the chains (first word, end, anchor) that are repetitions as they stand. source is -1 where an
+    anchor has none but itself. A window that is repeated has its least hash in common with its copy, so only windows whose
+    own anchor is repeated are looked up."""
+    none = np.empty(0, np.int64)
+    if len(h) < RUN or not len(word):
+        return none, none, none, none
+    fresh = np.append(True, (text[1:] != text[:-1]) | (n[1:] != n[:-1] + 1) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]))
+    begin, end = np.nonzero(fresh)[0], _ends(fresh)
+    lo, hi = word[begin], word[end - 1] + ANCHOR_WORDS
+    whole = (source[begin] >= 0) & (hi - lo >= RUN)
+    lo, hi, begin = lo[whole], hi[whole], begin[whole]
+    x = consecutive_hashes(h, ANCHOR_WORDS) | np.uint64(1)
+    x[word] ^= np.uint64(1)  # even: repeated
+    low = _sliding(x, ANCHOR, np.minimum)
+    left = np.repeat(bounds[1:], np.diff(bounds))[: len(low)] - np.arange(len(low))
+    known = np.zeros(len(low) + 1, np.int32)
+    np.add.at(known, lo, 1)
+    np.add.at(known, hi - RUN + 1, -1)
+    look = (low & np.uint64(1) == 0) & (left >= RUN) & (np.cumsum(known)[:-1] == 0)
+    return np.nonzero(look)[0], lo, hi, begin
 
 
 _FOUND = "h long, doc_id long, t long, word int, last int, start int, end int, first_doc long, first_t long, first_word int"
@@ -335,17 +341,13 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, word, w = (values.field(c).to_numpy() for c in ("n", "word", "w"))
         source = np.where(values.field("own").to_numpy(zero_copy_only=False), np.where(word - w >= RUN, 0, -1), values.field("s").to_numpy())
         words = Words(batch.column("text"))
-        at, chains, anchor = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
-        for k in range(batch.num_rows):
-            order = ends[k] + np.unique(n[ends[k] : ends[k + 1]], return_index=True)[1]
-            base = words.bounds[k]
-            look, found = repetitions(n[order], word[order], source[order], (word - w)[order], int(words.bounds[k + 1] - base))
-            at.append(look + base)
-            if found:
-                found = np.array(found)
-                chains.append(found[:, :2] + base)
-                anchor.append(order[found[:, 2]])
-        at, (lo, hi), anchor = np.concatenate(at), np.concatenate(chains).T, np.concatenate(anchor)
+        text = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        order = np.lexsort((n[ends[0] : ends[-1]], text))
+        text, order = text[order], order + ends[0]
+        once = np.append(True, (text[1:] != text[:-1]) | (n[order[1:]] != n[order[:-1]]))[: len(order)]
+        text, order = text[once], order[once]
+        at, lo, hi, anchor = repetitions(words.h, words.bounds, text, n[order], word[order] + words.bounds[text], source[order], (word - w)[order])
+        anchor = order[anchor]
         for first, last in ((at, at + RUN), (lo, hi)):
             if len(first):
                 text = np.searchsorted(words.bounds, first, "right") - 1
