@@ -132,7 +132,7 @@ class _Side:
         self.keys = values.field("keys")
 
 
-def _pairs_of(a: _Side, b: _Side, pivot: np.ndarray, percent: int, least: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_of(a: _Side, b: _Side, pivot: np.ndarray, percent: int, least: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, member of a, member of b) of the possible links between different components that no pivot has decided, some
     rows of the batch at a time."""
     na, nb = np.diff(a.ends).astype(np.int64), np.diff(b.ends).astype(np.int64)
@@ -147,7 +147,7 @@ def _pairs_of(a: _Side, b: _Side, pivot: np.ndarray, percent: int, least: int, m
         ok = (a.c[x] != b.c[y]) & (a.id[x] != pivot[row]) & (b.id[y] != pivot[row])
         ok &= (100 * np.minimum(a.n[x], b.n[y]) >= percent * np.maximum(a.n[x], b.n[y]))
         row, x, y = row[ok], x[ok], y[ok]
-        alike = [(a.sig[x[k : k + 65536]] == b.sig[y[k : k + 65536]]).sum(1) >= least for k in range(0, len(x), 65536)]
+        alike = [(a.sig[x[k : k + 16384]] == b.sig[y[k : k + 16384]]).sum(1) >= least for k in range(0, len(x), 16384)]
         alike = np.concatenate(alike) if alike else np.empty(0, bool)
         yield row[alike], x[alike], y[alike]
         at = to

@@ -99,7 +99,7 @@ class Words:
 
 _INSIDE = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_LONG, _BYTES = 200, 4 << 20
+_LONG, _BYTES = 200, 1 << 20
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
