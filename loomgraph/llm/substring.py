@@ -270,8 +270,11 @@ def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places:
     """(id, component) of the paragraphs that have near copies."""
     banded = units.select(F.explode(F.arrays_zip("id", "bands")).alias("p")).where(F.size("p.bands") > 0)
     keys = banded.select(F.col("p.id").alias("id"), F.explode("p.bands").alias("key"))
-    shared = scratch.write(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "shared")
-    collided = scratch.write(keys.join(_known(shared), "key").distinct(), "collided")
+    ids = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = scratch.write(ids, "shared")
+    two = shared.where("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))  # met already
+    more = keys.join(_known(shared.where("n > 2").select("key")), "key").select("key", "id").distinct()
+    collided = scratch.write(two.unionByName(more), "collided")
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
     scratch.release()
     one = places.join(_known(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
