@@ -21,6 +21,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+BROADCAST = 1_000_000  # rows of a few numbers that are sent to all executors; more of them are joined by a shuffle
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, from a written table, to join on: counted, and broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def unused(columns: list[str], stem: str) -> str:
     """A name that no column has, for one to be joined on."""
     taken = {c.lower() for c in columns}

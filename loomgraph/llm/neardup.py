@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.common import few, shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.session import Scratch
 
 K, PERCENT, COORDINATES, MATCHES = 3, 85, 32, 16
@@ -86,7 +86,7 @@ def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Data
     postings = scratch.write(prefix_postings(scratch, classes), "prefixes")
     scratch.drop("coordinates")
     posted = classes.join(postings.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("t").alias("own"))
-    posted = scratch.write(posted, "posted")
+    posted = few(scratch.write(posted, "posted"))
     same = docs["doc_id"].eqNullSafe(posted["d"]) & (docs["t"] == posted["own"])
     full = scratch.write(docs.join(posted, same).select("id", "text").dropDuplicates(["id"]), "texts")
     scratch.release()

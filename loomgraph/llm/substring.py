@@ -35,14 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import consecutive_hashes, mix64, shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.common import consecutive_hashes, few, mix64, shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.llm.neardup import _RANDOM, min_hashes, signature
 from loomgraph.session import Scratch
 
 K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 12, 3
-BROADCAST = 1_000_000  # hashes that are sent to all executors, counted before; more of them are joined by a shuffle
 
 
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -257,11 +256,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(min_hashes(s)) for s in sets], pa.binary())], names=["id", "n", "sig"])
 
 
-def _known(hashes: DataFrame) -> DataFrame:
-    """Hashes (longs) to join on: broadcast, if they are few."""
-    return F.broadcast(hashes) if hashes.count() <= BROADCAST else hashes
-
-
 def _at(docs: DataFrame, found: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(found["at_doc"]) & (docs["t"] == found["at_t"])
 
@@ -273,11 +267,11 @@ def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places:
     ids = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = scratch.write(ids, "shared")
     two = shared.where("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))  # met already
-    more = keys.join(_known(shared.where("n > 2").select("key")), "key").select("key", "id").distinct()
+    more = keys.join(few(shared.where("n > 2").select("key")), "key").select("key", "id").distinct()
     collided = scratch.write(two.unionByName(more), "collided")
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
     scratch.release()
-    one = places.join(_known(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
+    one = places.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
     spots = one.groupBy(F.col("p.doc_id").alias("at_doc"), F.col("p.t").alias("at_t")).agg(F.collect_list(F.struct("id", "p.start", "p.end")).alias("spots"))
     spots = scratch.write(spots, "spots")
     lines = docs.join(spots, _at(docs, spots)).select("text", "spots").mapInArrow(_slices, "id long, text string")
@@ -371,7 +365,7 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
     that Spark can split their hot keys; firsts are aggregated before the shuffle."""
     again = scratch.write(units.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
-    common = scratch.write(placed.join(_known(again), "h"), "common")
+    common = scratch.write(placed.join(few(again), "h"), "common")
     scratch.drop("units")  # by far the largest table, read for the last time
     scratch.release()
     place = F.struct("doc_id", "t", "word")
@@ -387,7 +381,7 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
     several = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     several = scratch.write(several, "repeated-windows")
     scratch.release()
-    windows = found.select("h", "doc_id", "t", "word", "last", "start", "end").join(_known(several), "h")
+    windows = found.select("h", "doc_id", "t", "word", "last", "start", "end").join(few(several), "h")
     windows = scratch.write(windows, "windows")
     scratch.release()
     firsts = scratch.write(windows.groupBy("h").agg(F.min(place).alias("f")), "first-windows")
