@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 BROADCAST = 1_000_000  # rows of a few numbers that are sent to all executors; more of them are joined by a shuffle
 
 
+BATCH = 4 << 20  # bytes of an Arrow batch of texts, or of what else has no small rows
+
+
 def few(rows: DataFrame) -> DataFrame:
     """Rows of a few numbers, from a written table, to join on: counted, and broadcast if they are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
@@ -41,6 +46,25 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_CACHES: list[Callable] = []
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """functools.cache for what a Python worker holds on to, which `lean` lets go."""
+    _CACHES.append(functools.cache(fn))
+    return _CACHES[-1]
+
+
+def lean(*kept: Callable) -> None:
+    """Spark uses a Python worker for one operator after the other: return the memory of what others cached, and of what is free."""
+    for cached in _CACHES:
+        if cached not in kept:
+            cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash; bounded, since it is only a cache."""
 
@@ -55,7 +79,7 @@ class WordHashes(dict):
         return value
 
 
-@functools.cache
+@worker_cache
 def word_hashes() -> WordHashes:
     """One per Python worker, for all operators."""
     return WordHashes()

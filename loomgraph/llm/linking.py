@@ -225,7 +225,7 @@ def _block_verifier(shingles: Callable[[str], np.ndarray], percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 sides = [[m for m in row["members"] if m["side"] == k] for k in (0, 1)]
                 sets = [[shingles(m["text"]) for m in side] for side in sides]
                 if not sets[0] or not sets[1]:

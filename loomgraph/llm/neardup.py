@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import few, shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.common import BATCH, few, lean, shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.session import Scratch
 
 K, PERCENT, COORDINATES, MATCHES = 3, 85, 32, 16
@@ -53,6 +53,7 @@ def shingles_of(text: str, k: int = K) -> np.ndarray:
 
 def _signer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(word_hashes)
         for batch in batches:
             sizes, ids, values, sigs = [], [], [], []
             for text in batch.column(1):
@@ -78,7 +79,7 @@ def prefix_postings(scratch: Scratch, classes: DataFrame, matches: int = MATCHES
 
 def _decided(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and t, a hash of the text."""
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", BATCH)
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
     signed = scratch.write(docs.select("doc_id", "text", "t").mapInArrow(_signer(k), "doc_id long, t long, n long, id long, minima array<int>, sig binary"), "signed")
     # one row stands for all rows of a class

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import linking
-from loomgraph.llm.common import consecutive_hashes, few, mix64, shingle_hashes, texts, unused, word_hashes, words_of
+from loomgraph.llm.common import BATCH, consecutive_hashes, few, lean, mix64, shingle_hashes, texts, unused, word_hashes, words_of
 from loomgraph.llm.neardup import _RANDOM, min_hashes, signature
 from loomgraph.session import Scratch
 
@@ -209,6 +209,7 @@ _UNITS = "doc_id long, t long, h array<long>, word array<int>, id array<long>, f
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors and paragraphs of the texts of RUN words or more; the bands of equal paragraphs once a batch."""
+    lean(word_hashes)
     for batch in _portions(batches):
         words = Words(batch.column("text"))
         kept = np.nonzero(np.diff(words.bounds) >= RUN)[0]
@@ -332,6 +333,7 @@ _FOUND = "h long, doc_id long, t long, word int, last int, start int, end int, f
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated anchors -> chains (h is null, with their sources) and windows of RUN words to look up."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
+    lean()
     for batch in _portions(batches):
         lists = batch.column("found")
         ends, values = lists.offsets.to_numpy(), lists.values
@@ -397,7 +399,7 @@ def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFra
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per passage to remove: doc_id, start, end, n_words, component, first_doc_id, first_word (of the kept place, in
     words), and t (a hash of the document's text)."""
-    scratch = Scratch(spark, "substring")
+    scratch = Scratch(spark, "substring", BATCH)
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
     units = scratch.write(docs.select("doc_id", "t", "text").mapInArrow(_units, _UNITS), "units")
     near = near_places(scratch, docs, units)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from loomgraph.llm.common import worker_cache
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -103,7 +104,7 @@ class ChunkEncoder:
         return b"".join(ids)
 
 
-@functools.cache
+@worker_cache
 def encoder(path: str) -> ChunkEncoder:
     """One per Python worker."""
     return ChunkEncoder(path)

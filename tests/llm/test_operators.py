@@ -258,6 +258,36 @@ def test_substring(spark):
     assert substring.repeated_passages(spark, empty(spark)).count() == 0
 
 
+def test_workers_get_small_batches(spark, monkeypatch, tmp_path):
+    """No worker, and no executor that feeds it, holds all the texts of a task at once."""
+    kept = prose(700, 200)
+    df = spark.createDataFrame([(i, f"{prose(1000 + i, 100)} {kept}") for i in range(200)], "doc_id long, text string").coalesce(1)
+
+    def spy(module, name, file):
+        inner = getattr(module, name)
+
+        def seen(batches):
+            def noted():
+                for batch in batches:
+                    with open(file, "a") as f:
+                        print(batch.nbytes, file=f)
+                    yield batch
+
+            yield from inner(noted())
+
+        monkeypatch.setattr(module, name, seen)
+
+    monkeypatch.setattr(substring, "BATCH", 1 << 16, raising=False)
+    for name in ("_units", "_found"):
+        spy(substring, name, str(tmp_path / name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert substring.repeated_passages(spark, df).count() >= 199
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    for name in ("_units", "_found"):
+        sizes = [int(x) for x in (tmp_path / name).read_text().split()]
+        assert sum(sizes) > 4 << 16 and max(sizes) <= 2 << 16
+
+
 def brute_repeated(items, size=substring.RUN):
     """doc -> words covered by a window of `size` words that an earlier place has and does not overlap."""
     seen, covered = {}, {i: set() for i in items}
