@@ -10,7 +10,8 @@ number of entities and of words is at most ALPHA. Copies of a text are no eviden
 spans are added wherever such a term occurs as a whole word in the corpus.
 
 Work is done once per distinct text that has anything to find; results are joined back to the documents. Flagged and
-candidate terms are broadcast only below BROADCAST rows; beyond that all words are aggregated or joined by shuffles.
+candidate terms are broadcast only below BROADCAST rows; beyond that all words are aggregated or joined by shuffles. Texts are picked
+by the broadcast 64-bit hashes of up to a million keys; for more keys, texts are shuffled, of entities those with a digit or an @.
 
 Defined results: null texts are empty and have no spans; repeated rows repeat; offsets are code points, end exclusive;
 an empty table gives no rows; extra columns are ignored (find_spans) or kept (sanitise).
@@ -23,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import BROADCAST as FEW
 from loomgraph.llm.common import texts, unused
 from loomgraph.session import Scratch
 
@@ -39,6 +41,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+_ANY = "[0-9]|@"  # no base span is without
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
@@ -90,12 +93,21 @@ def _found(text: Column, kind: int) -> Column:
 def base_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
     """key, kind, match, start, end of every valid base span of each distinct text."""
     any_ = F.flatten(F.array(*(_found(F.col("text"), k) for k in range(4))))
-    hit = keyed.where(F.col("text").rlike("[0-9]|@")).select("key", F.explode(any_).alias("f"))
+    hit = keyed.where(F.col("text").rlike(_ANY)).select("key", F.explode(any_).alias("f"))
     rows = hit.select("key", "f.*").distinct().withColumn("sub", F.lit(""))
     spans = _placed(rows).where(_valid(F.col("kind"), F.col("match")))
     return scratch.write(spans.select("key", "kind", "match", "start", "end"), "base")
 
 
+def _picked(scratch: Scratch, keyed: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of `keyed` to join with `keys` by key: only those with the hash of one, if the hashes are few enough to be sent to all
+    executors. Spark's own size check would shuffle all the texts instead."""
+    hashes = scratch.write(keys.select(F.xxhash64("key").alias("hash")).distinct(), name)
+    if hashes.count() > FEW:
+        return keyed
+    return keyed.join(F.broadcast(hashes), F.xxhash64(keyed["key"]) == hashes["hash"], "left_semi")
+
+
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
 
@@ -113,7 +125,8 @@ def disclosing_terms(scratch: Scratch, keyed: DataFrame, spans: DataFrame) -> Da
     least = math.ceil(spare / -math.log2(distinct)) if distinct > 1 else n + 1  # with fewer texts not even a term of theirs alone can count
     frequent = entities.groupBy("entity").agg(F.count("*").alias("a")).where(F.col("a") >= least)
     entities = scratch.write(entities.join(frequent, "entity"), "entities")
-    some = scratch.write(keyed.join(entities.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("docs")), "some")
+    likely = _picked(scratch, keyed.where(F.col("text").rlike(_ANY)), entities, "entity-hashes")
+    some = scratch.write(likely.join(entities.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("docs")), "some")
     outside = F.array_distinct(_terms(F.regexp_replace("text", PATTERNS["email"], " ")))
     near = some.select("key", "docs", F.explode_outer(outside).alias("term"))
     counted = scratch.write(near.join(entities, "key"), "near")
@@ -145,7 +158,7 @@ def term_spans(scratch: Scratch, keyed: DataFrame, flagged: DataFrame) -> DataFr
     hits = scratch.write(hits, "hits")
     where = scratch.write(hits.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms")), "where")
     pattern = "concat('(?iu)(?<![\\\\p{L}])', t.term, '(?![\\\\p{L}])')"
-    rows = keyed.join(where, "key").groupBy("key", "terms").agg(F.any_value("text").alias("text")).select("key", "text", F.explode("terms").alias("t"))
+    rows = _picked(scratch, keyed, where, "where-hashes").join(where, "key").groupBy("key", "terms").agg(F.any_value("text").alias("text")).select("key", "text", F.explode("terms").alias("t"))
     zipped = f"arrays_zip(regexp_extract_all(text, {pattern}, 0), transform(split(text, {pattern}, -1), g -> length(g)))"
     rows = rows.select("key", F.col("t.term").alias("sub"), F.col("t.share").alias("share"), F.lit(4).alias("kind"), F.expr(f"posexplode({zipped})").alias("pos", "z"))
     rows = rows.select("key", "sub", "share", "kind", "pos", F.col("z")["0"].alias("match"), F.col("z")["1"].alias("gap")).where("match is not null")

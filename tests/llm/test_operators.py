@@ -470,6 +470,30 @@ def test_pii_terms(spark):
     assert rows(pii.find_spans(spark, one), "spans") == {("email:11:17",)}  # copies of one text are no evidence
 
 
+def test_pii_shuffles_no_text_without_need(spark, monkeypatch):
+    """Texts of entities and of terms are picked by broadcast hashes, whatever Spark's own size check says."""
+    told = [(i, f"{prose(i, 20)} zorblatt me.x@mail.org {prose(i + 50, 20)}") for i in range(5)]
+    df = spark.createDataFrame(told + [(100 + i, prose(200 + i, 60)) for i in range(60)] + [(200, "only Zorblatt here")], "doc_id long, text string")
+    plans, write = {}, pii.Scratch.write
+
+    def seen(self, frame, name, **options):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return write(self, frame, name, **options)
+
+    monkeypatch.setattr(pii.Scratch, "write", seen)
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = rows(pii.find_spans(spark, df), "doc_id", "spans", "n_term")
+        assert all("BroadcastHashJoin" in plans[name] for name in ("some", "terms"))
+        monkeypatch.setattr(pii, "FEW", 0)
+        assert rows(pii.find_spans(spark, df), "doc_id", "spans", "n_term") == few
+        assert not any("BroadcastHashJoin" in plans[name] for name in ("some",))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert (200, "term:5:13", 1) in few and sum(n for _, _, n in few) == 6
+
+
 def test_pii_terms_of_rare_entities(spark):
     """Two texts are enough if the term is as rare; short names and far places count; the words of a single text do not."""
     told = [(i, f"Lee {prose(i, 60)} me.x@mail.org {prose(i + 50, 20)}") for i in range(2)] + [(2, f"alone {prose(90, 20)} you@mail.org")]
