@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import itertools
 import re
 import wave
 import zlib
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import audio, bpe, neardup, packing, pii, quality, substring, token_binary, token_counts, topk
-from loomgraph.llm.tokens import default_tokenizer
+from loomgraph.llm.tokens import ChunkEncoder, default_tokenizer
 
 SF = "/root/testdata/sf0.001"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -78,6 +79,16 @@ def test_token_binary(spark, docs, fixture_rows, tmp_path):
     assert token_binary.token_binary(spark, empty(spark)).count() == 0
 
 
+def test_encoder_keeps_what_comes_again():
+    """600,000 distinct words are encoded once, however often they come in turn."""
+    enc, calls = ChunkEncoder(default_tokenizer()), []
+    end = int(np.nonzero(enc.ends)[0][0])
+    enc.library = lambda text: calls.append(text) or np.full(text.count(" ") + 1, end, "<u4").tobytes()
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=5), 600_000)]
+    encoded = [[len(enc.encode(" ".join(words[k : k + 500]))) for k in range(0, len(words), 500)] for _ in range(2)]
+    assert encoded[0] == encoded[1] and sum(text.count(" ") + 1 for text in calls) == len(words)
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.quality_scores(docs.withColumn("score", F.lit(1)), labels)
