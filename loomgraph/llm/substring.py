@@ -26,6 +26,7 @@ is the first; offsets are code points, end exclusive; extra columns, whatever th
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ from loomgraph.session import Scratch
 K, PERCENT, GAP, NEAR, RUN = 5, 80, 24, 30, 32
 ANCHOR, ANCHOR_WORDS = 16, 17  # ANCHOR + ANCHOR_WORDS - 1 = RUN: no common run of RUN words is without a common anchor
 BANDS, ROWS = 12, 3
+PASSES = 4  # band keys and windows are shuffled in so many portions, one after the other, or their files were the most of the disk
 
 
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
@@ -204,12 +206,15 @@ def band_keys(paragraphs: list[np.ndarray]) -> np.ndarray:
     return (keys * np.uint64(32) + 2 * np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-_UNITS = "doc_id long, t long, h array<long>, word array<int>, id array<long>, first array<int>, last array<int>, start array<int>, end array<int>, line array<int>, bands array<array<long>>"
+_UNITS = "doc_id long, t long, h array<long>, word array<int>, id array<long>, first array<int>, last array<int>, start array<int>, end array<int>, line array<int>, "
+_UNITS += "".join(f"bands{k} array<array<long>>, " for k in range(PASSES)) + "part int"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors and paragraphs of the texts of RUN words or more; the bands of equal paragraphs once a batch."""
+    """Anchors and paragraphs of the texts of RUN words or more (part 0) and, apart from them, the ids and bands of the paragraphs,
+    equal ones once a batch (part 1)."""
     lean(word_hashes)
+    names, kinds = [c.split()[0] for c in _UNITS.split(", ")], [pa.int64(), pa.int64(), *map(pa.list_, [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5]), *[pa.list_(pa.list_(pa.int64()))] * PASSES, pa.int32()]
     for batch in _portions(batches):
         words = Words(batch.column("text"))
         kept = np.nonzero(np.diff(words.bounds) >= RUN)[0]
@@ -217,10 +222,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, line = paragraphs(words)
         ids = paragraph_ids(words.h, first, last, line)
         unique = np.sort(np.unique(ids, return_index=True)[1])
-        banded = np.zeros(len(ids), np.int64)
-        banded[unique] = BANDS
-        bands = band_keys([words.h[a:b] for a, b in zip(first[unique].tolist(), last[unique].tolist())]) ^ line[unique, None] if len(unique) else np.empty(0, np.int64)
-        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(banded)).astype(np.int32)), pa.array(bands.reshape(-1), pa.int64()))
+        bands = band_keys([words.h[a:b] for a, b in zip(first[unique].tolist(), last[unique].tolist())]) ^ line[unique, None] if len(unique) else np.empty((0, BANDS), np.int64)
 
         def lists(at: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
             """Values in order of their words -> a list for each kept text."""
@@ -231,9 +233,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = base(first)
         int32 = lambda x: x.astype(np.int32)
         columns = [lists(word, keys), lists(word, int32(word - base(word))), lists(first, ids), lists(first, int32(first - own)), lists(first, int32(last - own))]
-        columns += [lists(first, words.start[first]), lists(first, words.end[last - 1]), lists(first, int32(line)), lists(first, inner)]
+        columns += [lists(first, words.start[first]), lists(first, words.end[last - 1]), lists(first, int32(line))]
         rows = pa.array(kept, pa.int32())
-        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("t").take(rows), *columns], names=[c.split()[0] for c in _UNITS.split(", ")])
+        wide = BANDS // PASSES
+        inner = [pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1, dtype=np.int32) * wide), pa.array(bands[:, k : k + wide].reshape(-1), pa.int64())) for k in range(0, BANDS, wide)]
+        banded = {"id": lists(first[unique], ids[unique]), **{f"bands{k}": lists(first[unique], x) for k, x in enumerate(inner)}}
+        own = dict(zip(names, [batch.column("doc_id").take(rows), batch.column("t").take(rows), *columns]))
+        for part, filled in enumerate((own, banded)):
+            filled["part"] = pa.array(np.full(len(kept), part, np.int32))
+            yield pa.record_batch([filled.get(c, pa.nulls(len(kept), kind)) for c, kind in zip(names, kinds)], names=names)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,15 +269,21 @@ def _at(docs: DataFrame, found: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(found["at_doc"]) & (docs["t"] == found["at_t"])
 
 
-def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, component) of the paragraphs that have near copies."""
-    banded = units.select(F.explode(F.arrays_zip("id", "bands")).alias("p")).where(F.size("p.bands") > 0)
-    keys = banded.select(F.col("p.id").alias("id"), F.explode("p.bands").alias("key"))
-    ids = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shared = scratch.write(ids, "shared")
-    two = shared.where("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))  # met already
-    more = keys.join(few(shared.where("n > 2").select("key")), "key").select("key", "id").distinct()
-    collided = scratch.write(two.unionByName(more), "collided")
+def near_paragraphs(scratch: Scratch, docs: DataFrame, bands: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, component) of the paragraphs that have near copies. The bands are dropped as soon as they are counted."""
+    tables = []
+    for k in range(PASSES):
+        keys = bands.select(F.explode(F.arrays_zip("id", f"bands{k}")).alias("p")).select(F.col("p.id").alias("id"), F.explode(f"p.bands{k}").alias("key"))
+        ids = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        shared = scratch.write(ids, "shared")
+        scratch.release()
+        two = shared.where("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))  # met already
+        more = keys.join(few(shared.where("n > 2").select("key")), "key").select("key", "id").distinct()
+        tables.append(scratch.write(two.unionByName(more), f"collided-{k}"))
+        scratch.drop("shared")
+        scratch.release()
+    scratch.drop("units/part=1")
+    collided = functools.reduce(DataFrame.unionByName, tables)
     wanted = scratch.write(collided.select("id").distinct(), "wanted")
     scratch.release()
     one = places.join(few(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "start", "end")).alias("p"))
@@ -277,17 +291,19 @@ def near_paragraphs(scratch: Scratch, docs: DataFrame, units: DataFrame, places:
     spots = scratch.write(spots, "spots")
     lines = docs.join(spots, _at(docs, spots)).select("text", "spots").mapInArrow(_slices, "id long, text string")
     lines = scratch.write(lines.groupBy("id").agg(F.min("text").alias("text")), "lines")
+    scratch.release()
     signatures = scratch.write(lines.mapInArrow(_signatures, "id long, n long, sig binary"), "signatures")
-    scratch.drop("shared", "wanted", "spots")
+    scratch.drop("wanted", "spots")
+    scratch.release()
     return linking.link(scratch, collided.select("key", "id"), signatures, lambda ids: lines.join(ids, "id", "left_semi"), _shingles, PERCENT)
 
 
-def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:
+def near_places(scratch: Scratch, docs: DataFrame, units: DataFrame, bands: DataFrame) -> DataFrame:
     """Every later place of a near paragraph: doc_id, t, start, end, first_word, last_word, component, first."""
     p = F.explode(F.arrays_zip("id", "first", "last", "start", "end", "line")).alias("p")
     places = units.select("doc_id", "t", p).select("doc_id", "t", "p.id", "p.start", "p.end", "p.line", F.col("p.first").alias("first_word"), F.col("p.last").alias("last_word"))
-    near = scratch.write(near_paragraphs(scratch, docs, units, places), "clusters")
-    scratch.drop("collided", "lines", "signatures")
+    near = scratch.write(near_paragraphs(scratch, docs, bands, places), "clusters")
+    scratch.drop(*[f"collided-{k}" for k in range(PASSES)], "lines", "signatures")
     found = scratch.write(places.join(near, "id").drop("id"), "places")
     scratch.release()
     place = F.struct("doc_id", "t", "start", "first_word", "last_word")
@@ -364,36 +380,38 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_places(scratch: Scratch, docs: DataFrame, units: DataFrame) -> DataFrame:
     """Every verbatim repetition of RUN words or more: the columns of near_places. Joins on hashes start from written tables, so
-    that Spark can split their hot keys; firsts are aggregated before the shuffle."""
-    again = scratch.write(units.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
-    common = scratch.write(placed.join(few(again), "h"), "common")
-    scratch.drop("units")  # by far the largest table, read for the last time
-    scratch.release()
+    that Spark can split their hot keys; counts and firsts are aggregated together, and before the shuffle."""
     place = F.struct("doc_id", "t", "word")
-    first = scratch.write(common.groupBy("h").agg(F.min(place).alias("f")), "first-anchors")
+    again = [F.min(place).alias("f"), F.count("*").alias("n")]
     own = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t") == F.col("f.t"))
+    placed = units.select("doc_id", "t", F.posexplode(F.arrays_zip("h", "word")).alias("n", "a")).select("doc_id", "t", "n", "a.h", "a.word")
+    first = scratch.write(placed.groupBy("h").agg(*again).where("n > 1").select("h", "f"), "first-anchors")
+    scratch.release()
+    common = scratch.write(placed.join(first, "h").drop("h"), "common")
+    scratch.drop("units", "first-anchors")  # units are by far the largest table, read for the last time
+    scratch.release()
     entry = F.struct("n", "word", own.alias("own"), F.shiftrightunsigned(F.xxhash64("f.doc_id", "f.t"), 1).alias("s"), F.col("f.word").alias("w"), F.col("f.doc_id").alias("s_doc"), F.col("f.t").alias("s_t"))
-    anchored = common.join(first, "h").groupBy(F.col("doc_id").alias("at_doc"), F.col("t").alias("at_t")).agg(F.collect_list(entry).alias("found"))
+    anchored = common.groupBy(F.col("doc_id").alias("at_doc"), F.col("t").alias("at_t")).agg(F.collect_list(entry).alias("found"))
     anchored = scratch.write(anchored, "anchored")
-    scratch.drop("again", "common", "first-anchors")
+    scratch.drop("common")
     scratch.release()
     found = scratch.write(docs.join(anchored, _at(docs, anchored)).select("doc_id", "t", "text", "found").mapInArrow(_found, _FOUND), "found")
-    # most windows occur once, so their hashes alone are counted first and their places are shuffled only if they repeat
-    several = found.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    several = scratch.write(several, "repeated-windows")
-    scratch.release()
-    windows = found.select("h", "doc_id", "t", "word", "last", "start", "end").join(few(several), "h")
-    windows = scratch.write(windows, "windows")
+    scratch.drop("anchored")
     scratch.release()
-    firsts = scratch.write(windows.groupBy("h").agg(F.min(place).alias("f")), "first-windows")
-    scratch.drop("repeated-windows")
-    later = windows.join(firsts, "h").where(~own | (F.col("word") - F.col("f.word") >= RUN))
     columns = ["doc_id", "t", "start", "end", F.col("word").alias("first_word"), F.col("last").alias("last_word")]
-    later = later.select(*columns, F.xxhash64("h").alias("component"), F.col("f").alias("first"))
     source = F.struct(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("t"), F.col("first_word").alias("word"))
-    whole = found.where("h is null").select(*columns, F.xxhash64("first_doc", "first_t", found["first_word"]).alias("component"), source.alias("first"))
-    return whole.unionByName(later)
+    tables = [scratch.write(found.where("h is null").select(*columns, F.xxhash64("first_doc", "first_t", found["first_word"]).alias("component"), source.alias("first")), "chains")]
+    for k in range(PASSES):
+        windows = found.where(F.pmod("h", F.lit(PASSES)) == k).select("h", "doc_id", "t", "word", "last", "start", "end")
+        # most windows occur once, so their places are joined with the firsts of repeated ones only
+        firsts = scratch.write(windows.groupBy("h").agg(*again).where("n > 1").select("h", "f"), "first-windows")
+        scratch.release()
+        later = windows.join(firsts, "h").where(~own | (F.col("word") - F.col("f.word") >= RUN))
+        tables.append(scratch.write(later.select(*columns, F.xxhash64("h").alias("component"), F.col("f").alias("first")), f"windows-{k}"))
+        scratch.drop("first-windows")
+        scratch.release()
+    scratch.drop("found")
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -401,8 +419,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words), and t (a hash of the document's text)."""
     scratch = Scratch(spark, "substring", BATCH)
     docs = texts(docs).withColumn("t", F.xxhash64("text"))
-    units = scratch.write(docs.select("doc_id", "t", "text").mapInArrow(_units, _UNITS), "units")
-    near = near_places(scratch, docs, units)
+    units = scratch.write(docs.select("doc_id", "t", "text").mapInArrow(_units, _UNITS), "units", parts="part")
+    bands, units = (units.where(F.col("part") == k).drop("part") for k in (1, 0))
+    near = near_places(scratch, docs, units, bands)
     again = near.unionByName(exact_places(scratch, docs, units))
     order = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"))
     reach = F.coalesce(F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
@@ -412,7 +431,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     words = F.max("last_word") - F.min("first_word")
     passages = runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.min_by("component", head).alias("component"), F.min_by("first", head).alias("first")).where(F.col("n_words") >= RUN)
     result = scratch.write(passages.select("doc_id", "start", "end", "n_words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "t"), "passages")
-    scratch.drop("places", "clusters", "first", "anchored", "found", "windows", "first-windows")
+    scratch.drop("places", "clusters", "first", "chains", *[f"windows-{k}" for k in range(PASSES)])
     return result
 
 

@@ -7,6 +7,7 @@ import itertools
 import re
 import wave
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +300,30 @@ def test_workers_get_small_batches(spark, monkeypatch, tmp_path):
         assert sum(sizes) > 4 << 16 and max(sizes) <= 2 << 16
 
 
+def test_substring_holds_few_bands_on_disk(spark, monkeypatch):
+    """Band keys are counted a few bands at a time, and gone from the disk when the paragraphs are compared."""
+    text = prose(801, 400).split(" ")
+    rows_ = [(i, " ".join(w if (k + 7 * i) % 61 else f"edit{i}" for k, w in enumerate(text))) for i in range(8)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    counted, stored = [], []
+    write = substring.Scratch.write
+
+    def seen(self, table, name, *args, **kwargs):
+        out = write(self, table, name, *args, **kwargs)
+        if name == "shared":
+            counted.append({(r.key & 31) >> 1 for r in out.select("key").collect()})
+        if name == "lines":
+            for file in Path(self.path.removeprefix("file://")).rglob("*.parquet"):
+                part = pq.read_table(file, partitioning=None)
+                stored.extend(c for c in part.column_names if c.startswith("bands") and part[c].null_count < part.num_rows)
+        return out
+
+    monkeypatch.setattr(substring.Scratch, "write", seen)
+    assert {r.doc_id for r in substring.repeated_passages(spark, df).collect()} == set(range(1, 8))
+    assert set.union(*counted) == set(range(substring.BANDS)) and max(map(len, counted)) <= substring.BANDS // 3
+    assert stored == []
+
+
 def brute_repeated(items, size=substring.RUN):
     """doc -> words covered by a window of `size` words that an earlier place has and does not overlap."""
     seen, covered = {}, {i: set() for i in items}
