@@ -130,6 +130,7 @@ def disclosing_terms(scratch: Scratch, keyed: DataFrame, spans: DataFrame) -> Da
     outside = F.array_distinct(_terms(F.regexp_replace("text", PATTERNS["email"], " ")))
     near = some.select("key", "docs", F.explode_outer(outside).alias("term"))
     counted = scratch.write(near.join(entities, "key"), "near")
+    scratch.release()
     of_entity = counted.select("key", "entity", "docs").distinct().groupBy("entity").agg(F.sum("docs").alias("ce"))
     pairs = counted.where("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("cet"), F.count("*").alias("k"), F.any_value("a").alias("a")).where(F.col("k") >= least)
     # documents with the term near anything are some of those with the term: they bound its share from above
@@ -177,7 +178,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def all_spans(scratch: Scratch, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base spans and term spans of the distinct texts."""
     base = base_spans(scratch, keyed)
-    return base, term_spans(scratch, keyed, disclosing_terms(scratch, keyed, base))
+    scratch.release()
+    flagged = disclosing_terms(scratch, keyed, base)
+    scratch.release()
+    terms = term_spans(scratch, keyed, flagged)
+    scratch.release()
+    return base, terms
 
 
 def find_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -210,6 +216,7 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     run = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = run.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", "kind", "end")).alias("label"))
     cuts = scratch.write(merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("cuts")), "cuts")
+    scratch.release()
     key, cut = (unused(docs.columns, c) for c in ("pii_key", "pii_cuts"))
     marked = docs.withColumn(key, text_key(F.coalesce(docs["text"], F.lit(""))))
     joined = marked.join(cuts.withColumnsRenamed({"key": key, "cuts": cut}), key, "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import texts
+from loomgraph.llm.common import lean, texts
 
 SAMPLE, STEPS = 6000, 400
 _CLASSES = [b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"AEIOU", b"BCDFGHJKLMNPQRSTVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b":;", b"'\"`", b"-_", b"()[]{}<>", b"|", b"#$", b"%&", b"*", b"@", b"/\\=+~^", bytes(range(128, 192)), bytes(range(192, 256))]
@@ -102,6 +102,7 @@ def estimate_prior(P: np.ndarray, U: np.ndarray, steps: int = 100, splits: int =
                 return -(p.T @ (1 - _sigmoid(p @ w))) / max(1, len(p)) + (u.T @ _sigmoid(u @ w)) / max(1, len(u)) + 1e-3 * w
 
             w = _descend(gradient, P.shape[1], steps)
+            del p, u, gradient  # the driver holds one half of the rows at a time besides all of them
             scores_p[fold_p != fold], scores_u[fold_u != fold] = P[fold_p != fold] @ w, U[fold_u != fold] @ w
         ratios = []
         for t in np.quantile(scores_p, np.linspace(0.0, 0.5, 51)):
@@ -112,9 +113,15 @@ def estimate_prior(P: np.ndarray, U: np.ndarray, steps: int = 100, splits: int =
     return float(np.clip(np.median(found), 0.05, 0.97))
 
 
+def _biased(x: np.ndarray) -> np.ndarray:
+    out = np.ones((len(x), x.shape[1] + 1))
+    out[:, :-1] = x
+    return out
+
+
 def fit(P: np.ndarray, U: np.ndarray, prior: float | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights (the last is the bias) and the prior."""
-    P, U = (np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64) for x in (P, U))
+    P, U = _biased(P), _biased(U)
     prior = estimate_prior(P, U) if prior is None else prior
     decay = 1e-4 + 0.05 / len(P)
 
@@ -140,15 +147,23 @@ def _scorer(weights: np.ndarray | None):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    rows = training_rows(docs, labels, sample).toArrow()
-    x = np.array([np.frombuffer(b.as_py(), np.float32) for b in rows["x"]], np.float32).reshape(-1, WIDTH)
+def _classes(rows: pa.Table) -> list[np.ndarray]:
+    """Features of the positives and of the others; copies are gone when it returns."""
+    x = np.empty((rows.num_rows, WIDTH), np.float32)
+    for k, b in enumerate(rows["x"]):
+        x[k] = np.frombuffer(b.as_buffer(), np.float32)
     positive = rows["positive"].to_numpy() == 1
+    del rows
     order = np.lexsort((*x.T[:8], positive))  # the same whatever order the rows came in
-    x, positive = x[order], positive[order]
-    if not positive.any() or positive.all():
-        return None
-    return fit(x[positive], x[~positive])[0]
+    return [x[order[positive[order]]], x[order[~positive[order]]]]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+    try:
+        classes = _classes(training_rows(docs, labels, sample).toArrow())
+        return fit(classes.pop(0), classes.pop())[0] if all(map(len, classes)) else None
+    finally:
+        lean()  # the driver lives on
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -5,6 +5,8 @@ import hashlib
 import io
 import itertools
 import re
+import tracemalloc
+import types
 import wave
 import zlib
 from pathlib import Path
@@ -104,6 +106,24 @@ def test_quality(spark):
     assert quality.quality_scores(empty(spark), labels).count() == 0
 
 
+def test_training_takes_little_of_the_driver(monkeypatch):
+    """At most 3.5 times the features, which are float32 as gathered, float64 in use and half of them again for the prior."""
+    rng, n = np.random.default_rng(1), 3000
+    positive, x = rng.integers(0, 2, n), rng.random((n, quality.WIDTH)).astype(np.float32)
+    x[positive == 1, :5] += 0.2
+    table = pa.table({"positive": pa.array(positive, pa.int32()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+    monkeypatch.setattr(quality, "training_rows", lambda *_: types.SimpleNamespace(toArrow=lambda: table))
+    tracemalloc.start()
+    try:
+        weights = quality.train(None, None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3.5 * x.nbytes
+    scores = x @ weights[:-1]
+    assert scores[positive == 1].mean() > scores[positive == 0].mean()
+
+
 def test_byte_bpe(docs, fixture_rows, spark):
     import public_tokenizers
 
@@ -506,6 +526,35 @@ def test_pii_terms(spark):
     assert rows(pii.find_spans(spark, one), "spans") == {("email:11:17",)}  # copies of one text are no evidence
 
 
+def test_pii_releases_the_driver(spark, monkeypatch):
+    """What finished steps hold on the driver goes while the next ones run."""
+    steps, write, release = [], pii.Scratch.write, pii.Scratch.release
+    monkeypatch.setattr(pii.Scratch, "write", lambda self, df, name, *a, **b: steps.append(name) or write(self, df, name, *a, **b))
+    monkeypatch.setattr(pii.Scratch, "release", lambda self: steps.append("") or release(self))
+    docs = spark.createDataFrame([(k, f"mail a{k % 3}@b.org now", k) for k in range(9)], "doc_id long, text string, n_chars long")
+    assert {r.text for r in pii.sanitise(spark, docs).collect()} == {"mail [EMAIL] now"}
+    at = [k for k, name in enumerate(steps) if not name]
+    assert [steps[k - 1] for k in at if steps[k - 1]] == ["base", "near", "flagged", "terms", "cuts"]
+
+
+def test_release_returns_native_memory(spark):
+    """What the driver's JVM has freed outside its heap goes back to the system, though other threads' pieces lie between."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    jvm.System.gc()
+    held = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    for k, deflater in enumerate(held):
+        if k % 50:
+            deflater.end()
+    jvm.System.gc()
+    before = resident()
+    pii.Scratch(spark, "native").release()
+    assert before - resident() > 60
+    for deflater in held:
+        deflater.end()
+
+
 def test_pii_shuffles_no_text_without_need(spark, monkeypatch):
     """Texts of entities and of terms are picked by broadcast hashes, whatever Spark's own size check says."""
     told = [(i, f"{prose(i, 20)} zorblatt me.x@mail.org {prose(i + 50, 20)}") for i in range(5)]
