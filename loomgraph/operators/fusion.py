@@ -32,7 +32,7 @@ def merge_channels(channels: DataFrame, weights: DataFrame, keys: list[str], flo
 
 def channel_signals(knn: DataFrame, keys: list[str]) -> DataFrame:
     """Per channel of distances (keys, channel, distance): strength (mean cosine of the top 3) and gradient (top 5)."""
-    order = Window.partitionBy(*keys, "channel").orderBy("distance", "id")
+    order = Window.partitionBy(*keys, "channel").orderBy(F.col("distance").asc_nulls_last(), "id")
     ranked = knn.withColumn("r", F.row_number().over(order)).where("r <= 5")
     widest = ranked.withColumn("dmax", F.max("distance").over(Window.partitionBy(*keys, "channel")))
     slope = F.when(F.col("dmax") > 0, 1 - F.col("distance") / F.col("dmax")).otherwise(1.0)

@@ -296,3 +296,35 @@ def test_reads_of_odd_properties(spark):
     assert rows(reads.volatility_overrides(e), "id") == {("c",)} and rows(reads.orphaned_supersedes(e), "id") == {("d",)}
     assert rows(reads.corpus_counts(e, drift), "curated", "young", "drifted", "stale") == {(2, True, 1, 1)}
     assert reads.corpus_counts(e.limit(0), drift.limit(0)).collect()[0].curated == 0
+
+
+def _brute(v, k):
+    """The k nearest of each (id, type, embedding) as SQL has them: rounded distance, NaN after numbers, null last, then id."""
+    out = set()
+    for i, t, x in v:
+        near = []
+        for j, u, y in v:
+            if j != i and u == t and t is not None:
+                null = x is None or y is None or None in x or None in y or len(x) != len(y)
+                d = None if null else math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y)))
+                near.append((null, not null and math.isnan(d), 0.0 if null or math.isnan(d) else round(d, 9), j))
+        for r, (null, nan, d, j) in enumerate(sorted(near)[:k], 1):
+            out.add((i, j, r, None if null else "nan" if nan else round(d, 6)))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [3, 8192])
+def test_knn_self_of_odd_and_equal_vectors(spark, blocks):
+    """Nulls come last, copies are cut by their ids, blocks make no difference."""
+    rng = np.random.default_rng(5)
+    v = [(i, i % 2, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(24)]
+    v += [(i, 0, [1.0, 2.0, 3.0, 4.0]) for i in (40, 33, 57, 31, 44)] + [(70, 0, None), (71, 0, [1.0, None, 0.0, 0.0]), (72, 1, [float("nan")] * 4), (73, 1, [float("inf"), 0.0, 0.0, 0.0]), (74, 1, [1.0]), (75, None, [1.0, 2.0, 3.0, 4.0])]
+    got = vector.knn_self(spark.createDataFrame(v, "id long, type int, embedding array<double>"), 4, rows=blocks).collect()
+    assert {(r.id, r.other, r["rank"], None if r.distance is None else "nan" if math.isnan(r.distance) else round(r.distance, 6)) for r in got} == _brute(v, 4)
+
+
+def test_nearest_counts_within_the_radius(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), 0.0]) for i in range(50)] + [(60, None)], "id long, e array<double>").select(F.lit("x").alias("g"), "id", "e")
+    want = {(i, sum(abs(i % 7 - j % 7) < 2 for j in range(50) if j != i)) for i in range(50)}
+    for rows_ in (6, 8192):
+        assert rows(vector.nearest(v.where("id < 50"), v, 2, 2.0, True, rows_).groupBy("id").agg(F.sum("near").alias("n")), "id", "n") == want
