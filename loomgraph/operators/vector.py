@@ -190,36 +190,49 @@ def knn_self(vectors: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_cosines(threshold: float, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sides = []
-                for name in ("left", "right"):
-                    ids = np.array([m["id"] for m in row[name]])
-                    v = np.array([m["e"] for m in row[name]], np.float64)
-                    size = np.sqrt((v * v).sum(1))
-                    sides.append((ids, v / np.where(size > 0, size, 1)[:, None]))
-                (a, x), (b, y) = sides
-                s = x @ y.T
-                i, j = np.nonzero(s > threshold)
-                x_id, y_id = a[i], b[j]
-                keep = x_id < y_id if row["i"] == row["j"] else np.ones(len(i), bool)
-                lo, hi = np.where(x_id < y_id, x_id, y_id), np.where(x_id < y_id, y_id, x_id)
-                yield pa.record_batch([pa.array(lo[keep].tolist(), kind), pa.array(hi[keep].tolist(), kind), pa.array(s[i, j][keep])], names=["id", "other", "similarity"])
+def _block_cosines(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        if not len(both):
+            return
+        v, size, missing = _vectors(both["e"])
+        if (size != size[0]).any():
+            raise ValueError("vectors of different lengths")
+        v[missing] = np.nan
+        norm = np.sqrt((v * v).sum(1))
+        v /= np.where(norm > 0, norm, 1)[:, None]
+        kind = both["id"].type
+        ids = np.array(both["id"].to_pylist()) if pa.types.is_string(kind) else both["id"].to_numpy()
+        side = both["side"].to_numpy()
+        same = key[0] == key[1]
+        x, y = (np.flatnonzero(np.ones(len(side), bool) if same else side == k) for k in (0, 1))
+        step = max(1, TILE // max(1, len(y)))
+        for lo in range(0, len(x), step):
+            rows = x[lo : lo + step]
+            s = v[rows] @ v[y].T
+            i, j = np.nonzero(s > threshold)
+            x_id, y_id, s = ids[rows[i]], ids[y[j]], s[i, j]
+            if same:
+                keep = x_id < y_id
+                x_id, y_id, s = x_id[keep], y_id[keep], s[keep]
+            less = x_id < y_id
+            yield pa.record_batch([pa.array(np.where(less, x_id, y_id), kind), pa.array(np.where(less, y_id, x_id), kind), pa.array(s)], names=["id", "other", "similarity"])
 
     return run
 
 
-def near_pairs(vectors: DataFrame, threshold: float, rows: int = 2048) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, rows: int = BLOCK) -> DataFrame:
     """(id, other, similarity) of all pairs id < other with a cosine above the threshold; ids are unique, vectors of one length.
 
-    Blocks of about `rows` vectors meet once each as a grid of equi-joined rows; a pair of blocks is one matrix product.
+    Blocks of about `rows` vectors meet once each in a grid of cells dealt by the cell. A worker has one cell, as numbers of
+    Arrow, and a strip of its matrix product at a time, whose pairs leave before the next.
     """
-    n = max(1, -(-vectors.count() // rows))
+    found = vectors.where("id is not null and embedding is not null").select("id", F.col("embedding").alias("e"))
+    count = found.count()
+    n = max(1, -(-count // rows), min(8, -(-count // 1024)))
+    block = found.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # block b is on the left of the cells (b, b) to (b, n - 1), and on the right of (0, b) to (b - 1, b)
+    cell = F.when(F.col("k") < F.col("b"), F.struct(F.col("k").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"))).otherwise(F.struct(F.col("b").alias("i"), F.col("k").alias("j"), F.lit(0).alias("side")))
+    dealt = block.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("c", cell).select("c.i", "c.j", "c.side", "id", "e").repartition(min(n * (n + 1), 1000), "i", "j")
     kind = vectors.schema["id"].dataType.simpleString()
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    blocks = vectors.where("id is not null and embedding is not null").withColumn("i", block).groupBy("i").agg(F.collect_list(F.struct("id", F.col("embedding").alias("e"))).alias("left"))
-    left = blocks.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
-    pairs = left.join(blocks.select(F.col("i").alias("j"), F.col("left").alias("right")), "j").select("i", "j", "left", "right")
-    return pairs.mapInArrow(_block_cosines(threshold, pa.string() if kind == "string" else pa.int64()), f"id {kind}, other {kind}, similarity double")
+    return dealt.groupBy("i", "j").applyInArrow(_block_cosines(threshold), f"id {kind}, other {kind}, similarity double")

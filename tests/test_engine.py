@@ -328,3 +328,19 @@ def test_nearest_counts_within_the_radius(spark):
     want = {(i, sum(abs(i % 7 - j % 7) < 2 for j in range(50) if j != i)) for i in range(50)}
     for rows_ in (6, 8192):
         assert rows(vector.nearest(v.where("id < 50"), v, 2, 2.0, True, rows_).groupBy("id").agg(F.sum("near").alias("n")), "id", "n") == want
+
+
+def test_pairs_of_a_cell_leave_in_strips():
+    """A worker holds one cell's numbers and a strip of its product, however many rows the cells of a task have."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    e = np.random.default_rng(1).normal(size=(4096, 64)).astype(np.float32)
+    cell = pa.record_batch([pa.array(np.zeros(len(e), np.int32)), pa.array(np.arange(len(e))), pa.array(list(e))], names=["side", "id", "e"])
+    tracemalloc.start()
+    n = sum(len(b) for b in vector._block_cosines(0.35)((pa.scalar(0), pa.scalar(0)), iter([cell])))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    u = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1)[:, None]
+    assert n == (np.triu(u @ u.T, 1) > 0.35).sum()
