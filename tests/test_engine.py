@@ -344,3 +344,46 @@ def test_pairs_of_a_cell_leave_in_strips():
     tracemalloc.stop()
     u = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1)[:, None]
     assert n == (np.triu(u @ u.T, 1) > 0.35).sum()
+
+
+@pytest.mark.parametrize("queries", [[(1, "apple pie"), (2, "Pie tart the"), (3, ""), (4, None), (5, "zzz")], []])
+def test_index_equals_joined_postings(spark, monkeypatch, queries):
+    """Scores of an entity are made where its text is; copies tie and are cut by their ids. Larger batches join postings."""
+    texts = [("apple", "apple pie"), ("x", "apple pie"), ("The tart", "pie pie"), (None, None), ("", "other"), ("ÉCLAIR", "éclair tart")]
+    e = spark.createDataFrame([(f"e{i * 7 % 90}", *texts[i % len(texts)]) for i in range(90)], "id string, title string, content string").repartition(5)
+    terms = lexical.query_terms(spark.createDataFrame(queries, "query_id long, text string"))
+    size = lexical.corpus_size(e).first()
+    monkeypatch.setattr(lexical, "TILE", 40)
+    index = lexical.Index(e, terms)
+    want = {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in lexical.bm25(lexical.postings(e), terms, size["n"], size["avgdl"], 7).collect()}
+    assert {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in index.best(7).collect()} == want and bool(want) == bool(queries)
+    df = rows(lexical.document_frequency(lexical.postings(e), terms), "term", "df")
+    assert rows(index.df, "term", "df") == df and (index.n, index.avgdl) == (size["n"], size["avgdl"])
+    assert "Exchange" not in index.counts._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "MOST_TERMS", 1)
+    if queries:
+        wide = lexical.Index(e, terms)
+        assert wide.pairs is None and {(r.query_id, r.id, r["rank"], round(r.score, 9)) for r in wide.best(7).collect()} == want and rows(wide.df, "term", "df") == df
+
+
+def test_scoring_shuffles_the_best_only(spark):
+    """Of a word that all entities have, k rows a task are ranked and not every entity."""
+    e = spark.range(4000).select(F.concat(F.lit("e"), "id").alias("id"), F.lit("t").alias("title"), F.concat_ws(" ", F.lit("word"), F.col("id") % 5).alias("content"))
+    index = lexical.Index(e, lexical.query_terms(spark.createDataFrame([(1, "word")], "query_id long, text string")))
+    before = index.best(3)
+    plan = before._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert [r.id for r in before.orderBy("rank").collect()] == ["e0", "e1", "e10"]
+
+
+def test_texts_are_not_joined_to_labels(spark, tmp_path):
+    from loomgraph.plans import adapters as A
+
+    spark.createDataFrame([(1, "a b", "en", "s"), (2, None, "en", "s"), (3, "c", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, labels in (("one", [(1, 1, 0)]), ("two", [(1, 1, 0), (1, 0, 1), (9, 1, 0)])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got, want = A.doc_texts(spark, f"{tmp_path}/{name}"), A.doc_entities(spark, f"{tmp_path}/{name}")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "two")
