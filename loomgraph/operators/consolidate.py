@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.constants import DEFAULT, RECORD_CATEGORIES
 from loomgraph.functions.exprs import jaccard, lines_of, normal_title, suspicious
+from loomgraph.session import Scratch
 
 
 def title_duplicates(entities: DataFrame, threshold: float = DEFAULT.dedup_similarity) -> DataFrame:
@@ -128,12 +129,34 @@ def cascade_delete(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tup
 
 
 def line_jaccard(sections: DataFrame, least: float = DEFAULT.section_jaccard) -> DataFrame:
-    """(group_id, id, other, similarity) of section pairs with like line sets. Pairs meet on a shared line, not crosswise."""
-    sets = sections.select("group_id", "id", lines_of(F.col("content")).alias("s"))
-    lines = sets.select("group_id", "id", F.size("s").alias("n"), F.explode("s").alias("line"))
-    other = lines.select("group_id", F.col("id").alias("other"), F.col("n").alias("m"), "line")
-    both = lines.join(other, ["group_id", "line"]).where("id < other").groupBy("group_id", "id", "other", "n", "m").agg(F.count("*").alias("common"))
-    return both.select("group_id", "id", "other", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least)
+    """(group_id, id, other, similarity) of section pairs with like line sets (lines by 64-bit hashes, ids are unique).
+
+    Pairs meet on lines that they must share: of a set's lines, rarest first, so many that a pair without one of them has too few in
+    common; fewer for the smaller set of a pair. A pair is counted in the row where it first meets, so no pairs are kept or grouped;
+    a line that most sections have is in few of these prefixes.
+    """
+    scratch, slack = Scratch(sections.sparkSession, "lines"), 1e-9
+    hashed = F.transform(lines_of(F.col("content")), lambda line: F.xxhash64(line))
+    sets = scratch.write(sections.select("group_id", "id", hashed.alias("s")).where(F.size("s") > 0), "sets")
+    lines = sets.select("group_id", "id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = lines.groupBy("group_id", "h").agg(F.count("*").alias("df")).where("df > 1")
+    by_set = lines.join(often, ["group_id", "h"]).groupBy("group_id", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    rare = F.col("n") - F.size("x")  # lines of this section alone come before the others
+    prefix = lambda share: F.greatest(F.col("n") - F.ceil(share * F.col("n") - slack) + 1 - rare, F.lit(0)).cast("int")
+    shared = scratch.write(by_set.select("group_id", "id", "n", rare.alias("u"), F.transform("x", lambda x: x["h"]).alias("s"), prefix(2 * least / (1 + least)).alias("few"), prefix(least).alias("many")).where("many > 0"), "shared")
+
+    def side(name: str, length: str) -> DataFrame:
+        first = shared.select("group_id", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "u", "s")), F.slice("s", 1, F.col(length)).alias(f"{name}_p"))
+        return first.select("*", F.posexplode(f"{name}_p").alias(f"{name}_at", "h"))
+
+    met = side("a", "few").join(side("b", "many"), ["group_id", "h"])
+    rest = lambda name: F.col(f"{name}_n") - F.col(f"{name}_u") - F.col(f"{name}_at")  # noqa: E731  of the line met and those after it
+    enough = (F.col("a_n") >= least * F.col("b_n") - slack) & (F.least(rest("a"), rest("b")) >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - slack)
+    found = met.where(((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))) & enough)
+    once = found.where(F.get(F.array_intersect("a_p", "b_p"), F.lit(0)) == F.col("h"))
+    both = once.withColumn("common", F.size(F.array_intersect("a_s", "b_s")))
+    similarity = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
+    return both.select("group_id", F.least("a_id", "b_id").alias("id"), F.greatest("a_id", "b_id").alias("other"), similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def category_typos(categories: DataFrame, distance: int = 2, rare: int = 2, common: int = 3) -> DataFrame:

@@ -192,7 +192,7 @@ def prune_candidates(spark, d):
 
 
 def line_jaccard(spark, d):
-    sections = A.doc_entities(spark, d).select(F.col("source").alias("group_id"), "id", "content")
+    sections = A.doc_texts(spark, d).select(F.col("source").alias("group_id"), "id", "content")
     return consolidate.line_jaccard(sections).select("group_id", "id", "other", F.round("similarity", 6).alias("similarity"))
 
 

@@ -387,3 +387,19 @@ def test_texts_are_not_joined_to_labels(spark, tmp_path):
         got, want = A.doc_texts(spark, f"{tmp_path}/{name}"), A.doc_entities(spark, f"{tmp_path}/{name}")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
         assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "two")
+
+
+def test_line_jaccard_of_common_lines(spark):
+    """A line that all sections have does not make all pairs; the similar ones are all found."""
+    rng = np.random.default_rng(3)
+    texts = [(f"g{i % 2}", f"s{i}", "\n".join(["common line", *(f"line {x}" for x in rng.choice(12, rng.integers(0, 6), False)), *([f"own line {i}"] if i % 3 else [])])) for i in range(120)]
+    texts += [("g0", f"c{i}", "common line") for i in range(6)] + [("g0", "n", None), ("g0", "e", "abc\n a "), (None, "x", "common line")]
+    sets = [(g, i, {x.strip() for x in t.split("\n") if len(x.strip()) > 3}) for g, i, t in texts if g and t]
+    for least in (0.5, 0.7, 1.0):
+        want = {(g, i, j, round(len(a & b) / len(a | b), 6)) for g, i, a in sets for h, j, b in sets if g == h and i < j and a and b and len(a & b) / len(a | b) >= least}
+        got = consolidate.line_jaccard(spark.createDataFrame(texts, "group_id string, id string, content string"), least).collect()
+        assert len(got) == len(want) and {(r.group_id, r.id, r.other, round(r.similarity, 6)) for r in got} == want
+    lone = spark.range(3000).select(F.lit("g").alias("group_id"), F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("common line\nown line a"), "id", F.lit("\nown line b"), "id").alias("content"))
+    found = consolidate.line_jaccard(lone)
+    assert found.count() == 0
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pairs are gathered
