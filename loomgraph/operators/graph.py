@@ -180,7 +180,9 @@ def contains_links(passages: DataFrame, texts: DataFrame, words: int = 3) -> Dat
     own = grams(passages.select("passage_id", "passage"), "passage").withColumn("inner", F.slice("g", 2, F.greatest(F.size("g") - 2, F.lit(0))))
     keys = own.select("passage_id", F.explode("inner").alias("gram"))
     wanted = keys.select("gram").distinct()
-    seen = grams(texts.select("id", "content"), "content").select("id", F.explode("g").alias("gram")).join(wanted, "gram", "left_semi")
+    scratch = Scratch(texts.sparkSession, "links")
+    met = grams(texts.select("id", "content"), "content").select("id", F.explode("g").alias("gram")).join(wanted, "gram", "left_semi")
+    seen = scratch.write(met, "met")  # few of all shingles, and cutting the texts is most of the work
     df = seen.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("passage_id").orderBy("df", "gram")
     rarest = keys.join(df, "gram").withColumn("r", F.row_number().over(order)).where("r = 1").select("passage_id", "gram")
@@ -189,7 +191,8 @@ def contains_links(passages: DataFrame, texts: DataFrame, words: int = 3) -> Dat
     met = pairs
     for size in sorted(r.size for r in short.select("size").distinct().collect()):  # at most three lengths
         met = met.unionByName(_character_pairs(short.where(F.col("size") == size), texts, size))
-    return met.join(passages, "passage_id").join(texts.select("id", "content"), "id").where(F.col("content").contains(F.col("passage"))).select("passage_id", "id")
+    met = scratch.write(met, "pairs")  # so that Spark knows how few they are, and leaves the texts where they are
+    return met.join(texts.select("id", "content"), "id").join(passages, "passage_id").where(F.col("content").contains(F.col("passage"))).select("passage_id", "id")
 
 
 def _character_pairs(short: DataFrame, texts: DataFrame, size: int) -> DataFrame:

@@ -403,3 +403,22 @@ def test_line_jaccard_of_common_lines(spark):
     found = consolidate.line_jaccard(lone)
     assert found.count() == 0
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pairs are gathered
+
+
+def test_contains_links_cuts_texts_once(spark):
+    """Texts are cut in one job and stay in place in the last join; before, each was cut twice and shuffled."""
+    passages = spark.createDataFrame([(1, "one two three four five six"), (2, "ee")], "passage_id long, passage string")
+    texts = spark.range(300).select("id", F.concat(F.lit("zero one two three four five sixth "), F.col("id").cast("string")).alias("content"))
+    found = graph.contains_links(passages, texts)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "passage_id", "id") == {(p, i) for p in (1, 2) for i in range(300)}
+
+
+def test_reanchor_of_many_copies(spark):
+    """Copies of a hash are counted, not paired: no join of stale with active code makes more rows than it has stale ones."""
+    ents = spark.createDataFrame([(f"s{i}", "function", "stale", f"t{i % 60}", "h") for i in range(300)] + [(f"a{i}", "function", "active", f"t{i}" if i < 40 else "t50", "h") for i in range(50)] + [("x", "class", "stale", None, "h2"), ("y", "class", "active", None, "h2"), ("z", "class", "active", "n", "h2"), ("u", "class", "stale", "q", "h3"), ("v", "class", "active", "w", "h3"), ("m", "class", "stale", "q", None), ("o", "class", "active", "q", None)], "id string, type string, status string, title string, content_hash string")
+    refs = ents.where("status = 'stale'").select(F.lit("k").alias("entity_id"), F.col("id").alias("code_id"))
+    got = ingest.reanchor(refs, ents)
+    assert rows(got, "old_id", "new_id") == {(f"s{i}", f"a{i % 60}") for i in range(300) if i % 60 < 40} | {("x", "y"), ("u", "v")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftOuter") > 0 and "count_if" not in plan
