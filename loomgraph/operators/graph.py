@@ -101,17 +101,42 @@ def callers(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return calls.join(ids, "id", "left_semi")
 
 
-def impact_set(edges: DataFrame, ids: DataFrame, depth: int = 4) -> DataFrame:
-    """(root, id, depth, via_edge): what depends on each root, by least depth; ties take the least edge type."""
+def impact_set(edges: DataFrame, ids: DataFrame, depth: int = 4, most: int = 1 << 20) -> DataFrame:
+    """(root, id, depth, via_edge): what depends on each root, by least depth; ties take the least edge type.
+
+    Roots travel as lists: a row for each edge and not for each root and edge, dealt by the entity that they reach, which drops what
+    it has seen. Entities that more than `most` roots come to have no list; theirs are dealt one by one.
+    """
     depends = edges.where(F.col("edge_type").isin(*DEPENDENCY)).select(F.col("target_id").alias("node"), F.col("source_id").alias("by"), "edge_type")
-    scratch = Scratch(edges.sparkSession, "impact")
-    seen = frontier = scratch.write(ids.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge")), "0")
+    scratch, kinds = Scratch(edges.sparkSession, "impact"), sorted(DEPENDENCY)
+    seen = frontier = scratch.write(ids.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge"), F.array("id").alias("roots")).where("id is not null").distinct(), "0")
+
+    def lists(met: DataFrame, before: DataFrame) -> DataFrame:
+        both = met.unionByName(before.select("id", F.lit(None).cast("string").alias("edge_type"), "roots"))
+        of = lambda test: F.flatten(F.collect_list(F.when(test, F.col("roots"))))
+        held = both.groupBy("id").agg(of(F.col("edge_type").isNull()).alias("old"), *(of(F.col("edge_type") == k).alias(f"by_{k}") for k in kinds))
+        fresh = [F.struct(F.lit(k).alias("via_edge"), F.array_except(f"by_{k}", F.concat("old", *(f"by_{x}" for x in kinds[:i]))).alias("roots")) for i, k in enumerate(kinds)]
+        return held.select("id", F.inline(F.array(*fresh))).where(F.size("roots") > 0)
+
+    def singly(met: DataFrame, before: DataFrame) -> DataFrame:
+        least = met.select("id", "edge_type", F.explode("roots").alias("root")).groupBy("root", "id").agg(F.min("edge_type").alias("via_edge"))
+        fresh = least.join(before.select("id", F.explode("roots").alias("root")), ["root", "id"], "left_anti")
+        return fresh.groupBy("id", "via_edge", F.pmod(F.xxhash64("root"), F.lit(1024)).alias("part")).agg(F.collect_list("root").alias("roots")).select("id", "via_edge", "roots")
+
     for d in range(1, depth + 1):
-        met = frontier.select("root", "id").join(depends, F.col("id") == F.col("node")).select("root", F.col("by").alias("id"), "edge_type")
-        found = met.groupBy("root", "id").agg(F.min("edge_type").alias("via_edge")).join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth"), "via_edge")
-        frontier = scratch.write(found, str(d))
+        met = frontier.select(F.col("id").alias("node"), "roots").join(depends, "node").select(F.col("by").alias("id"), "edge_type", "roots").where("id is not null")
+        sizes = frontier.select(F.col("id").alias("node"), F.size("roots").alias("n")).join(depends, "node").groupBy(F.col("by").alias("id")).agg(F.sum("n").alias("n"))
+        heavy = scratch.write(sizes.where(F.col("n") > most).select("id"), f"heavy{d}")
+        if heavy.isEmpty():
+            found = lists(met, seen)
+        else:
+            apart = lambda df, how: df.join(heavy, "id", how)
+            found = lists(apart(met, "left_anti"), apart(seen, "left_anti")).unionByName(singly(apart(met, "left_semi"), apart(seen, "left_semi")))
+        frontier = found.select("id", F.lit(d).alias("depth"), "via_edge", "roots")
+        if d < depth:  # the last is read once
+            frontier = scratch.write(frontier, str(d))
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").select(F.explode("roots").alias("root"), "id", "depth", "via_edge")
 
 
 def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -422,3 +422,23 @@ def test_reanchor_of_many_copies(spark):
     assert rows(got, "old_id", "new_id") == {(f"s{i}", f"a{i % 60}") for i in range(300) if i % 60 < 40} | {("x", "y"), ("u", "v")}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftOuter") > 0 and "count_if" not in plan
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_impact_set_of_random_graphs(spark, most):
+    """Against a search of its own from every root; with a hub's roots as a list, and one by one."""
+    rng = np.random.default_rng(7)
+    e = sorted({(f"n{a}", f"n{b}", k) for a, b, k in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.choice(["calls", "imports", "extends", "references"], 90))} | {("n0", f"n{i}", "calls") for i in range(1, 12)})
+    roots, want = [f"n{i}" for i in range(12)], set()
+    for root in roots:
+        reached, front = {root}, {root}
+        for d in (1, 2, 3):
+            via = {}
+            for s, t, k in e:
+                if t in front and s not in reached and k != "references":
+                    via[s] = min(via.get(s, k), k)
+            want |= {(root, s, d, k) for s, k in via.items()}
+            reached, front = reached | set(via), set(via)
+    found = graph.impact_set(edges(spark, *e), spark.createDataFrame([(r,) for r in roots + ["n1"]], "id string"), 3, most)
+    got = [tuple(r) for r in found.select("root", "id", "depth", "via_edge").collect()]
+    assert len(got) == len(want) and set(got) == want
