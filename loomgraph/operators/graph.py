@@ -14,6 +14,9 @@ from loomgraph.functions.constants import CODE_TYPES, CURATED, DEFAULT, DEPENDEN
 from loomgraph.functions.exprs import edge_weight, is_test_path
 from loomgraph.session import Scratch
 
+#: Roots of an impact set up to which their names are broadcast.
+ROOTS = 1_000_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both orientations: node, neighbor, and the edge as stored."""
@@ -104,12 +107,18 @@ def callers(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def impact_set(edges: DataFrame, ids: DataFrame, depth: int = 4, most: int = 1 << 20) -> DataFrame:
     """(root, id, depth, via_edge): what depends on each root, by least depth; ties take the least edge type.
 
-    Roots travel as lists: a row for each edge and not for each root and edge, dealt by the entity that they reach, which drops what
+    Roots travel as lists of numbers: a row for each edge and not for each root and edge, dealt by the entity that they reach, which drops what
     it has seen. Entities that more than `most` roots come to have no list; theirs are dealt one by one.
     """
     depends = edges.where(F.col("edge_type").isin(*DEPENDENCY)).select(F.col("target_id").alias("node"), F.col("source_id").alias("by"), "edge_type")
     scratch, kinds = Scratch(edges.sparkSession, "impact"), sorted(DEPENDENCY)
-    seen = frontier = scratch.write(ids.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge"), F.array("id").alias("roots")).where("id is not null").distinct(), "0")
+    placed = scratch.write(ids.select("id").where("id is not null").distinct().select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("m")), "placed")
+    sizes, first, total = sorted((r.p, r.n) for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()), {}, 0
+    for p, n in sizes:
+        first[p], total = total, total + n
+    offset = F.create_map(*(F.lit(x) for p, n in first.items() for x in (p, n)))[F.col("p")] if first else F.lit(0)
+    numbers = scratch.write(placed.select(F.col("id").alias("root"), (offset + F.col("m")).cast("int" if total < 1 << 31 else "long").alias("n")), "roots")
+    seen = frontier = scratch.write(numbers.select(F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via_edge"), F.array("n").alias("roots")), "0")
 
     def lists(met: DataFrame, before: DataFrame) -> DataFrame:
         both = met.unionByName(before.select("id", F.lit(None).cast("string").alias("edge_type"), "roots"))
@@ -136,7 +145,8 @@ def impact_set(edges: DataFrame, ids: DataFrame, depth: int = 4, most: int = 1 <
         if d < depth:  # the last is read once
             frontier = scratch.write(frontier, str(d))
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0").select(F.explode("roots").alias("root"), "id", "depth", "via_edge")
+    reached = seen.where("depth > 0").select(F.explode("roots").alias("n"), "id", "depth", "via_edge")
+    return reached.join(F.broadcast(numbers) if total <= ROOTS else numbers, "n").select("root", "id", "depth", "via_edge")
 
 
 def orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:
