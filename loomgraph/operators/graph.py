@@ -81,11 +81,13 @@ def seed_weights(ranked: DataFrame, cfg=DEFAULT) -> DataFrame:
 
 
 def siblings(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, sibling): what the files that contain an entity also contain, and the files themselves."""
-    contains = edges.where("edge_type = 'contains'").select(F.col("source_id").alias("file"), F.col("target_id").alias("member")).distinct()
-    mine = members.select("id").distinct().join(contains, F.col("id") == F.col("member")).select("id", "file")
-    others = mine.join(contains, "file").where("member <> id").select("id", F.col("member").alias("sibling"))
-    return others.union(mine.select("id", "file")).distinct()
+    """(id, sibling): what the files that contain an entity also contain, and the files themselves. Members are dealt by their file
+    once, repeats are dropped and pairs are made there; pairs are dealt once more, by the entity, to drop others and repeats."""
+    contains = edges.where("edge_type = 'contains'").select(F.col("source_id").alias("file"), F.col("target_id").alias("member")).repartition("file").distinct()
+    mine = contains.select("file", F.col("member").alias("id"))
+    pairs = mine.join(contains, "file").where("member <> id").select("id", F.col("member").alias("sibling"))
+    both = pairs.union(mine.select("id", "file"))
+    return both.join(members.select("id").distinct(), "id").distinct()  # a semi-join would go below the pairs
 
 
 def cochange_candidates(cochange: DataFrame, terms: DataFrame, before: int, limit: int = 20) -> DataFrame:

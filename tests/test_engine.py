@@ -442,3 +442,16 @@ def test_impact_set_of_random_graphs(spark, most):
     found = graph.impact_set(edges(spark, *e), spark.createDataFrame([(r,) for r in roots + ["n1"]], "id string"), 3, most)
     got = [tuple(r) for r in found.select("root", "id", "depth", "via_edge").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_siblings(spark):
+    """Pairs are made where a file's members are, and dealt once."""
+    e = edges(spark, ("f", "a", "contains"), ("f", "b", "contains"), ("f", "a", "contains"), ("g", "a", "contains"), ("g", "b", "contains"), ("g", "c", "contains"), ("h", "d", "contains"), ("a", "d", "calls"))
+    found = graph.siblings(spark.createDataFrame([("a",), ("a",), ("d",), ("z",)], "id string"), e)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "b"), ("a", "c"), ("a", "f"), ("a", "g"), ("d", "h")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.siblings(spark.range(9).select(F.col("id").cast("string").alias("id")), e)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    assert plan.count("Exchange hashpartitioning(member") == 0 and "hashpartitioning(id#" in plan
